@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_words, crc_bucket, cut, hash_words, raw_bytes, slices
 
-DEPTH = 5
-LEAST = 2.0**-14
+DEPTH = 6
+LEAST = 2.0**-16
 FREQUENT = 2.0**-18
 EDGE = 0xFF
 #: The token after each text: no word has a blank.
@@ -241,7 +241,7 @@ def scores(docs: DataFrame, train, depth: int = DEPTH, least: float = LEAST, key
                 base.append(float(logs[at[hit]].sum()))
             sizes = np.diff(np.append(starts, len(codes)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([xxhash.xxh3_64_intdigest(t or b"") for t in texts], pa.uint64()).cast(pa.int64(), safe=False) if False else pa.array(np.array([xxhash.xxh3_64_intdigest(t or b"") for t in texts], np.uint64).view(np.int64)), b.column(1)]
+                [b.column(0), pa.array(np.array([xxhash.xxh3_64_intdigest(t or b"") for t in texts], np.uint64).view(np.int64)), b.column(1)]
                 + [pa.array(n, pa.int64()), pa.array(n_hot, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(-score / math.log10(2) / sizes), pa.array([1] * len(n), pa.int64())],
                 [key, "_text", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte", "_rows"],
             )
