@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontaminate, jaccard, language, linelog, pieces, shards, topk
+from . import ctw, decontaminate, jaccard, language, linelog, pieces, shards, suffixes, template, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +18,18 @@ def model_file() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), model_file())
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out_language(table(spark, sf_dir, "documents"))
 
@@ -50,7 +58,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op4_language, op5_jaccard, op6_shards, op7_topk, op8_ctw, op9_lines, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_template, op2_sentencepiece, op3_suffixes, op4_language, op5_jaccard, op6_shards, op7_topk, op8_ctw, op9_lines, op10_decontaminate)}
 SQL: dict[str, str] = {
     "op7_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS v FROM embeddings
