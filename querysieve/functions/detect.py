@@ -7,6 +7,8 @@ and case is ignored beyond ASCII.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,21 +43,42 @@ WORD = r"\p{L}\p{N}_"
 BLANK = r"\s\p{Z}\x1c-\x1f\x85"
 
 
+#: Words that a text must hold for a strict pattern to match: looked for first, as that is cheap.
+ANCHORS = [
+    ("SELECT", "FROM"), ("INSERT", "INTO"), ("UPDATE", "SET"), ("DELETE", "FROM"), ("CREATE",), ("ALTER", "TABLE"), ("DROP",), ("PREFIX",),
+    ("SELECT", "WHERE"), ("ASK", "WHERE"), ("CONSTRUCT", "WHERE"), ("DESCRIBE", "WHERE"), ("MATCH", "RETURN"), ("OPTIONAL", "MATCH"), ("MERGE", "RETURN"),
+]
+LOOSE_ANCHORS = [("SELECT", "FROM"), ("MATCH", "RETURN"), ("SELECT", "WHERE")]
+
+
 def jvm(pattern: str, flags: str = "idu") -> str:
-    """A Python pattern for java.util.regex."""
-    boundary = f"(?:(?<![{WORD}])(?=[{WORD}])|(?<=[{WORD}])(?![{WORD}]))"
+    """A Python pattern for java.util.regex. A boundary before a word looks back, one after it looks ahead."""
     any_char = r"[\s\S]"
-    out = pattern.replace(any_char, "\0").replace(r"\b", boundary).replace(r"[\w\.]", f"[{WORD}.]").replace(r"\w", f"[{WORD}]")
+    out = pattern.replace(any_char, "\0")
+    out = re.sub(r"\\b(?=\(?[A-Za-z])", lambda m: f"(?<![{WORD}])", out).replace(r"\b", f"(?![{WORD}])")
+    out = out.replace(r"[\w\.]", f"[{WORD}.]").replace(r"\w", f"[{WORD}]")
     return f"(?{flags})" + out.replace(r"\s", f"[{BLANK}]").replace("\0", any_char)
 
 
+def _holds(upper: Column, words: tuple[str, ...]) -> Column:
+    out = upper.contains(words[0])
+    for w in words[1:]:
+        out = out & upper.contains(w)
+    return out
+
+
 def _col(text: Column | str) -> Column:
     return F.col(text) if isinstance(text, str) else text
 
 
-def keyword_hits(text: Column | str) -> Column:
-    """Every keyword that stands as a whole word, in order; upper case. Null text: null."""
-    return F.regexp_extract_all(F.upper(_col(text)), F.lit(f"(?<![{WORD}])({'|'.join(KEYWORDS)})(?![{WORD}])"), 1)
+def keyword_hits(text: Column | str, upper: Column | None = None) -> Column:
+    """Every keyword that stands as a whole word, in order; upper case. Null text: null. upper: the text in upper case."""
+    upper = F.upper(_col(text)) if upper is None else upper
+    hits = F.regexp_extract_all(upper, F.lit(f"(?<![{WORD}])({'|'.join(KEYWORDS)})(?![{WORD}])"), 1)
+    some = upper.contains(KEYWORDS[0])
+    for k in KEYWORDS[1:]:
+        some = some | upper.contains(k)
+    return F.when(some, hits).when(upper.isNotNull(), F.array().cast("array<string>"))
 
 
 def counts_of(hits: Column) -> Column:
@@ -64,25 +87,26 @@ def counts_of(hits: Column) -> Column:
     return F.map_from_entries(each)
 
 
-def loose_type(text: Column | str) -> Column:
+def loose_type(text: Column | str, upper: Column | None = None) -> Column:
     """Language of the first of the ordered patterns that matches, else the empty string."""
-    out = F.lit("")
-    for pattern, language in reversed(LOOSE):
-        out = F.when(_col(text).rlike(jvm(pattern)), language).otherwise(out)
+    out, upper = F.lit(""), F.upper(_col(text)) if upper is None else upper
+    for (pattern, language), words in reversed(list(zip(LOOSE, LOOSE_ANCHORS))):
+        out = F.when(_holds(upper, words) & _col(text).rlike(jvm(pattern)), language).otherwise(out)
     return out
 
 
-def loose_match(text: Column | str) -> Column:
-    """What that pattern matches."""
+def loose_match(text: Column | str, ql_type: Column) -> Column:
+    """What the pattern of that language matches."""
     out = F.lit("")
-    for pattern, _ in reversed(LOOSE):
-        out = F.when(_col(text).rlike(jvm(pattern)), F.regexp_extract(_col(text), jvm(pattern), 0)).otherwise(out)
+    for pattern, language in LOOSE:
+        out = F.when(ql_type == language, F.regexp_extract(_col(text), jvm(pattern), 0)).otherwise(out)
     return out
 
 
-def strict_types(text: Column | str) -> Column:
+def strict_types(text: Column | str, upper: Column | None = None) -> Column:
     """Distinct languages of the strict patterns that match, in their order."""
-    return F.array_distinct(F.array_compact(F.array(*[F.when(_col(text).rlike(jvm(p)), F.lit(language)) for p, language in STRICT])))
+    upper = F.upper(_col(text)) if upper is None else upper
+    return F.array_distinct(F.array_compact(F.array(*[F.when(_holds(upper, words) & _col(text).rlike(jvm(p)), F.lit(language)) for (p, language), words in zip(STRICT, ANCHORS)])))
 
 
 def is_query_language(text: Column | str) -> Column:
@@ -95,9 +119,10 @@ def annotate(docs: DataFrame, text: str = "text", tokens: Column | None = None)
     tokens: an ARRAY column of the tokenizer, for num_tokens; it is not evaluated unless asked for. Null text is clean.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("_hits", keyword_hits(body)).withColumns({"keyword_counts": counts_of(F.col("_hits")), "ql_type": loose_type(body)})
+    out = docs.withColumn("_up", F.upper(body))
+    out = out.withColumns({"_hits": keyword_hits(body, F.col("_up")), "ql_type": loose_type(body, F.col("_up")), "strict_query_types": strict_types(body, F.col("_up"))}).drop("_up")
     out = out.withColumn("filters_triggered", F.array_compact(F.array(F.when(F.size("_hits") > 0, F.lit("keyword")), F.when(F.col("ql_type") != "", F.lit("regex")))))
-    out = out.withColumns({"matched_substring": loose_match(body), "strict_query_types": strict_types(body), "is_dirty": F.size("filters_triggered") > 0})
+    out = out.withColumns({"keyword_counts": counts_of(F.col("_hits")), "matched_substring": loose_match(body, F.col("ql_type")), "is_dirty": F.size("filters_triggered") > 0})
     if tokens is not None:
         out = out.withColumn("num_tokens", F.size(tokens))
     return out.drop("_hits")
@@ -164,7 +189,7 @@ def trigger_context(text: str, window: int = 160) -> Column:
     Evidence of the ordered patterns first, else the first keyword of the row's counts that stands as a whole word.
     """
     body = F.col(text)
-    at = F.locate(F.lower(F.col("matched_substring")), F.lower(body))
+    at = F.position(F.lower(F.col("matched_substring")), F.lower(body))
 
     def found(kind: str, start: Column, size: Column) -> Column:
         left, right = F.greatest(F.lit(0), start - window), F.least(F.length(body), start + size + window)
