@@ -132,6 +132,12 @@ def pack(tokens: DataFrame, size: int = 512, key: str = "doc_id") -> DataFrame:
     return _cut(_pieces(placed, size), size, None, []).withColumn("attention_mask", F.array_repeat(F.lit(1), size))
 
 
+def pack_all(tokens: DataFrame, size: int = 512, key: str = "doc_id") -> DataFrame:
+    """As pack, with the short tail."""
+    placed = running_total(tokens.select(key, "input_ids"), id_bucket(key), [key], F.size("input_ids").cast("long"), "start")
+    return _cut(_pieces(placed, size), size, F.lit(True), []).withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
+
+
 def pack_per_batch(tokens: DataFrame, size: int = 512, batch: int = 1000, key: str = "doc_id", rows: str | None = None) -> DataFrame:
     """As pack, but streams end with each batch of rows: every batch loses its tail, or is one short block if that is all.
 
