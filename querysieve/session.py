@@ -1,4 +1,4 @@
-"""Ships this package to the Python workers of a session."""
+"""Prepares a session: ships this package to its Python workers, and keeps what they are sent at a time small."""
 
 from __future__ import annotations
 
@@ -9,6 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows in one Arrow batch to or from a Python worker: texts may be long, and two workers share an executor's memory.
+ARROW_ROWS = 1000
+
 _shipped: set[str] = set()
 
 
@@ -23,4 +26,5 @@ def ship(spark: SparkSession) -> SparkSession:
                     z.write(p, os.path.join(root.name, p.relative_to(root)))
         sc.addPyFile(f.name)
         _shipped.add(sc.applicationId)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(ARROW_ROWS, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))))
     return spark
