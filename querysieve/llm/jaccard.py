@@ -7,10 +7,13 @@ least n1 - k//(k2+1) hold at most k2 differing elements, and in such a group som
 subset of parts, for each group, gives one signature, and similar sets share one.
 
 Two things keep candidates few without losing a pair:
-* Empty subsets say nothing and are not signed, as long as a set has more groups without them than can be spoiled.
-  The rare sets that don't ("sparse") also sign their empty subsets: two sparse sets meet there.
+* Empty subsets say nothing and are not signed. Where groups have one part each, the first k + 1 parts that are not
+  empty will do: before the first part that two similar sets share, each has at most k others. A set with fewer, or
+  otherwise with too many empty subsets, is called sparse.
 * Leaving fixed elements out of all sets only lowers their difference. Frequent shingles (found in a bounded sample,
-  which decides cost, not results) are left out; sets that are sparse without them also sign in whole, among themselves.
+  which decides cost, not results) are left out, so that a common passage makes no candidates. A set that is sparse
+  without them also signs its first elements in an order that has frequent shingles last: of two similar sets, each
+  holds an element of the other among its first n - ceil(n * num/den) + 1. Two such sets meet there.
 
 Signatures are packed by Arrow batch and hash bucket and sorted bucket by bucket. A run of equal signatures is first
 linked as a chain; each set checks its best predecessor. After components of those links, only pairs of a run whose
@@ -27,6 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +39,9 @@ from .components import components
 
 SHINGLE, NUM, DEN = 5, 80, 100
 #: Signatures that one task sorts at a time, and documents packed together.
-PER_BUCKET, PACK = 3_000_000, 2000
+PER_BUCKET, PACK = 1_500_000, 2000
+#: Members of a run whose pairs are listed; of a larger one, those that are compared with each other at a time.
+FEW, BLOCK = 16, 8192
 #: Documents sampled for frequent shingles, documents of the sample that make one frequent, and the most kept.
 SAMPLED, FREQUENT, MOST = 8_000, 8, 1 << 18
 
@@ -49,7 +55,7 @@ def shingle_set(raw: bytes | None, k: int = SHINGLE) -> np.ndarray:
 class Bands:
     """Size bands and the PartEnum parameters of each."""
 
-    def __init__(self, num: int = NUM, den: int = DEN, ratio: float = 1.7):
+    def __init__(self, num: int = NUM, den: int = DEN, ratio: float = 1.4):
         self.num, self.den = num, den
         self.lo: list[int] = [1]
         self.hi: list[int] = []
@@ -66,7 +72,7 @@ class Bands:
             return 0, 1, 1, 0
         if k <= 3:
             return k, 1, k + 2, k
-        return k, math.ceil(1.4 * (k + 1)), 1, 0
+        return k, math.ceil(1.35 * (k + 1)), 1, 0
 
     def of(self, n: int) -> list[int]:
         """The bands that a set of n elements signs for."""
@@ -77,11 +83,11 @@ class Bands:
 BANDS = Bands()
 
 
-def band_signatures(s: np.ndarray, band: int, layer: int, plan: tuple[int, int, int, int], empties: bool = False) -> tuple[np.ndarray, bool]:
-    """Signatures of a sorted set for a band, and whether it is sparse there. empties: of empty subsets too."""
+def band_signatures(s: np.ndarray, band: int, plan: tuple[int, int, int, int]) -> tuple[np.ndarray, bool]:
+    """Signatures of a sorted set for a band, and whether it is sparse there."""
     k, n1, n2, k2 = plan
     fine = n1 * n2
-    base = np.uint64((layer * 1000 + band + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    base = np.uint64((band + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
     sums, full = np.zeros(fine, np.uint64), np.zeros(fine, bool)
     if len(s):
         part = ((s >> np.uint64(32)) * np.uint64(fine)) >> np.uint64(32)
@@ -90,37 +96,39 @@ def band_signatures(s: np.ndarray, band: int, layer: int, plan: tuple[int, int,
         sums[at] = np.add.reduceat(mix(s ^ base), starts)
         full[at] = True
     if n2 == 1:
-        chosen = np.arange(n1) if empties else np.flatnonzero(full)
-        return mix(sums[chosen] + mix(base + chosen.astype(np.uint64))), int(full.sum()) <= k
+        chosen = np.flatnonzero(full)[: k + 1]
+        return mix(sums[chosen] + mix(base + chosen.astype(np.uint64))), len(chosen) <= k
     sums, full = sums.reshape(n1, n2), full.reshape(n1, n2)
     weight = mix(base + np.arange(fine, dtype=np.uint64)).reshape(n1, n2) | np.uint64(1)
     subsets = [list(c) for c in combinations(range(n2), n2 - k2)]
     signed = np.stack([(sums[:, c] * weight[:, c]).sum(axis=1, dtype=np.uint64) + np.uint64(i + 1) for i, c in enumerate(subsets)], axis=1)
     filled = np.stack([full[:, c].any(axis=1) for c in subsets], axis=1)
     out = mix(signed + mix(base + np.arange(n1, dtype=np.uint64))[:, None])
-    return (out.ravel() if empties else out[filled]), int((~filled).any(axis=1).sum()) >= n1 - k // (k2 + 1)
+    return out[filled], int((~filled).any(axis=1).sum()) >= n1 - k // (k2 + 1)
 
 
-def signatures(s: np.ndarray, frequent: np.ndarray, bands: Bands = BANDS) -> np.ndarray:
-    """All signatures of a set. Layer 0 has the sets without frequent shingles; layer 1, whole, those sparse in layer 0."""
+def signatures(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray, bands: Bands = BANDS) -> np.ndarray:
+    """All signatures of a sorted set. frequent: sorted shingles that are left out, with how frequent they are."""
     if not len(s):
         return np.empty(0, np.uint64)
-    rare = s
+    rare, common = s, s[:0]
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-        rare = s[frequent[at] != s]
-    out = []
+        hit = frequent[at] == s
+        rare, common = s[~hit], s[hit][np.lexsort((s[hit], counts[at[hit]]))]
+    out, any_sparse = [], False
     for band in bands.of(len(s)):
-        signed, sparse = band_signatures(rare, band, 0, bands.plan[band])
+        signed, sparse = band_signatures(rare, band, bands.plan[band])
         out.append(signed)
-        if sparse:
-            signed, sparse = band_signatures(s, band, 1, bands.plan[band])
-            out.append(band_signatures(s, band, 1, bands.plan[band], empties=True)[0] if sparse else signed)
+        any_sparse |= sparse
+    if any_sparse:
+        first = len(s) + (-bands.num * len(s) // bands.den) + 1
+        out.append(mix(np.concatenate([rare[:first], common[: max(0, first - len(rare))]]) + np.uint64(1)))
     return np.unique(np.concatenate(out))
 
 
-def frequent_shingles(docs: DataFrame, text: str, k: int) -> np.ndarray:
-    """Sorted hashes of shingles that many documents of a sample of about SAMPLED share; at most MOST."""
+def frequent_shingles(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that many documents of a sample of about SAMPLED share, at most MOST, and how many do."""
     share = SAMPLED / max(1, docs.count())
     sample = docs.select(text) if share >= 1 else docs.select(text).where(F.pmod(F.xxhash64(text, F.lit("frequent")), F.lit(1 << 30)) < int(share * (1 << 30)))
 
@@ -131,24 +139,63 @@ def frequent_shingles(docs: DataFrame, text: str, k: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n.astype(np.int64))], ["s", "n"])
 
     counts = sample.mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    rows = counts.orderBy(F.desc("n"), "s").limit(MOST).select("s").toPandas()
-    return np.sort(rows["s"].to_numpy(np.int64, copy=True).view(np.uint64))
+    rows = counts.orderBy(F.desc("n"), "s").limit(MOST).toPandas()
+    found, n = rows["s"].to_numpy(np.int64, copy=True).view(np.uint64), rows["n"].to_numpy(np.int64)
+    order = np.argsort(found)
+    return found[order], n[order]
 
 
 def _described(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """key, n_shingles and a digest of the shingle set (null if empty)."""
-    import xxhash
+    """key, n_shingles, a digest of the shingle set (null if empty) and its bitmap."""
 
     def one(b):
-        sets = [shingle_set(r, k) for r in raw_bytes(b.column(1))]
-        digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary())], [key, "n_shingles", "_digest"])
+        sizes, digests, maps = [], [], []
+        for raw in raw_bytes(b.column(1)):
+            s = shingle_set(raw, k)
+            sizes.append(len(s))
+            digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+            maps.append(bitmap(s))
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(maps, pa.binary())], [key, "n_shingles", "_digest", "_map"])
+
+    return map_arrow(docs.select(key, text), one, f"`{key}` {dict(docs.dtypes)[key]}, n_shingles long, _digest binary, _map binary", 500)
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    """Which cells of the hash range a set touches; four cells an element at least, a power of two."""
+    bits = max(6, int(4 * len(s) - 1).bit_length())
+    cells = np.zeros(1 << bits, bool)
+    cells[s >> np.uint64(64 - bits)] = True
+    return np.packbits(cells).tobytes()
+
+
+def may_be_similar(n: int, x: bytes, m: int, y: bytes, num: int, den: int) -> bool:
+    """A bound from bitmaps: a cell that only x touches holds an element that y lacks."""
+    if den * min(n, m) < num * max(n, m):
+        return False
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) != len(b):
+        few = 8 * min(len(a), len(b))
+        a, b = (np.packbits(np.unpackbits(c).reshape(few, -1).any(axis=1)) for c in (a, b))
+    both = min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+    return den * both >= num * (n + m - both)
+
+
+def _possible(pairs: DataFrame, about: DataFrame, key: str, bands: Bands) -> DataFrame:
+    """Those of the pairs (a, b) that their bitmaps don't rule out."""
+    known = about.where(f"n_shingles > 0 and `{key}` is not null").select(F.col(key).cast("long").alias("id"), F.struct(F.col("n_shingles").alias("n"), F.col("_map").alias("m")).alias("s"))
+    sided = pairs.join(known.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(known.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
 
-    return map_arrow(docs.select(key, text), one, f"`{key}` {dict(docs.dtypes)[key]}, n_shingles long, _digest binary")
+    def check(batches):
+        for b in slices(batches, 2000):
+            columns = [b.column(i).field(j).to_pylist() for i in (2, 3) for j in (0, 1)]
+            good = [may_be_similar(n, x, m, y, bands.num, bands.den) for n, x, m, y in zip(*columns)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    return cut(sided.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").distinct())
 
-def _runs(docs: DataFrame, key: str, text: str, k: int, bands: Bands, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """sig, doc, prev, n: members of each run of equal signatures, with the member before (null for the first).
+
+def _runs(docs: DataFrame, key: str, text: str, k: int, bands: Bands, frequent: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
+    """sig, doc, lead, n: members of each run of equal signatures, with the member that has most in common with others.
 
     Runs of the same members in a bucket are given once, n times counted.
     """
@@ -159,7 +206,7 @@ def _runs(docs: DataFrame, key: str, text: str, k: int, bands: Bands, frequent:
         for i, raw in zip(b.column(0).to_pylist(), raw_bytes(b.column(1))):
             if raw and (i, raw) not in seen:
                 seen.add((i, raw))
-                found = signatures(shingle_set(raw, k), shared.value, bands)
+                found = signatures(shingle_set(raw, k), *shared.value, bands)
                 if len(found):
                     ids.append(i)
                     sigs.append(found)
@@ -190,7 +237,7 @@ def _runs(docs: DataFrame, key: str, text: str, k: int, bands: Bands, frequent:
         del cols
         ordered = np.sort(sigs)
         twice = ordered[1:][ordered[1:] == ordered[:-1]]
-        empty = pa.table({"sig": pa.array([], pa.int64()), "doc": pa.array([], pa.int64()), "prev": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        empty = pa.table({"sig": pa.array([], pa.int64()), "doc": pa.array([], pa.int64()), "lead": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
         if not len(twice):
             return empty
         at = np.minimum(np.searchsorted(twice, sigs), len(twice) - 1)
@@ -207,15 +254,62 @@ def _runs(docs: DataFrame, key: str, text: str, k: int, bands: Bands, frequent:
         n = np.zeros(len(starts), np.int64)
         n[first] = times
         n[sizes < 2] = 0
-        each = np.repeat(n, sizes)
-        prev = np.concatenate([[0], docs_[:-1]])
-        mask = np.zeros(len(sigs), bool)
-        mask[starts] = True
-        kept = each > 0
-        return pa.table({"sig": pa.array(sigs[kept].view(np.int64)), "doc": pa.array(docs_[kept]), "prev": pa.array(prev[kept], mask=mask[kept]), "n": pa.array(each[kept])})
+        # how much a set has in common with others: the sizes of its runs; a run's leader is the set with most
+        _, who = np.unique(docs_, return_inverse=True)
+        score = np.bincount(who, np.repeat(n * sizes, sizes))[who]
+        run = np.repeat(np.arange(len(starts)), sizes)
+        order = np.lexsort((docs_, -score, run))
+        lead = docs_[order[starts]][run]
+        kept = n[run] > 0
+        return pa.table({"sig": pa.array(sigs[kept].view(np.int64)), "doc": pa.array(docs_[kept]), "lead": pa.array(lead[kept]), "n": pa.array(n[run][kept])})
 
     packed = map_arrow(docs.select(F.col(key).cast("long").alias("id"), text).where("id is not null"), pack, "bucket int, sigs binary, who binary, ids binary", PACK)
-    return packed.groupBy("bucket").applyInArrow(match, "sig long, doc long, prev long, n long")
+    return packed.groupBy("bucket").applyInArrow(match, "sig long, doc long, lead long, n long")
+
+
+def _compared(members: DataFrame, about: DataFrame, key: str, bands: Bands) -> DataFrame:
+    """Pairs (a, b) of different components of a run (sig, id, component, m) that their bitmaps don't rule out.
+
+    A run is compared inside a task, in blocks of at most BLOCK members, and only the pairs left over become rows.
+    """
+    known = about.where(f"n_shingles > 0 and `{key}` is not null").select(F.col(key).cast("long").alias("id"), F.struct(F.col("n_shingles").alias("n"), F.col("_map").alias("map")).alias("s"))
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), own.alias("own"))))
+    rows = members.join(known, "id").select("sig", "id", "component", "s", pairs.alias("p")).select("sig", "p.i", "p.j", "p.own", "id", "component", "s.n", "s.map")
+    rows = rows.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+
+    def run(batches):
+        at, held = None, []
+
+        def flush():
+            own, ids, comps, n, maps = map(list, zip(*held))
+            few = min(map(len, maps))
+            m = np.stack([np.frombuffer(x if len(x) == few else np.packbits(np.unpackbits(np.frombuffer(x, np.uint8)).reshape(8 * few, -1).any(axis=1)).tobytes(), np.uint64) for x in maps])
+            own, ids, comps, n = np.array(own), np.array(ids), np.array(comps), np.array(n)
+            out = []
+            for x in range(len(ids) - 1):
+                y = np.arange(x + 1, len(ids))
+                y = y[(comps[y] != comps[x]) & ((own[y] != own[x]) | (at[1] == at[2])) & (bands.den * np.minimum(n[y], n[x]) >= bands.num * np.maximum(n[y], n[x]))]
+                if len(y):
+                    only_x, only_y = np.bitwise_count(m[x] & ~m[y]).sum(axis=1, dtype=np.int64), np.bitwise_count(m[y] & ~m[x]).sum(axis=1, dtype=np.int64)
+                    both = np.minimum(n[x] - only_x, n[y] - only_y)
+                    out += [(max(ids[x], i), min(ids[x], i)) for i in ids[y[bands.den * both >= bands.num * (n[x] + n[y] - both)]]]
+            a, b = zip(*out) if out else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for b in batches:
+            for *group, own, i, c, n, m in zip(*(col.to_pylist() for col in b.columns)):
+                if at != group and held:
+                    yield flush()
+                    held = []
+                at = group
+                held.append((own, i, c, n, m))
+        if held:
+            yield flush()
+
+    return cut(rows.mapInArrow(run, "a long, b long").distinct())
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, bands: Bands) -> DataFrame:
@@ -277,17 +371,21 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SH
             df = df.join(place.select(F.col("id").alias(c), F.col("first").alias("_first")), c, "left").withColumn(c, F.coalesce("_first", c)).drop("_first")
         return df
 
-    chained = placed(runs.where("prev is not null").groupBy("doc", "prev").agg(F.sum("n").alias("n")), "doc", "prev").where("doc != prev")
-    pairs = chained.groupBy(F.greatest("doc", "prev").alias("a"), F.least("doc", "prev").alias("b")).agg(F.sum("n").alias("n"))
-    best = cut(pairs.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")))
-    links = copies.select(F.col("id").alias("a"), F.col("first").alias("b")).unionByName(cut(_similar(best, docs, key, text, k, bands)))
+    chained = placed(runs.where("doc != lead").groupBy("doc", "lead").agg(F.sum("n").alias("n")), "doc", "lead").where("doc != lead")
+    best = cut(chained.groupBy(F.col("doc").alias("a")).agg(F.max_by("lead", F.struct("n", "lead")).alias("b")))
+    links = copies.select(F.col("id").alias("a"), F.col("first").alias("b")).unionByName(cut(_similar(_possible(best, about, key, bands), docs, key, text, k, bands)))
     joined = cut(components(links))
     # pairs of a run that these links have not brought together
     member = runs.select("sig", F.col("doc").alias("id")).join(joined, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
-    split = cut(member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig"))
-    left = cut(placed(member.join(split, "sig"), "id").distinct())
-    a, b = (left.select("sig", F.col("id").alias(x), F.col("component").alias(f"_{x}")) for x in "ab")
-    rest = cut(a.join(b, "sig").where("a > b and _a != _b").select("a", "b").distinct().join(best, ["a", "b"], "left_anti"))
+    same = F.struct(F.count("*").alias("m"), F.min("id").alias("a"), F.max("id").alias("z"), F.bit_xor(F.xxhash64("id")).alias("x"))  # tells sets of members apart
+    split = member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), same.alias("same")).where("lo < hi")
+    split = cut(split.groupBy("same").agg(F.min("sig").alias("sig")).select("sig", F.col("same.m").alias("m")))
+    left = placed(member.join(split, "sig"), "id").distinct()
+    left = cut(left)
+    few, many = left.where(F.col("m") <= FEW), left.where(F.col("m") > FEW)
+    a, b = (few.select("sig", F.col("id").alias(x), F.col("component").alias(f"_{x}")) for x in "ab")
+    listed = a.join(b, "sig").where("a > b and _a != _b").select("a", "b").distinct()
+    rest = _possible(listed, about, key, bands).unionByName(_compared(many, about, key, bands)).distinct()
     more = _similar(rest, docs, key, text, k, bands)
     final = cut(components(links.unionByName(more)))
     out = about.select(key, "n_shingles", F.col(key).cast("long").alias("id")).join(final, "id", "left")
