@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries that a worker's word table may hold before it starts afresh.
-WORD_TABLE = 400_000
+WORD_TABLE = 250_000
 
 
 class WordHashes(dict):
@@ -67,6 +67,7 @@ def slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
     for b in batches:
         for at in range(0, b.num_rows, size):
             yield b.slice(at, size)
+    pa.default_memory_pool().release_unused()
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, size: int = 2000) -> DataFrame:

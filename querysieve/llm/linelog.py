@@ -113,7 +113,7 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             for x in b.column(1).to_pylist():
                 for leaf in {leaf_of(t) for _, t in _lines(x)}:
                     n[leaf] = n.get(leaf, 0) + 1
-            if len(n) > 500_000:
+            if len(n) > 150_000:
                 yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.int64()), pa.array(n.values(), pa.int64())], ["leaf", "n"])
                 n = {}
         if n:
@@ -135,7 +135,7 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", le
                     m = " ".join(t)
                     line = _key(m)
                     if new := line not in seen:
-                        if len(seen) > 500_000:
+                        if len(seen) > 150_000:
                             seen.clear()
                         seen.add(line)
                     for column, value in zip(out, (i, digest, p, line, leaf, m if new else None)):
