@@ -5,7 +5,7 @@ stands in) has an occurrence vector: how often it occurs on each page. Tokens of
 that share a vector form an equivalence class; classes of several tokens that occur on most pages are kept if their
 tokens come in one order, again and again, on every page (ordered) and all of a class's occurrences lie in one gap of
 the class around it (nested). The nested classes are the template; the gaps between their tokens are its slots, and
-what pages have in a slot is data. Text made of the template's own words is left out, slots in containers for menus,
+what pages have in a slot is data. Blocks made of words that the template has on every page are left out, slots in containers for menus,
 adverts, comments and the like are left out, and of the others those of the article are extracted - where no element
 says which, those under the container with most of the pages' running text.
 
@@ -210,7 +210,8 @@ class Template:
 
     def __init__(self, pages: list[Page]):
         self.classes = equivalence_classes(pages)
-        self.own = {t for c in self.classes for t in c if " " in t}
+        everywhere = set.intersection(*({f"{s.path} {w}" for s in p.segments for w in s.text.split()} for p in pages))
+        self.own = {t for c in self.classes for t in c if " " in t} & everywhere
         self.place = {t: (c, i) for c, ts in enumerate(self.classes) for i, t in enumerate(ts) if " " not in t}
         weight: Counter = Counter()
         spread: Counter = Counter()
@@ -269,17 +270,17 @@ class Template:
 
     def extract(self, page: Page) -> str:
         blocks: list[list[str]] = []
-        last = None
+        last, fixed = None, []
         for s, slot in self.slots(page):
             if s.out or not (s.path == self.root or s.path.startswith(self.root + "/")) or (slot, s.path) in self.menus:
                 continue
-            if self.own and len(s.text) <= 200 and all(f"{s.path} {w}" in self.own for w in s.text.split()):
-                continue
             if s.block != last:
                 blocks.append([])
+                fixed.append(True)
                 last = s.block
             blocks[-1].append(s.text)
-        texts = (" ".join("".join(b).split()) for b in blocks)
+            fixed[-1] &= bool(self.own) and all(f"{s.path} {w}" in self.own for w in s.text.split())
+        texts = (" ".join("".join(b).split()) for b, f in zip(blocks, fixed) if not f)
         return "\n".join(t for t in texts if t)
 
 
