@@ -8,9 +8,9 @@ They are sorted a second time by what stands to their left, as the neighbour tha
 one. Neighbours that agree on PASSAGE words or more in a row mark that span in both documents; a document's spans are
 united, so a longer passage is covered by the spans of its several suffixes.
 
-Only suffixes whose key occurs twice are sorted: a first pass counts the keys. Up to CONTEXT words on each side go with a
-suffix, as 16 bits of each word's hash; that many suffice, as a span is found from each suffix in it (a word that only
-looks equal lengthens a span's end once in 65536 times). Where a batch holds many suffixes of one key they are compared
+Only suffixes whose key occurs twice are sorted: a first pass counts the keys. LEFT words before and RIGHT words from its
+position go with a suffix, as 16 bits of each word's hash; that many suffice, as a span is found from each suffix in it
+(a word that only looks equal lengthens a span's end once in 65536 times). Where a batch holds many suffixes of one key they are compared
 there already, and those known to repeat are represented by a few. Copies of a whole text are marked in whole by digest.
 """
 
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from .common import ascii_words, cut, gram_hashes, hash_words, map_arrow, raw_bytes, slices
 
 PASSAGE = 50
-GRAM, WINDOW, KEY, CONTEXT = 8, 27, 24, 50  # GRAM + WINDOW - 1 + KEY - GRAM <= PASSAGE
-SLOTS = 1 << 22  # of the filter by key; bounds what is broadcast, decides no result
+GRAM, WINDOW, KEY = 8, 27, 24  # a passage of WINDOW - 1 + KEY words or more holds a selected position and its key
+LEFT, RIGHT = PASSAGE - KEY, PASSAGE  # words that go with a suffix
+SLOTS = 1 << 26  # of the filter by key; bounds what is broadcast, decides no result
 PACK, PER_BUCKET, MANY = 2000, 300_000, 4
 
 
@@ -44,10 +45,10 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contexts(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """CONTEXT words before and after each position, as 16-bit numbers."""
+    """LEFT words before and RIGHT words from each position, as 16-bit numbers."""
     short = (h >> np.uint64(48)).astype(np.uint16)
-    none = np.zeros(CONTEXT, np.uint16)
-    return np.lib.stride_tricks.sliding_window_view(np.concatenate([none, short, none]), 2 * CONTEXT)[at]
+    padded = np.concatenate([np.zeros(LEFT, np.uint16), short, np.zeros(RIGHT, np.uint16)])
+    return np.lib.stride_tricks.sliding_window_view(padded, LEFT + RIGHT)[at]
 
 
 def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -61,7 +62,7 @@ def compare(keys: np.ndarray, docs: np.ndarray, pos: np.ndarray, size: np.ndarra
 
     Gives spans (doc, start, end, other doc) and which suffixes lie in one.
     """
-    left, right = ctx[:, CONTEXT - 1 :: -1], ctx[:, CONTEXT:]
+    left, right = ctx[:, LEFT - 1 :: -1], ctx[:, LEFT:]
     spans, hit = [], np.zeros(len(keys), bool)
     first = keys.astype(">u8").view(np.uint8).reshape(len(keys), 8)
     for side in (right, left):
@@ -108,8 +109,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", passage: i
     one document counts (other: the document itself). Null, empty and short texts have none; rows with a null key are
     left out; rows of equal key are one document. Keys are whole numbers.
     """
-    if passage < GRAM + WINDOW - 1 + KEY - GRAM:
-        raise ValueError("the windows are too long for passages this short")
+    if passage < WINDOW - 1 + KEY or passage > LEFT + KEY:
+        raise ValueError(f"windows and contexts are made for passages of {WINDOW - 1 + KEY} to {LEFT + KEY} words")
     spark = docs.sparkSession
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("x"))
 
@@ -127,15 +128,17 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", passage: i
 
     # a key that a batch's copies of one text share is not yet a repeat: those are marked by digest
     counts = rows.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where("n > 1")
-    slots = cut(counts.groupBy(F.pmod("k", F.lit(SLOTS)).cast("int").alias("slot")).agg(F.sum("n").alias("n")))
-    expected = slots.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    filled = np.zeros(SLOTS, bool)
-    filled[slots.select("slot").toPandas()["slot"].to_numpy(np.int64)] = True
-    shared = spark.sparkContext.broadcast(np.packbits(filled))
+    slot = F.pmod("k", F.lit(SLOTS))
+    words = counts.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(k, {SLOTS}) & 63 as int)))").alias("bits"), F.sum("n").alias("n"))
+    words = words.toPandas()  # at most SLOTS / 64 rows
+    expected = int(words["n"].sum()) if len(words) else 0
+    filled = np.zeros(SLOTS // 64, np.int64)
+    filled[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast(filled)
     buckets = max(1, math.ceil(expected / PER_BUCKET))
 
     def pack(b):
-        slot = np.unpackbits(shared.value).view(bool)
+        bits = shared.value
         ids, keys, who, pos, size, ctx, seen = [], [], [], [], [], [], set()
         for i, x in zip(b.column(0).to_pylist(), raw_bytes(b.column(1))):
             if x in seen:
@@ -143,7 +146,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", passage: i
             seen.add(x)
             h = hash_words(ascii_words(x))
             at, k = anchors(h)
-            some = slot[(k.view(np.int64) % SLOTS)] if len(k) else np.zeros(0, bool)
+            slot = k.view(np.int64) % SLOTS
+            some = (bits[slot >> 6] >> (slot & 63)) & 1 == 1
             if some.any():
                 at = at[some]
                 keys.append(k[some])
@@ -190,7 +194,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", passage: i
             return np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()])
 
         keys, ids, pos, size = column("keys", np.uint64), column("ids", np.int64), column("pos", np.int32).astype(np.int64), column("size", np.int32).astype(np.int64)
-        ctx, spans = column("ctx", np.uint16).reshape(-1, 2 * CONTEXT), column("spans", np.int64).reshape(-1, 4)
+        ctx, spans = column("ctx", np.uint16).reshape(-1, LEFT + RIGHT), column("spans", np.int64).reshape(-1, 4)
         if len(keys):
             spans = np.concatenate([spans, compare(keys, ids, pos, size, ctx, passage)[0]])
         spans = np.unique(spans, axis=0) if len(spans) else spans
