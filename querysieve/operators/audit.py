@@ -194,3 +194,34 @@ def balance_stats(balanced: DataFrame) -> DataFrame:
     sums = [F.count_if(n(s)).alias(f"{s}_blocks") for s in ("clean", "dirty")] + [F.coalesce(F.sum(F.when(n(s), size)), F.lit(0)).alias(f"{s}_tokens") for s in ("clean", "dirty")]
     out = balanced.agg(*sums, F.count_if(n("dirty") & (F.col("origin") == "clean")).alias("supplemented_blocks"))
     return out.withColumn("match_ratio", F.when(F.col("clean_tokens") == 0, 0.0).otherwise(F.round(F.col("dirty_tokens") / F.col("clean_tokens"), 6)))
+
+
+def mix_stats(mixed: DataFrame, size: int) -> DataFrame:
+    """Blocks and tokens of each side of a mix, and the share of dirty blocks."""
+    n = {s: F.count_if(F.col("side") == s) for s in ("clean", "dirty")}
+    out = mixed.agg(n["clean"].alias("clean_blocks"), n["dirty"].alias("dirty_blocks"))
+    total = F.col("clean_blocks") + F.col("dirty_blocks")
+    return out.select("*", (total * size).alias("total_tokens"), F.when(total == 0, 0.0).otherwise(F.round(F.col("dirty_blocks") / total, 6)).alias("dirty_rate"))
+
+
+def injection_stats(injected: DataFrame) -> DataFrame:
+    """Blocks kept and injected, distinct blocks injected, and the share injected."""
+    is_new = F.col("origin") == "injected"
+    out = injected.agg(F.count("*").alias("n_total"), F.count_if(is_new).alias("n_injected"), F.count_distinct(F.when(is_new, F.col("block_id"))).alias("n_distinct_injected"))
+    return out.select("*", (F.col("n_total") - F.col("n_injected")).alias("n_kept"), pct(F.col("n_injected"), F.col("n_total")).alias("injected_pct"))
+
+
+def filter_counters(taken: DataFrame, clean: str = "is_clean", dirty: str = "is_dirty_candidate") -> DataFrame:
+    """What a one-pass builder saw, kept for each side and passed over; rows after its end don't count."""
+    seen = F.col("seen")
+    out = taken.agg(
+        F.count_if(seen).alias("n_seen"), F.count_if(F.col("clean_kept")).alias("kept_clean"), F.count_if(F.col("dirty_kept")).alias("kept_dirty"),
+        F.count_if(seen & F.col(clean) & ~F.col("clean_kept")).alias("clean_over_quota"), F.count_if(seen & F.col(dirty) & ~F.col("dirty_kept")).alias("dirty_over_quota"),
+        F.count_if(seen & ~F.col(clean) & ~F.col(dirty)).alias("filtered"),
+    )
+    return out.withColumn("filtered_rate_pct_over_seen", pct(F.col("filtered"), F.col("n_seen")))
+
+
+def element_counts(lists: DataFrame, key: str, values: str) -> DataFrame:
+    """Elements of arrays, summed for each key."""
+    return lists.groupBy(key).agg(F.coalesce(F.sum(F.size(values).cast("long")), F.lit(0)).alias("n"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from querysieve.functions import detect, text
 from querysieve.operators import audit, balance, curves, extract, labels, sample, spans, tokens
 from querysieve.operators.order import with_row_ids
+from querysieve.streaming import builder
 
 from . import corpus as c
 
@@ -307,6 +308,34 @@ def quota_builder(spark, sf_dir):
     return balance.with_quotas(rows, detect.clean_side(), detect.dirty_by("regex"), F.size(WORDS.words(F.col("text"))), want, BLOCK).select("doc_id", "clean_kept", "dirty_kept", "seen")
 
 
+@query(f"""WITH {_two()} SELECT 70::BIGINT AS clean_blocks, 30::BIGINT AS dirty_blocks, {100 * BLOCK}::BIGINT AS total_tokens, 0.3::DOUBLE AS dirty_rate FROM (SELECT count(*) FROM blocks_en)""")
+def mix_stats(spark, sf_dir):
+    return audit.mix_stats(balance.mix(*_sides(spark, sf_dir), 100 * BLOCK, 0.3, BLOCK), BLOCK)
+
+
+@query(f"""WITH {_two()}, n AS (SELECT (SELECT count(*) FROM blocks_en) AS c, (SELECT count(*) FROM blocks_other) AS d), k AS (SELECT c, d, floor(c * 0.25::DOUBLE)::BIGINT AS k FROM n)
+ SELECT c AS n_total, k AS n_injected, least(k, d) AS n_distinct_injected, c - k AS n_kept, {_pct('k', 'c')} AS injected_pct FROM k""")
+def injection_stats(spark, sf_dir):
+    return audit.injection_stats(balance.inject(*_sides(spark, sf_dir), 0.25))
+
+
+@query(f"""WITH {ANNOTATED}, c AS (SELECT doc_id, len({_TOK}) AS n, NOT is_dirty AS c, r AS d FROM ann),
+ b AS (SELECT *, coalesce(sum(CASE WHEN c THEN n ELSE 0 END) OVER w, 0) AS bc, coalesce(sum(CASE WHEN d THEN n ELSE 0 END) OVER w, 0) AS bd FROM c WINDOW w AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ e AS (SELECT CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN greatest(x, y) END AS stop FROM (SELECT min(doc_id) FILTER (bc + CASE WHEN c THEN n ELSE 0 END >= {80 * BLOCK}) AS x, min(doc_id) FILTER (bd + CASE WHEN d THEN n ELSE 0 END >= {20 * BLOCK}) AS y FROM b)),
+ t AS (SELECT c, d, c AND bc < {80 * BLOCK} AS kc, d AND bd < {20 * BLOCK} AS kd FROM b, e WHERE stop IS NULL OR doc_id <= stop),
+ s AS (SELECT count(*) AS n_seen, count(*) FILTER (kc) AS kept_clean, count(*) FILTER (kd) AS kept_dirty, count(*) FILTER (c AND NOT kc) AS clean_over_quota, count(*) FILTER (d AND NOT kd) AS dirty_over_quota, count(*) FILTER (NOT c AND NOT d) AS filtered FROM t)
+ SELECT *, {_pct('filtered', 'n_seen')} AS filtered_rate_pct_over_seen FROM s""")
+def builder_counters(spark, sf_dir):
+    rows = annotated(spark, sf_dir).withColumns({"is_clean": detect.clean_side(), "is_dirty_candidate": detect.dirty_by("regex")})
+    taken = balance.with_quotas(rows, F.col("is_clean"), F.col("is_dirty_candidate"), F.size(WORDS.words(F.col("text"))), balance.targets(100 * BLOCK, 0.2, BLOCK), BLOCK)
+    return audit.filter_counters(taken)
+
+
+@query("SELECT lang, coalesce(sum(len(string_split(text, chr(10)))), 0)::BIGINT AS n FROM documents GROUP BY 1")
+def element_counts(spark, sf_dir):
+    return audit.element_counts(c.table(spark, sf_dir, "documents").select("lang", F.split("text", "\n", -1).alias("lines")), "lang", "lines")
+
+
 @query(f"""WITH {DOC_TOKENS}, {_packed('tok')} SELECT CASE WHEN block_id % 2 = 0 THEN 'clean' ELSE 'dirty' END AS side, count(*) AS n, 0::BIGINT AS n_with_query, 0::BIGINT AS n_sql, 0::BIGINT AS n_sparql, 0::BIGINT AS n_cypher, 0.0::DOUBLE AS pct_with_query FROM blocks GROUP BY 1""")
 def grouped_strict_audit(spark, sf_dir):
     return audit.grouped_audit(packed(spark, sf_dir).withColumn("side", F.when(F.col("block_id") % 2 == 0, "clean").otherwise("dirty")), WORDS)
@@ -537,6 +566,19 @@ def token_budget_context(spark, sf_dir):
     return c.table(spark, sf_dir, "documents").select("doc_id", tokens.truncated(F.col("text"), F.col("source"), WORDS, 100).alias("context"))
 
 
+@query("SELECT * FROM (VALUES ('SELECT ?x' || chr(10) || 'WHERE {?x ?p ?y} # and some more', 'Try this:' || chr(10) || chr(10) || 'end', 'u1', '3')) AS t(query, context, author, score)")
+def post_pairs(spark, sf_dir):
+    rows = [("u1", 3, "Try this:\n\n```sparql\nSELECT ?x\nWHERE {?x ?p ?y} # and some more\n```\nend"), ("u2", 4, "```\nshort\n```"), (None, 5, "none")]
+    return extract.post_pairs(spark.createDataFrame(rows, "author string, score int, body string"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    """An extension: event-time windows, in batch."""
+    counted = builder.windowed(c.table(spark, sf_dir, "events"))
+    return counted.select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
 # ---- training curves
 
 

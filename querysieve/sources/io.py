@@ -138,3 +138,15 @@ def flattened(struct: str, fields: list[str]) -> list[Column]:
 def nested(dotted: str) -> Column:
     """A field by its dotted path."""
     return F.col(dotted)
+
+
+def share(spark: SparkSession, path: str, target: str, how: str = "reference") -> str:
+    """A dataset for another run: its path (reference), a copy of it (copy), or nothing (skip)."""
+    if how == "reference":
+        return path
+    if how == "skip":
+        return ""
+    if how != "copy":
+        raise ValueError(f"unknown way {how!r}; known: reference, copy, skip")
+    write_if_absent(spark.read.parquet(path), target)
+    return target
