@@ -6,11 +6,12 @@ one half each; the logarithms of these sums over the training text give the mixi
 the estimates of all depths along the path from the root to the deepest context known. The model is learned once
 and then fixed, so a text's probability doesn't depend on what else is scored.
 
-Counting covers all training text: every task counts the (DEPTH+1)-byte runs of its documents, the counts are summed
-by run, and contexts of each depth are sums of those. A context joins the tree if it holds at least LEAST of the
-training positions; what its known children leave over is one further child. So at most 1/LEAST contexts exist at a
-depth, whatever the corpus: this bounds the table of log-probabilities that every task gets
-(DEPTH/LEAST * 256 numbers of 4 bytes).
+Counting covers all training text, in two passes. A context joins the tree if it holds at least LEAST of the training
+positions; what its known children leave over is one further child. In the first pass every chunk of text names the
+contexts that hold half that share of the chunk. A context of the tree must be among them, and the chunks that name it
+must count at least half of what it needs, which leaves at most 2/LEAST candidates at a depth. In the second pass each
+position counts at its deepest candidate. So at most 1/LEAST contexts enter the tree at a depth, whatever the corpus:
+this bounds the table of log-probabilities that every task gets (DEPTH/LEAST * 256 numbers of 4 bytes).
 
 Texts are lower-cased (A-Z); they start in a context of 0xFF bytes, which UTF-8 lacks, and end with one.
 
@@ -37,7 +38,7 @@ EDGE = 0xFF
 #: The token after each text: no word has a blank.
 END = np.array([xxhash.xxh3_64_intdigest(b" end")], np.uint64)
 #: Distinct runs that a task holds before it hands them on.
-HELD = 3_000_000
+HELD = 1_500_000
 
 
 def runs(texts: list[bytes | None], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,11 +46,12 @@ def runs(texts: list[bytes | None], depth: int) -> tuple[np.ndarray, np.ndarray]
     sizes = np.array([len(t or b"") + 1 + depth for t in texts], np.int64)
     edge = bytes([EDGE])
     buffer = np.frombuffer(b"".join(edge * depth + (t or b"").lower() + edge for t in texts), np.uint8)
-    code = np.zeros(len(buffer), np.uint64)
-    for i in range(depth + 1):
-        shifted = np.full(len(buffer), EDGE, np.uint8)
-        shifted[i:] = buffer[: len(buffer) - i]
-        code |= shifted.astype(np.uint64) << np.uint64(8 * i)
+    code, width = buffer, 1  # doubled in width: the byte, then those before it further up
+    while width <= depth:
+        wider = code.astype(f"u{2 * width}")
+        wider[width:] |= code[:-width].astype(wider.dtype) << (8 * width)
+        code, width = wider, 2 * width
+    code = code.astype(np.uint64) & np.uint64(256 ** (depth + 1) - 1)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     own = np.ones(len(buffer), bool)
     own[(starts[:, None] + np.arange(depth)).ravel()] = False
@@ -68,35 +70,71 @@ def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
-def corpus_counts(train: DataFrame, text: str, depth: int) -> DataFrame:
-    """kind (run or token), key, n over all training text."""
+def deepest(contexts: list[np.ndarray], first: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Of each run, the number of the deepest known context before its last byte. Depth 0 has the one empty context."""
+    state = np.zeros(len(codes), np.int64)
+    rest, context = np.arange(len(codes)), codes >> np.uint64(8)
+    for d in range(len(contexts) - 1, 0, -1):
+        known = contexts[d]
+        if not len(known):
+            continue
+        own = context[rest] & np.uint64(256**d - 1)
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        hit = known[at] == own
+        state[rest[hit]] = first[d] + at[hit]
+        rest = rest[~hit]
+    return state
+
+
+def offsets(contexts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
+
+
+TOKEN = -1  # in place of a depth: the key is a token's hash
 
-    def count(batches):
-        parts: dict[str, list] = {"run": [], "token": []}
 
-        def merge(kind):
-            parts[kind] = [summed(np.concatenate([k for k, _ in parts[kind]]), np.concatenate([n for _, n in parts[kind]]))]
-            return parts[kind][0]
+def _chunks(batches, column: int, depth: int, tokens: bool):
+    """(depth + 1)-byte runs of chunks of text with their counts, and tokens' hashes with theirs."""
+    held: dict[str, list] = {"runs": [], "tokens": []}
 
-        def flush(kind):
-            keys, n = merge(kind)
-            parts[kind] = []
-            for at in range(0, len(keys), 500_000):
-                k = keys[at : at + 500_000]
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(k)).cast(pa.string()), pa.array(k.view(np.int64)), pa.array(n[at : at + 500_000].astype(np.int64))], ["kind", "key", "n"])
+    def merged(kind):
+        held[kind] = [summed(np.concatenate([k for k, _ in held[kind]]), np.concatenate([n for _, n in held[kind]]))]
+        return held[kind][0]
 
-        for b in slices(batches, 2000):
-            texts = raw_bytes(b.column(0))
-            parts["run"].append(summed(runs(texts, depth)[0]))
-            parts["token"].append(summed(np.concatenate([x for t in texts for x in (hash_words(ascii_words(t)), END)])))
-            for kind in parts:
-                if sum(len(k) for k, _ in parts[kind]) > HELD and len(merge(kind)[0]) > HELD // 2:
-                    yield from flush(kind)
-        for kind in parts:
-            if parts[kind]:
-                yield from flush(kind)
+    for b in slices(batches, 2000):
+        texts = raw_bytes(b.column(column))
+        held["runs"].append(summed(runs(texts, depth)[0]))
+        if tokens:
+            held["tokens"].append(summed(np.concatenate([x for t in texts for x in (hash_words(ascii_words(t)), END)])))
+        for kind in held:
+            if sum(len(k) for k, _ in held[kind]) > HELD and len(merged(kind)[0]) > HELD // 2:
+                yield kind, *held[kind][0]
+                held[kind] = []
+    for kind in held:
+        if held[kind]:
+            yield kind, *merged(kind)
 
-    return train.select(text).mapInArrow(count, "kind string, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+def _rows(names: list[str], *columns: np.ndarray):
+    for at in range(0, len(columns[0]), 500_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 500_000].view(np.int64) if c.dtype == np.uint64 else c[at : at + 500_000]) for c in columns], names)
+
+
+def corpus_counts(train: DataFrame, text: str, depth: int, least: float) -> DataFrame:
+    """d, key, n: frequent contexts of chunks (d bytes), and all tokens (d = TOKEN)."""
+
+    def count(batches):
+        for kind, keys, n in _chunks(batches, 0, depth, True):
+            if kind == "tokens":
+                yield from _rows(["d", "key", "n"], np.full(len(keys), TOKEN, np.int32), keys, n)
+                continue
+            need, context = max(1.0, least / 2 * n.sum()), keys >> np.uint64(8)
+            for d in range(depth + 1):
+                own, m = summed(context & np.uint64(256**d - 1), n)
+                own, m = own[m >= need], m[m >= need]
+                yield from _rows(["d", "key", "n"], np.full(len(own), d, np.int32), own, m)
+
+    return train.select(text).mapInArrow(count, "d int, key long, n long").groupBy("d", "key").agg(F.sum("n").alias("n"))
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -125,84 +163,100 @@ def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 class ContextTree:
     """contexts[d]: sorted contexts of d bytes; table: log10 probability of each byte after each of them."""
 
-    def __init__(self, contexts: list[np.ndarray], cells: list[np.ndarray]):
+    #: Contexts that are worked on at a time.
+    AT_ONCE = 2048
+
+    def __init__(self, contexts: list[np.ndarray], own: np.ndarray):
+        """own: counts (contexts x 256) of next bytes at positions whose deepest context it is; used up."""
         depth = len(contexts) - 1
-        self.contexts = contexts
-        self.first = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
+        self.contexts, self.first = contexts, offsets(contexts)
+        n = self.first
         parents = [np.searchsorted(contexts[d - 1], contexts[d] & np.uint64(256 ** (d - 1) - 1)) if d else None for d in range(depth + 1)]
-        weight, estimate, rest_estimate = [None] * (depth + 1), [None] * (depth + 1), [None] * (depth + 1)
+        weight, alone, rest = (np.zeros((n[-1], 255), np.float32) for _ in range(3))
         below = None
         for d in range(depth, -1, -1):
-            zeros, ones = _decisions(cells[d])
-            alone = _log_kt(zeros, ones)
-            estimate[d] = ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32)
-            if d == depth or not len(contexts[d + 1]):
-                mixed, weight[d], rest_estimate[d] = alone, np.ones_like(estimate[d]), estimate[d]
-            else:
-                rest = cells[d].copy()
-                np.subtract.at(rest, parents[d + 1], cells[d + 1])
-                zeros, ones = _decisions(np.maximum(rest, 0))
-                split = _log_kt(zeros, ones)
-                np.add.at(split, parents[d + 1], below)
-                leaf = np.bincount(parents[d + 1], minlength=len(cells[d])) == 0
-                mixed = np.logaddexp(alone, split) + math.log(0.5)
-                mixed[leaf] = alone[leaf]
-                weight[d] = np.exp(alone + math.log(0.5) - mixed).astype(np.float32)
-                weight[d][leaf] = 1
-                rest_estimate[d] = ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32)
-            below = mixed
-        tables = []
+            size = n[d + 1] - n[d]
+            split, inner = np.zeros((size, 255)), np.zeros(size, bool)
+            over = np.zeros((size, 256))
+            if below is not None and len(below[0]):
+                np.add.at(split, parents[d + 1], below[0])
+                np.add.at(over, parents[d + 1], below[1])
+                inner[parents[d + 1]] = True
+            mixed, whole = np.zeros((size, 255)), over
+            for a in range(0, size, self.AT_ONCE):
+                z = slice(a, min(size, a + self.AT_ONCE))
+                at = slice(n[d] + z.start, n[d] + z.stop)
+                zeros, ones = _decisions(own[at])
+                rest[at] = (ones + 0.5) / (zeros + ones + 1)
+                split[z] += _log_kt(zeros, ones)
+                whole[z] += own[at]
+                zeros, ones = _decisions(whole[z])
+                alone[at] = (ones + 0.5) / (zeros + ones + 1)
+                kt = _log_kt(zeros, ones)
+                mixed[z] = np.where(inner[z][:, None], np.logaddexp(kt, split[z]) + math.log(0.5), kt)
+                weight[at] = np.where(inner[z][:, None], np.exp(kt + math.log(0.5) - mixed[z]), 1)
+            below = mixed, whole
+        del below, own
+        # from the root down: a + b x is the mixture above a context whose prediction is x
+        self.table = np.zeros((n[-1], 256), np.float32)
+        above = np.zeros((1, 255)), np.ones((1, 255))
+        byte = np.arange(256)
         for d in range(depth + 1):
-            p, at = weight[d] * estimate[d] + (1 - weight[d]) * rest_estimate[d], np.arange(len(contexts[d]))
-            for e in range(d, 0, -1):
-                at = parents[e][at]
-                p = weight[e - 1][at] * estimate[e - 1][at] + (1 - weight[e - 1][at]) * p
-            p = p.astype(np.float64)
-            one, zero = np.log10(p), np.log10(1 - p)
-            logs = np.zeros((len(p), 256))
-            byte = np.arange(256)
-            for level in range(8):
-                node = (1 << level) + (byte >> (8 - level)) - 1
-                logs += np.where((byte >> (7 - level)) & 1, one[:, node], zero[:, node])
-            tables.append(logs.astype(np.float32))
-        self.table = np.concatenate(tables)
+            size = n[d + 1] - n[d]
+            a, b = (above[0][parents[d]], above[1][parents[d]]) if d else above
+            a = a + b * weight[n[d] : n[d + 1]] * alone[n[d] : n[d + 1]]
+            b = b * (1.0 - weight[n[d] : n[d + 1]])
+            above = a, b
+            for at in range(0, size, self.AT_ONCE):
+                z = slice(at, min(size, at + self.AT_ONCE))
+                # kept from 0 and 1 by what single precision tells apart
+                p = np.clip(a[z] + b[z] * rest[n[d] + z.start : n[d] + z.stop], 2.0**-24, 1 - 2.0**-24)
+                one, zero, logs = np.log10(p), np.log10(1 - p), np.zeros((z.stop - z.start, 256))
+                for level in range(8):
+                    node = (1 << level) + (byte >> (8 - level)) - 1
+                    logs += np.where((byte >> (7 - level)) & 1, one[:, node], zero[:, node])
+                self.table[n[d] + z.start : n[d] + z.stop] = logs
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
         """Of each byte with the bytes before it, the log10 probability in the deepest context known."""
-        state = np.zeros(len(codes), np.int64)
-        open_, context = np.arange(len(codes)), codes >> np.uint64(8)
-        for d in range(len(self.contexts) - 1, 0, -1):
-            known = self.contexts[d]
-            if not len(known):
-                continue
-            own = context[open_] & np.uint64(256**d - 1)
-            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-            hit = known[at] == own
-            state[open_[hit]] = self.first[d] + at[hit]
-            open_ = open_[~hit]
-        return self.table[state, (codes & np.uint64(255)).astype(np.int64)]
-
-
-def tree_of(counts: DataFrame, depth: int = DEPTH, least: float = LEAST) -> ContextTree:
-    """The context tree of the counted runs. Gathered: contexts that hold at least `least` of all positions."""
-    grams = counts.where("kind = 'run'")
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    context = F.shiftrightunsigned("key", 8)
-    depths = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), context.bitwiseAND(F.lit(256**d - 1)).alias("context")) for d in range(depth + 1)]))
-    cells = cut(grams.select(depths.alias("c"), F.col("key").bitwiseAND(F.lit(255)).alias("byte"), "n").groupBy("c.d", "c.context", "byte").agg(F.sum("n").alias("n")))
-    heavy = cells.groupBy("d", "context").agg(F.sum("n").alias("m")).where(F.col("m") >= max(1.0, least * total)).select("d", "context")
-    found = cells.join(F.broadcast(heavy), ["d", "context"]).select("d", "context", "byte", "n").toPandas()
-    contexts, tables = [], []
-    for d in range(depth + 1):
-        own = found[found["d"] == d]
-        known, at = np.unique(own["context"].to_numpy(np.int64).astype(np.uint64), return_inverse=True)
-        if not d and not len(known):
-            known = np.zeros(1, np.uint64)
-        table = np.zeros((len(known), 256))
-        table[at, own["byte"].to_numpy(np.int64)] = own["n"].to_numpy(np.float64)
-        contexts.append(known)
-        tables.append(table)
-    return ContextTree(contexts, tables)
+        return self.table[deepest(self.contexts, self.first, codes), (codes & np.uint64(255)).astype(np.int64)]
+
+
+def tree_of(train: DataFrame, text: str, counts: DataFrame, depth: int = DEPTH, least: float = LEAST) -> ContextTree:
+    """The context tree of the training text. Gathered: candidate contexts, and their counts of next bytes."""
+    total = counts.where("d = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = counts.where((F.col("d") >= 1) & (F.col("n") >= max(1.0, least / 2 * total))).select("d", "key").toPandas()
+    contexts = [np.zeros(1, np.uint64)] + [np.sort(found["key"][found["d"] == d].to_numpy(np.int64).astype(np.uint64)) for d in range(1, depth + 1)]
+    # a context without its suffix can't be frequent; dropping it keeps the tree whole
+    for d in range(2, depth + 1):
+        contexts[d] = contexts[d][np.isin(contexts[d] & np.uint64(256 ** (d - 1) - 1), contexts[d - 1])]
+    first = offsets(contexts)
+    shared = train.sparkSession.sparkContext.broadcast((contexts, first))
+
+    def count(batches):
+        for _, keys, n in _chunks(batches, 0, depth, False):
+            cells, m = summed(deepest(*shared.value, keys) * 256 + (keys & np.uint64(255)).astype(np.int64), n)
+            yield from _rows(["cell", "n"], cells, m)
+
+    cells = train.select(text).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    state, byte, n = cells["cell"].to_numpy(np.int64) >> 8, (cells["cell"].to_numpy(np.int64) & 255).astype(np.uint8), cells["n"].to_numpy(np.int64)
+    del cells, found
+    # totals of contexts: their own positions and those of deeper ones; rare ones give theirs to the suffix
+    parents = [None] + [first[d - 1] + np.searchsorted(contexts[d - 1], contexts[d] & np.uint64(256 ** (d - 1) - 1)) for d in range(1, depth + 1)]
+    whole = np.bincount(state, n, first[-1])
+    for d in range(depth, 0, -1):
+        np.add.at(whole, parents[d], whole[first[d] : first[d + 1]])
+    keep = whole >= max(1.0, least * total)
+    keep[0] = True
+    to = np.arange(first[-1])
+    for d in range(1, depth + 1):
+        own = np.arange(first[d], first[d + 1])
+        to[own] = np.where(keep[own], own, to[parents[d]])
+    number = np.cumsum(keep) - 1
+    kept = [c[keep[first[d] : first[d + 1]]] for d, c in enumerate(contexts)]
+    table = np.zeros(int(keep.sum()) * 256)
+    np.add.at(table, number[to[state]] * 256 + byte, n)
+    return ContextTree(kept, table.reshape(-1, 256))
 
 
 def scores(docs: DataFrame, train, depth: int = DEPTH, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -211,9 +265,9 @@ def scores(docs: DataFrame, train, depth: int = DEPTH, least: float = LEAST, key
     train: the condition on rows that are learned from. Null and empty texts are one end. Repeated rows are scored each.
     """
     spark = docs.sparkSession
-    counts = cut(corpus_counts(docs.where(train), text, depth))
-    tree = tree_of(counts, depth, least)
-    tokens = counts.where("kind = 'token'")
+    counts = cut(corpus_counts(docs.where(train), text, depth, least))
+    tree = tree_of(docs.where(train), text, counts, depth, least)
+    tokens = counts.where(F.col("d") == TOKEN)
     n_all, n_kinds = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     hot = tokens.where(F.col("n") >= max(1.0, FREQUENT * n_all)).select("key", "n").toPandas().sort_values("key")
     hot_keys, hot_n = hot["key"].to_numpy(np.int64), hot["n"].to_numpy(np.int64)
@@ -227,22 +281,26 @@ def scores(docs: DataFrame, train, depth: int = DEPTH, least: float = LEAST, key
 
     def whole(batches):
         tree, keys, logs = shared.value
-        for b in slices(batches, 2000):
+        for b in slices(batches, 1000):
             texts = raw_bytes(b.column(2))
             codes, starts = runs(texts, depth)
-            distinct, back = np.unique(codes, return_inverse=True)
-            score = np.add.reduceat(tree.log10(distinct).astype(np.float64)[back], starts)
-            n, n_hot, base = [], [], []
-            for t in texts:
-                h = np.concatenate([hash_words(ascii_words(t)), END]).view(np.int64)
-                at, hit = is_hot(h, keys)
-                n.append(len(h))
-                n_hot.append(int(hit.sum()))
-                base.append(float(logs[at[hit]].sum()))
             sizes = np.diff(np.append(starts, len(codes)))
+            order = np.argsort(codes)
+            codes = codes[order]
+            edge = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+            logs_of = np.repeat(tree.log10(codes[edge]).astype(np.float64), np.diff(np.append(edge, len(codes))))
+            score = np.bincount(np.repeat(np.arange(len(texts)), sizes)[order], logs_of, len(texts))
+            del codes, order, logs_of
+            each = [ascii_words(t) for t in texts]
+            n = np.array([len(w) + 1 for w in each], np.int64)
+            h = np.concatenate([hash_words([w for ws in each for w in ws]), np.repeat(END, len(texts))]).view(np.int64)
+            who = np.concatenate([np.repeat(np.arange(len(texts)), n - 1), np.arange(len(texts))])
+            at, hit = is_hot(h, keys)
+            n_hot = np.bincount(who[hit], minlength=len(texts))
+            base = np.bincount(who[hit], logs[at[hit]], len(texts))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(np.array([xxhash.xxh3_64_intdigest(t or b"") for t in texts], np.uint64).view(np.int64)), b.column(1)]
-                + [pa.array(n, pa.int64()), pa.array(n_hot, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(-score / math.log10(2) / sizes), pa.array([1] * len(n), pa.int64())],
+                + [pa.array(n), pa.array(n_hot.astype(np.int64)), pa.array(base), pa.array(score), pa.array(-score / math.log10(2) / sizes), pa.array([1] * len(n), pa.int64())],
                 [key, "_text", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte", "_rows"],
             )
 
