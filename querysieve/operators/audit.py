@@ -72,11 +72,12 @@ def strict_languages(annotated: DataFrame) -> DataFrame:
 def keyword_report(annotated: DataFrame) -> DataFrame:
     """Each keyword's documents and occurrences, among dirty and among keyword-only documents; zeros too."""
     dirty = annotated.where("is_dirty").select((detect.trigger() == "keyword_only").alias("only"), "keyword_counts")
-    sizes = dirty.agg(F.count("*").alias("n_dirty"), F.count_if("only").alias("n_only"))
-    uses = dirty.select("only", F.explode("keyword_counts").alias("keyword", "n"))
+    # each document also counts for the empty keyword, so one pass gives the totals too
+    uses = dirty.select("only", F.explode(F.map_concat("keyword_counts", F.create_map(F.lit(""), F.lit(1)))).alias("keyword", "n"))
     counts = uses.groupBy("keyword").agg(
         F.count("*").alias("docs"), F.sum("n").alias("uses"), F.count_if("only").alias("only_docs"), F.coalesce(F.sum(F.when(F.col("only"), F.col("n"))), F.lit(0)).alias("only_uses")
     )
+    sizes = counts.where("keyword = ''").agg(F.coalesce(F.max("docs"), F.lit(0)).alias("n_dirty"), F.coalesce(F.max("only_docs"), F.lit(0)).alias("n_only"))
     every = annotated.sparkSession.createDataFrame([(k,) for k in detect.KEYWORDS], "keyword string")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return every.join(counts, "keyword", "left").join(F.broadcast(sizes)).select(
@@ -118,10 +119,8 @@ def samples(annotated: DataFrame, k: int, how: str = "bottom_k", seed: int = 42,
     if how == "first_k":
         drawn = sample.first_k(rows, k, "category", key)
     else:
-        parts = [sample.bottom_k(rows.where(F.col("category") == c), k, "category", key, seed + plus) for c, plus in CATEGORIES.items()]
-        drawn = parts[0]
-        for p in parts[1:]:
-            drawn = drawn.unionByName(p)
+        plus = F.element_at(F.create_map(*[F.lit(x) for kv in CATEGORIES.items() for x in kv]), F.col("category"))
+        drawn = sample.bottom_k(rows, k, "category", key, plus + seed)
     return drawn.select("category", "rank", *payload(text, key))
 
 

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 ID_BUCKET = 10_000
 
 
-def hash_key(key: Column | str, seed: int) -> Column:
+def hash_key(key: Column | str, seed: int | Column) -> Column:
     """A reproducible random order: md5 of the key and the seed, as hexadecimal text."""
     key = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")))
+    return F.md5(F.concat(key.cast("string"), F.lit(":"), F.lit(seed).cast("string")))
 
 
 def id_bucket(key: str, width: int = ID_BUCKET) -> Column:

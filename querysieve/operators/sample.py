@@ -26,7 +26,7 @@ def first_k(df: DataFrame, k: int, category: str, key: str) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bottom_k(df: DataFrame, k: int, category: str, key: str, seed: int = 42) -> DataFrame:
+def bottom_k(df: DataFrame, k: int, category: str, key: str, seed: int | Column = 42) -> DataFrame:
     """A uniform sample of k rows of each category: those of least hash. Tasks keep k rows each before the shuffle."""
     w = W.partitionBy(category).orderBy("_h", key)
     return df.withColumn("_h", hash_key(key, seed)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_h")
