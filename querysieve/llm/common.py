@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -27,6 +28,11 @@ class WordHashes(dict):
 
 
 _hashes = WordHashes()
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim
+except (OSError, AttributeError):  # another C library
+    _libc = None
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
@@ -62,12 +68,20 @@ def raw_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
 
 
+def give_back() -> None:
+    """At a task's end: what a worker kept goes, and free memory back to the system. Workers are used again and again."""
+    _hashes.clear()
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Smaller batches, so that what one output batch holds stays small whatever the input setting is."""
     for b in batches:
         for at in range(0, b.num_rows, size):
             yield b.slice(at, size)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, size: int = 2000) -> DataFrame:

@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import give_back, slices
 
 SPACE = "▁"
 #: Entries of each table that a worker keeps before it starts afresh.
@@ -164,6 +164,8 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", into: str = "id
             np.cumsum([len(x) for x in ids], out=offsets[1:])
             values = np.concatenate(ids) if ids else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in fields), pa.ListArray.from_arrays(offsets, pa.array(values))], [*fields, into])
+        tool.table.clear()
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
