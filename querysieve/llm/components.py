@@ -8,6 +8,8 @@ the join back on a hub's edges is one that adaptive execution can split.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,3 +56,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == before:
             return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
         before = now
+        # the driver's garbage collection lets Spark delete what earlier rounds have written
+        gc.collect()
+        e.sparkSession.sparkContext._jvm.System.gc()
