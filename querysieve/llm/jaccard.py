@@ -42,6 +42,8 @@ SHINGLE, NUM, DEN = 5, 80, 100
 PER_BUCKET, PACK = 1_500_000, 2000
 #: Members of a run whose pairs are listed; of a larger one, those that are compared with each other at a time.
 FEW, BLOCK = 16, 8192
+#: Members of a run in one row.
+LISTED = 4096
 #: Documents sampled for frequent shingles, documents of the sample that make one frequent, and the most kept.
 SAMPLED, FREQUENT, MOST = 8_000, 8, 1 << 18
 
@@ -197,7 +199,7 @@ def _possible(pairs: DataFrame, about: DataFrame, key: str, bands: Bands) -> Dat
 def _runs(docs: DataFrame, key: str, text: str, k: int, bands: Bands, frequent: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
     """sig, doc, lead, n: members of each run of equal signatures, with the member that has most in common with others.
 
-    Runs of the same members in a bucket are given once, n times counted.
+    Runs of the same members are given once, n times counted; sig is then the hash of their members.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most MOST numbers
 
@@ -237,7 +239,7 @@ def _runs(docs: DataFrame, key: str, text: str, k: int, bands: Bands, frequent:
         del cols
         ordered = np.sort(sigs)
         twice = ordered[1:][ordered[1:] == ordered[:-1]]
-        empty = pa.table({"sig": pa.array([], pa.int64()), "doc": pa.array([], pa.int64()), "lead": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        empty = pa.table({"sig": pa.array([], pa.int64()), "chunk": pa.array([], pa.int32()), "docs": pa.array([], pa.list_(pa.int64())), "lead": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
         if not len(twice):
             return empty
         at = np.minimum(np.searchsorted(twice, sigs), len(twice) - 1)
@@ -261,10 +263,15 @@ def _runs(docs: DataFrame, key: str, text: str, k: int, bands: Bands, frequent:
         order = np.lexsort((docs_, -score, run))
         lead = docs_[order[starts]][run]
         kept = n[run] > 0
-        return pa.table({"sig": pa.array(sigs[kept].view(np.int64)), "doc": pa.array(docs_[kept]), "lead": pa.array(lead[kept]), "n": pa.array(n[run][kept])})
+        docs_, lead, run, at = docs_[kept], lead[kept], run[kept], (np.arange(len(run)) - starts[run])[kept]
+        rows = np.flatnonzero(at % LISTED == 0)
+        listed = pa.LargeListArray.from_arrays(np.append(rows, len(docs_)), pa.array(docs_)).cast(pa.list_(pa.int64()))
+        return pa.table({"sig": pa.array(members[run[rows]].view(np.int64)), "chunk": pa.array((at[rows] // LISTED).astype(np.int32)), "docs": listed, "lead": pa.array(lead[rows]), "n": pa.array(n[run[rows]])})
 
     packed = map_arrow(docs.select(F.col(key).cast("long").alias("id"), text).where("id is not null"), pack, "bucket int, sigs binary, who binary, ids binary", PACK)
-    return packed.groupBy("bucket").applyInArrow(match, "sig long, doc long, lead long, n long")
+    lists = packed.groupBy("bucket").applyInArrow(match, "sig long, chunk int, docs array<long>, lead long, n long")
+    once = lists.groupBy("sig", "chunk").agg(F.min("docs").alias("docs"), F.min("lead").alias("lead"), F.sum("n").alias("n"))
+    return once.select("sig", F.explode("docs").alias("doc"), "lead", "n")
 
 
 def _compared(members: DataFrame, about: DataFrame, key: str, bands: Bands) -> DataFrame:
@@ -377,9 +384,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SH
     joined = cut(components(links))
     # pairs of a run that these links have not brought together
     member = runs.select("sig", F.col("doc").alias("id")).join(joined, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
-    same = F.struct(F.count("*").alias("m"), F.min("id").alias("a"), F.max("id").alias("z"), F.bit_xor(F.xxhash64("id")).alias("x"))  # tells sets of members apart
-    split = member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), same.alias("same")).where("lo < hi")
-    split = cut(split.groupBy("same").agg(F.min("sig").alias("sig")).select("sig", F.col("same.m").alias("m")))
+    split = cut(member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("sig", "m"))
     left = placed(member.join(split, "sig"), "id").distinct()
     left = cut(left)
     few, many = left.where(F.col("m") <= FEW), left.where(F.col("m") > FEW)
