@@ -502,6 +502,19 @@ def test_extra_columns_may_clash(edges):
     assert shards.shard(odd).count() == len(EDGES)
 
 
+def test_pipeline_drops_documents_with_one_planted_item(spark, docs):
+    import corpus_pipeline
+
+    items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    planted = [(9000 + i, f"before it {t} and after it", "en", "s", 0) for i, (_, t) in enumerate(items[:20])]
+    part = " ".join(items[0][1].split()[:10])
+    more = [(9100, f"x {part} y", "en", "s", 0), (9101, "nothing of it here", "en", "s", 0), (9102, None, "en", "s", 0)]
+    both = docs.unionByName(spark.createDataFrame(planted + more, DOCS))
+    kept = {r.doc_id for r in corpus_pipeline.drop_contaminated(spark, both, SF).collect()}
+    hit = {r.doc_id for r in docs.collect() if brute_hits(r.text, items)[1]}
+    assert hit and kept == {r.doc_id for r in both.collect()} - hit - {i for i, *_ in planted} - {9100}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
