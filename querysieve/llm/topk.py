@@ -129,4 +129,7 @@ def search(rows: DataFrame, queries: Column, vector: Column, key: str = "vec_id"
 
 
 def sixty_fourths(embedding: str = "embedding") -> Column:
-    return F.transform(F.col(embedding).cast("array<double>"), lambda x: F.floor(x * 64).cast("double"))
+    """Components in whole 64ths; null for a vector with a null or non-finite one, which floor would make a number."""
+    v = F.col(embedding).cast("array<double>")
+    finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.when(finite, F.transform(v, lambda x: F.floor(x * 64).cast("double")))

@@ -322,6 +322,14 @@ def test_topk_of_few_and_none(spark):
     assert topk.search(few.limit(0), F.col("vec_id") == 0, topk.sixty_fourths()).count() == 0
 
 
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), float("-inf"), None])
+def test_topk_leaves_out_a_vector_with_one_bad_component(spark, bad):
+    rows = [(0, [1.0, -0.5, 0.25]), (1, [0.5, 0.0, 0.0]), (2, [0.25, 0.0, 0.0]), (3, [9.0, bad, 0.0]), (20, [9.0, 0.0, bad])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = topk.search(df, F.col("vec_id") % 20 == 0, topk.sixty_fourths()).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(0, 1, 1, 64 * 32), (0, 2, 2, 64 * 16)]
+
+
 # ---- 8
 
 
