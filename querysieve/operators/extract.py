@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -84,16 +86,21 @@ def permalink(path: Column | str, site: str) -> Column:
     return F.concat(F.lit(site.rstrip("/")), F.col(path) if isinstance(path, str) else path)
 
 
-def crawl(links: DataFrame, start: str, rounds: int = 20) -> DataFrame:
-    """url, depth: what is reached from start over (source, target) links; each round visits what is new."""
+def crawl(links: DataFrame, start: str, rounds: int | None = None) -> DataFrame:
+    """url, depth: what is reached from start over (source, target) links; each round visits what is new.
+
+    It goes on until a round finds nothing, or for `rounds` rounds if that is given.
+    """
     from querysieve.sources.io import settle
 
-    seen = settle(links.sparkSession.createDataFrame([(start, 0)], "url string, depth int"))
+    seen = settle(links.sparkSession.createDataFrame([(start, 0)], "url string, depth int").coalesce(1))
     frontier = seen
-    for depth in range(1, rounds + 1):
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for depth in count(1) if rounds is None else range(1, rounds + 1):
         new = links.join(frontier.select(F.col("url").alias("source")), "source", "left_semi").select(F.col("target").alias("url")).distinct()
         frontier = settle(new.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = settle(seen.unionByName(frontier))
+        both = seen.unionByName(frontier)  # one round's partitions on top of the other's
+        seen = settle(both.coalesce(parts) if both.rdd.getNumPartitions() > parts else both)
     return seen

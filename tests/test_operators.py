@@ -219,3 +219,10 @@ def test_ledger_and_requests(spark, tmp_path):
     pairs = spark.createDataFrame([(0, "q", "c", None), (1, "q", "c", "done")], "idx long, query string, context string, target string")
     (row,) = labels.requests(pairs, "{query}/{context}", "m").collect()
     assert row.custom_id == "0" and row.body.messages[0].content == "q/c" and row.url.startswith("/v1/")
+
+
+def test_crawl_goes_on_to_the_end_of_a_chain(spark):
+    links = [(f"p{i}", f"p{i + 1}") for i in range(24)] + [("p24", "p0"), ("x", "y")]
+    rows = spark.createDataFrame(links, "source string, target string")
+    assert {r.url: r.depth for r in extract.crawl(rows, "p0").collect()} == {f"p{i}": i for i in range(25)}
+    assert {r.depth for r in extract.crawl(rows, "p0", rounds=2).collect()} == {0, 1, 2}
