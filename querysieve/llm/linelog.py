@@ -4,8 +4,12 @@ Lines are parsed as a log parser does. The tree has a fixed depth: the first lev
 LEADING levels are the first tokens, where a token with a digit counts as a variable. At a leaf, a line joins the
 first template that agrees with it on at least ALIKE of the tokens, and where they differ the template becomes
 variable; otherwise it starts a template. A template that occurs in at least LEAST documents recurs: its lines
-(licence lines, notices, menus) are dropped, but for the first document that holds it. Lines of fewer than TOKENS
-tokens are kept.
+(licence lines, notices, menus) are dropped, but for the first document that holds it. Words of scripts without
+spaces are parsed character by character.
+
+A line of fewer than TOKENS tokens is too short for a template. With `short` it recurs if the same line, digits and
+all, stands in LEAST documents. With `long_least` a line of more than LONG tokens recurs, too, if the same line stands
+in that many documents. Both are told apart by a digest of the line and move no text.
 
 How it is spread out: leaves are counted first (a number each), and only lines of leaves in enough documents go on.
 These are summed by masked line before any shuffle of lines, so that a frequent line is one row a task. Leaves are
@@ -28,6 +32,8 @@ from .common import cut, slices
 LEADING, ALIKE = 3, 0.6
 #: Documents that make a template recurring; tokens of the shortest line considered.
 LEAST, TOKENS = 10, 5
+#: Tokens that a long line has more than, and the documents that make it recurring where it stands unchanged.
+LONG, LONG_LEAST = 50, 2
 #: Distinct masked lines of a leaf that are parsed together.
 TOGETHER = 2000
 #: Stands for a variable field.
@@ -35,11 +41,13 @@ ANY = "<*>"
 #: Slots of the filters that spare most rows a shuffle; they bound what is broadcast and decide no result.
 SLOTS = 1 << 22
 _DIGIT = re.compile(r"\d")
+#: Thai, Lao, Myanmar, Khmer, kana, CJK and their extensions.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def tokens_of(line: str) -> list[str]:
     """Tokens, those with a digit made variable."""
-    tokens = line.split()
+    tokens = (_UNSPACED.sub(r" \g<0> ", line) if _UNSPACED.search(line) else line).split()
     return [ANY if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
 
 
@@ -76,6 +84,21 @@ def _lines(text: str | None) -> list[tuple[int, list[str]]]:
     return [(i, t) for i, t in split if len(t) >= TOKENS]
 
 
+def _entries(text: str | None, least: int, short: bool, long_least: int | None) -> list[tuple[int, str, int, int]]:
+    """Position, masked line, leaf and the documents that make it recurring; a line that counts unchanged has its digest for both."""
+    parsed = _lines(text)
+    out = [(i, " ".join(t), leaf_of(t), least) for i, t in parsed]
+    if text and (short or long_least is not None):
+        sizes = {i: len(t) for i, t in parsed}
+        for i, x in enumerate(text.split("\n")):
+            n = sizes.get(i, 0)
+            need = long_least if n > LONG else least if short and not n else None
+            if need is not None and (words := x.split()):
+                m = "=" + xxhash.xxh3_128_hexdigest(" ".join(words).encode("utf-8", "surrogatepass"))
+                out.append((i, m, _key(m), need))
+    return out
+
+
 def _slots(keys: DataFrame, column: str, spark) -> np.ndarray:
     """Which of SLOTS slots hold a key: at most SLOTS numbers are gathered."""
     out = np.zeros(SLOTS, bool)
@@ -100,7 +123,7 @@ def _parsed(lines: DataFrame, group: list[str], parts: int) -> DataFrame:
     return dealt.mapInArrow(run, "leaf long, part int, line long, masked string, template int")
 
 
-def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, short: bool = False, long_least: int | None = None) -> DataFrame:
     """k (key), t (hash of the text), pos: the lines that are dropped."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -108,43 +131,47 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     kind = dict(rows.dtypes)["k"]
 
     def count(batches):
-        n: dict[int, int] = {}
+        n: dict[tuple[int, int], int] = {}
+
+        def counted():
+            leaves, needs = zip(*n)
+            return pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array(needs, pa.int32()), pa.array(n.values(), pa.int64())], ["leaf", "need", "n"])
+
         for b in slices(batches, 1000):
             for x in b.column(1).to_pylist():
-                for leaf in {leaf_of(t) for _, t in _lines(x)}:
+                for leaf in {(leaf, need) for _, _, leaf, need in _entries(x, least, short, long_least)}:
                     n[leaf] = n.get(leaf, 0) + 1
             if len(n) > 150_000:
-                yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.int64()), pa.array(n.values(), pa.int64())], ["leaf", "n"])
+                yield counted()
                 n = {}
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.int64()), pa.array(n.values(), pa.int64())], ["leaf", "n"])
+            yield counted()
 
-    busy = rows.mapInArrow(count, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    busy = rows.mapInArrow(count, "leaf long, need int, n long").groupBy("leaf", "need").agg(F.sum("n").alias("n")).where(F.col("n") >= F.col("need"))
     some = spark.sparkContext.broadcast(np.packbits(_slots(busy, "leaf", spark)))  # SLOTS bits
 
     def considered(batches):
         """Lines of busy leaves, once for each task and masked line with its text, and where each stands."""
         slot, seen = np.unpackbits(some.value), set()
         for b in slices(batches, 1000):
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for i, x in enumerate(b.column(1).to_pylist()):
-                found = [(p, t, leaf) for p, t in _lines(x) if slot[(leaf := leaf_of(t)) % SLOTS]]
+                found = [e for e in _entries(x, least, short, long_least) if slot[e[2] % SLOTS]]
                 if found:
                     digest = _key(x)
-                for p, t, leaf in found:
-                    m = " ".join(t)
+                for p, m, leaf, need in found:
                     line = _key(m)
                     if new := line not in seen:
                         if len(seen) > 150_000:
                             seen.clear()
                         seen.add(line)
-                    for column, value in zip(out, (i, digest, p, line, leaf, m if new else None)):
+                    for column, value in zip(out, (i, digest, p, line, leaf, need, m if new else None)):
                         column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string())
             columns = [pa.array(c, k) for c, k in zip(out, kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(columns[0]), *columns[1:]], ["k", "t", "pos", "line", "leaf", "masked"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(columns[0]), *columns[1:]], ["k", "t", "pos", "line", "leaf", "need", "masked"])
 
-    stands = cut(rows.mapInArrow(considered, f"k {kind}, t long, pos int, line long, leaf long, masked string"))
+    stands = cut(rows.mapInArrow(considered, f"k {kind}, t long, pos int, line long, leaf long, need int, masked string"))
     lines = cut(stands.where("masked is not null").groupBy("leaf", "line").agg(F.min("masked").alias("masked")))
     large = cut(lines.groupBy("leaf").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts")).where("parts > 1"))
     part = F.pmod("line", F.coalesce("parts", F.lit(1))).cast("int")
@@ -154,21 +181,21 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     again = _parsed(heads.withColumn("line", F.xxhash64("part", "template")), ["leaf"], parts).select("leaf", F.col("line").alias("head"), F.col("template").alias("joint"))
     named = first.withColumn("head", F.xxhash64("part", "template")).join(again, ["leaf", "head"], "left")
     named = cut(named.select("line", F.xxhash64("leaf", F.when(F.col("part") < 0, F.col("template")).otherwise(F.col("joint"))).alias("template")))
-    placed = stands.select("k", "t", "pos", "line").join(named, "line").select("k", "t", "pos", "template")
+    placed = stands.select("k", "t", "pos", "line", "need").join(named, "line").select("k", "t", "pos", "template", "need")
     # documents of each template, and its first place
-    each = placed.groupBy("template", "k", "t").agg(F.min("pos").alias("pos"))
-    often = cut(each.groupBy("template").agg(F.count("*").alias("n"), F.min(F.struct("k", "pos", "t")).alias("first")).where(F.col("n") >= least))
+    each = placed.groupBy("template", "k", "t").agg(F.min("pos").alias("pos"), F.min("need").alias("need"))
+    often = cut(each.groupBy("template").agg(F.count("*").alias("n"), F.min(F.struct("k", "pos", "t")).alias("first"), F.min("need").alias("_need")).where(F.col("n") >= F.col("_need")).drop("_need"))
     return placed.join(often, "template").where(~F.struct("k", "pos", "t").eqNullSafe(F.col("first"))).select("k", "t", "pos")
 
 
-def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, short: bool = False, long_least: int | None = None) -> DataFrame:
     """docs with n_lines, n_dropped and the text without lines of recurring templates.
 
     A null text stays null (0 lines); an empty one has one empty line. A text all of whose lines go becomes empty.
     Each template keeps its first line: of the least key, there the least position. Repeated rows are treated alike.
     """
     spark = docs.sparkSession
-    drops = cut(recurring_lines(docs, key, text, least).groupBy("k", "t").agg(F.collect_set("pos").alias("_drops")))
+    drops = cut(recurring_lines(docs, key, text, least, short, long_least).groupBy("k", "t").agg(F.collect_set("pos").alias("_drops")))
     hit = spark.createDataFrame(drops.select(F.pmod(F.xxhash64("k"), F.lit(SLOTS)).cast("int").alias("_slot")).distinct().toPandas(), "_slot int")
 
     def digests(batches):

@@ -51,7 +51,7 @@ def op8_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linelog.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linelog.clean(table(spark, sf_dir, "documents").select("doc_id", "text"), short=True, long_least=linelog.LONG_LEAST)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -454,6 +454,28 @@ def test_lines_against_one_process(docs, edges, none):
     assert linelog.clean(edges).count() == len(EDGES) and linelog.clean(none).count() == 0
 
 
+def test_op9_parses_every_line(spark, tmp_path):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    long = " ".join(word() for _ in range(60))
+    kanji = lambda: "".join(rng.choice("一二三四五六七八九十") for _ in range(4))
+    rows = [(i, "\n".join(["All rights reserved.", f"Page {i}", " ", f"本作品版权归作者所有转载请注明出处{kanji()}", *([long] if i < 2 else []), f"own {word()}"])) for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op9_lines(spark, str(tmp_path)).collect()}
+    for i, x in rows:
+        lines = x.split("\n")
+        want = lines if not i else [y for y in lines if y.startswith(("Page", "own")) or y == " "]
+        assert got[i].text == "\n".join(want) and got[i].n_dropped == len(lines) - len(want)
+
+
+def test_pipeline_drops_short_lines(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"All rights reserved.\n{'abcdefghijkl'[i] * 5} is a line of one document only", "en", "s", 0) for i in range(12)]
+    got = corpus_pipeline.drop_lines(spark, spark.createDataFrame(rows, DOCS), SF).collect()
+    assert [r.doc_id for r in got if "reserved" in r.text] == [0] and len(got) == 12
+
+
 def test_large_leaves_are_parsed_in_parts(spark, monkeypatch):
     monkeypatch.setattr(linelog, "TOGETHER", 20)
     rows = [(i, f"the user named {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]} has logged in today") for i in range(100)]
