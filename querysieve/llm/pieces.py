@@ -17,19 +17,19 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from hashlib import sha256
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import give_back, slices
 
 SPACE = "▁"
 #: Entries of each table that a worker keeps before it starts afresh.
-KEPT = 500_000
+KEPT = 100_000
 
 
 class PieceCodec:
@@ -51,6 +51,7 @@ class PieceCodec:
         self.bytes_of[sp.unk_id()] = " ⁇ ".encode()
         for b, i in enumerate(self.byte_ids):
             self.bytes_of[i] = bytes([b])
+        self.decimal = [str(i) for i in range(len(names))]
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
             if len(p) > 1 and self.merged(p) == [p]:
@@ -145,6 +146,12 @@ class PieceCodec:
         raw = b"".join(map(self.bytes_of.__getitem__, ids))
         return (raw[1:] if raw[:1] == b" " else raw).decode(errors="replace")
 
+    def forget(self) -> None:
+        """At a task's end: only the vocabulary stays."""
+        self.table.clear()
+        self.pairs.clear()
+        give_back()
+
 
 @lru_cache(maxsize=2)
 def codec(model_file: str) -> PieceCodec:
@@ -164,8 +171,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", into: str = "id
             np.cumsum([len(x) for x in ids], out=offsets[1:])
             values = np.concatenate(ids) if ids else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in fields), pa.ListArray.from_arrays(offsets, pa.array(values))], [*fields, into])
-        tool.table.clear()
-        give_back()
+        tool.forget()
 
     return docs.mapInArrow(run, schema)
 
@@ -187,11 +193,18 @@ def decode(tokens: DataFrame, model_file: str, ids: str = "ids", into: str = "de
 
 
 def digests(docs: DataFrame, model_file: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens, ids_sha256 and decoded_sha256 of every text."""
-    coded = decode(encode(docs.select(key, F.col(text).alias("_text")), model_file, "_text", "_ids").drop("_text"), model_file, "_ids", "_decoded")
-    return coded.select(
-        key,
-        F.size("_ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("_ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2(F.col("_decoded"), 256).alias("decoded_sha256"),
-    )
+    """key, n_tokens, ids_sha256 and decoded_sha256 of every text: encoded and decoded in one pass, one vocabulary a worker."""
+
+    def run(batches):
+        tool = codec(model_file)
+        for b in slices(batches, 256):
+            sizes, coded, decoded = [], [], []
+            for t in b.column(1):
+                ids = tool.encode(t.as_py()).tolist()
+                sizes.append(len(ids))
+                coded.append(sha256(",".join(map(tool.decimal.__getitem__, ids)).encode()).hexdigest())
+                decoded.append(sha256(tool.decode(ids).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        tool.forget()
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
