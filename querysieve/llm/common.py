@@ -109,6 +109,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Deletes what cut() wrote for df, which nothing may read from now on."""
+    plan = df._jdf.queryExecution().analyzed()
+    file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+    if file is not None and file.isDefined():
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def crc_bucket(column: str, n: int):
     """crc32 of the column's decimal text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

@@ -8,18 +8,19 @@ the join back on a hub's edges is one that adaptive execution can split.
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
+
+#: Nodes of a partition that are contracted at a time.
+AT_A_TIME = 500_000
 
 
 def _contract(batches):
-    """Edges of a partition as (node, least node that it reaches here); a partition's memory is its edges'."""
+    """Edges as (node, least node that it reaches among AT_A_TIME nodes or so of its partition)."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -28,16 +29,22 @@ def _contract(batches):
             x = p
         return x
 
+    def contracted():
+        nodes = np.fromiter(parent, np.int64, len(parent))
+        roots = np.fromiter(map(root, list(parent)), np.int64, len(nodes))
+        off = nodes != roots
+        return pa.RecordBatch.from_arrays([pa.array(nodes[off]), pa.array(roots[off])], ["u", "v"])
+
     for b in batches:
         for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             u, v = root(u), root(v)
             if u != v:
                 parent[max(u, v)] = min(u, v)
+        if len(parent) >= AT_A_TIME:
+            yield contracted()
+            parent.clear()
     if parent:
-        nodes = np.fromiter(parent, np.int64, len(parent))
-        roots = np.fromiter(map(root, list(parent)), np.int64, len(nodes))
-        off = nodes != roots
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[off]), pa.array(roots[off])], ["u", "v"])
+        yield contracted()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -48,14 +55,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        e = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
-        least = cut(e.groupBy("u").agg(F.min("v").alias("m")))
-        e = e.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = cut(e.where("u > v").distinct())
+        large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
+        small = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        starred = large.join(small, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        after = cut(starred.where("u > v").distinct())
+        for written in (e, least, large, small):
+            release(written)
+        e = after
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
         before = now
-        # the driver's garbage collection lets Spark delete what earlier rounds have written
-        gc.collect()
-        e.sparkSession.sparkContext._jvm.System.gc()

@@ -15,10 +15,12 @@ Two things keep candidates few without losing a pair:
   without them also signs its first elements in an order that has frequent shingles last: of two similar sets, each
   holds an element of the other among its first n - ceil(n * num/den) + 1. Two such sets meet there.
 
-Signatures are packed by Arrow batch and hash bucket and sorted bucket by bucket. A run of equal signatures is first
-linked as a chain; each set checks its best predecessor. After components of those links, only pairs of a run whose
-members are still in different components are enumerated and checked. A pair is thus either checked or already in
-one component, whatever the size of the groups of copies, and no group's pairs are spelled out.
+A node is a distinct shingle set, named by 64 bits of its digest, so copies take no further part than one link each.
+Signatures are packed by hash bucket and sorted bucket by bucket; each run of equal signatures is a row. In a run each
+node names a leader, the one that has most in common with others; a node's most frequent leader is checked. After
+components of those links, only pairs of a run whose members are still in different components are enumerated and
+checked. A pair is thus either checked or already in one component, whatever the size of the groups of copies, and no
+group's pairs are spelled out.
 
 Sets of 64-bit shingle hashes stand for sets of shingles.
 """
@@ -34,14 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, cut, gram_hashes, hash_words, map_arrow, mix, raw_bytes, slices
+from .common import ascii_words, cut, gram_hashes, hash_words, map_arrow, mix, raw_bytes, release, slices
 from .components import components
 
 SHINGLE, NUM, DEN = 5, 80, 100
-#: Signatures that one task sorts at a time, and documents packed together.
-PER_BUCKET, PACK = 1_500_000, 2000
+#: Signatures that one task sorts at a time, those packed together, and documents of a batch.
+PER_BUCKET, TOGETHER, PACK = 600_000, 1_000_000, 2000
 #: Members of a run whose pairs are listed; of a larger one, those that are compared with each other at a time.
-FEW, BLOCK = 16, 8192
+FEW, BLOCK = 16, 1024
 #: Members of a run in one row.
 LISTED = 4096
 #: Documents sampled for frequent shingles, documents of the sample that make one frequent, and the most kept.
@@ -147,19 +149,27 @@ def frequent_shingles(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, n
     return found[order], n[order]
 
 
+def node(s: np.ndarray) -> tuple[bytes, int]:
+    """Digest of a shingle set, and its first 64 bits as a number: sets of equal numbers are told apart when checked."""
+    digest = xxhash.xxh3_128_digest(s.tobytes())
+    return digest, int.from_bytes(digest[:8], "little", signed=True)
+
+
 def _described(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """key, n_shingles, a digest of the shingle set (null if empty) and its bitmap."""
+    """key, n_shingles, a digest of the shingle set (null if empty), its node and its bitmap."""
 
     def one(b):
-        sizes, digests, maps = [], [], []
+        sizes, digests, nodes, maps = [], [], [], []
         for raw in raw_bytes(b.column(1)):
             s = shingle_set(raw, k)
+            digest, name = node(s) if len(s) else (None, None)
             sizes.append(len(s))
-            digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+            digests.append(digest)
+            nodes.append(name)
             maps.append(bitmap(s))
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(maps, pa.binary())], [key, "n_shingles", "_digest", "_map"])
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(nodes, pa.int64()), pa.array(maps, pa.binary())], [key, "n_shingles", "_digest", "_node", "_map"])
 
-    return map_arrow(docs.select(key, text), one, f"`{key}` {dict(docs.dtypes)[key]}, n_shingles long, _digest binary, _map binary", 500)
+    return map_arrow(docs.select(key, text), one, f"`{key}` {dict(docs.dtypes)[key]}, n_shingles long, _digest binary, _node long, _map binary", 500)
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -182,109 +192,107 @@ def may_be_similar(n: int, x: bytes, m: int, y: bytes, num: int, den: int) -> bo
     return den * both >= num * (n + m - both)
 
 
-def _possible(pairs: DataFrame, about: DataFrame, key: str, bands: Bands) -> DataFrame:
-    """Those of the pairs (a, b) that their bitmaps don't rule out."""
-    known = about.where(f"n_shingles > 0 and `{key}` is not null").select(F.col(key).cast("long").alias("id"), F.struct(F.col("n_shingles").alias("n"), F.col("_map").alias("m")).alias("s"))
-    sided = pairs.join(known.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(known.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+def _possible(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+    """Ids (a, b) of those of the pairs of nodes that their bitmaps don't rule out."""
+    known = sets.select("node", F.struct("n", "map", "id").alias("s"))
+    sided = pairs.join(known.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(known.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
 
     def check(batches):
         for b in slices(batches, 2000):
-            columns = [b.column(i).field(j).to_pylist() for i in (2, 3) for j in (0, 1)]
+            columns = [b.column(i).field(j).to_pylist() for i in (0, 1) for j in (0, 1)]
             good = [may_be_similar(n, x, m, y, bands.num, bands.den) for n, x, m, y in zip(*columns)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(0).field(2), b.column(1).field(2)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return cut(sided.select("sa", "sb").mapInArrow(check, "a long, b long").where("a != b").distinct())
 
-    return cut(sided.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").distinct())
 
+def packed_signatures(sets: list[tuple[int, np.ndarray]], buckets: int) -> pa.RecordBatch:
+    """Signatures of nodes by bucket of their range: a row holds those of one bucket, and the nodes that have any there."""
+    nodes = np.array([n for n, _ in sets], np.int64)
+    sigs, who = np.concatenate([x for _, x in sets]), np.repeat(np.arange(len(sets)), [len(x) for _, x in sets])
+    bucket = ((sigs >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    order = np.argsort(bucket, kind="stable")
+    sigs, who, bucket = sigs[order], who[order], bucket[order]
+    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    rows: list[list] = [[], [], [], []]
+    for lo, hi in zip(starts, np.append(starts[1:], len(sigs))):
+        some, at = np.unique(who[lo:hi], return_inverse=True)
+        for column, value in zip(rows, (int(bucket[lo]), sigs[lo:hi].tobytes(), at.astype(np.uint16).tobytes(), nodes[some].tobytes())):
+            column.append(value)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "sigs", "who", "nodes"])
 
-def _runs(docs: DataFrame, key: str, text: str, k: int, bands: Bands, frequent: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
-    """sig, doc, lead, n: members of each run of equal signatures, with the member that has most in common with others.
 
-    Runs of the same members are given once, n times counted; sig is then the hash of their members.
+def equal_runs(sigs: np.ndarray, nodes: np.ndarray) -> pa.Table:
+    """sig, nodes, lead: the runs of equal signatures of two nodes or more, in rows of at most LISTED members.
+
+    How much a node has in common with others is what its runs' sizes come to; a run's leader is the member with most.
     """
+    ordered = np.sort(sigs)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if len(twice):
+        kept = twice[np.minimum(np.searchsorted(twice, sigs), len(twice) - 1)] == sigs
+        sigs, nodes = sigs[kept], nodes[kept]
+        order = np.lexsort((nodes, sigs))
+        sigs, nodes = sigs[order], nodes[order]
+        new = np.concatenate([[True], (sigs[1:] != sigs[:-1]) | (nodes[1:] != nodes[:-1])])
+        sigs, nodes = sigs[new], nodes[new]
+        starts = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
+        sizes = np.diff(np.append(starts, len(sigs)))
+        kept = np.repeat(sizes > 1, sizes)
+        sigs, nodes = sigs[kept], nodes[kept]
+    else:
+        sigs, nodes = sigs[:0], nodes[:0]
+    if not len(sigs):
+        return pa.table({"sig": pa.array([], pa.int64()), "nodes": pa.array([], pa.list_(pa.int64())), "lead": pa.array([], pa.int64())})
+    starts = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
+    sizes = np.diff(np.append(starts, len(sigs)))
+    run = np.repeat(np.arange(len(starts)), sizes)
+    _, who = np.unique(nodes, return_inverse=True)
+    score = np.bincount(who, np.repeat(sizes, sizes))[who]
+    lead = nodes[np.lexsort((nodes, -score, run))[starts]]
+    rows = np.flatnonzero((np.arange(len(run)) - starts[run]) % LISTED == 0)
+    listed = pa.ListArray.from_arrays(pa.array(np.append(rows, len(nodes)), pa.int32()), pa.array(nodes))
+    return pa.table({"sig": pa.array(sigs[rows].view(np.int64)), "nodes": listed, "lead": pa.array(lead[run[rows]])})
+
+
+def _runs(docs: DataFrame, text: str, k: int, bands: Bands, frequent: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
+    """sig, nodes, lead: see equal_runs."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most MOST numbers
 
-    def pack(b):
-        ids, sigs, seen = [], [], set()
-        for i, raw in zip(b.column(0).to_pylist(), raw_bytes(b.column(1))):
-            if raw and (i, raw) not in seen:
-                seen.add((i, raw))
-                found = signatures(shingle_set(raw, k), *shared.value, bands)
-                if len(found):
-                    ids.append(i)
-                    sigs.append(found)
-        if not ids:
-            return None
-        all_sigs = np.concatenate(sigs)
-        who = np.repeat(np.arange(len(ids), dtype=np.uint16), [len(x) for x in sigs])
-        bucket = ((all_sigs >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        order = np.argsort(bucket, kind="stable")
-        all_sigs, who = all_sigs[order], who[order]
-        ends = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-        packed = np.array(ids, np.int64).tobytes()
-        some = [j for j in range(buckets) if ends[j] < ends[j + 1]]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(some, pa.int32()),
-                pa.array([all_sigs[ends[j] : ends[j + 1]].tobytes() for j in some], pa.binary()),
-                pa.array([who[ends[j] : ends[j + 1]].tobytes() for j in some], pa.binary()),
-                pa.array([packed] * len(some), pa.binary()),
-            ],
-            ["bucket", "sigs", "who", "ids"],
-        )
+    def pack(batches):
+        held, seen, n = [], set(), 0
+        for b in slices(batches, PACK):
+            for raw in raw_bytes(b.column(0)):
+                s = shingle_set(raw, k)
+                if len(s) and (name := node(s)[1]) not in seen:
+                    seen.add(name)
+                    held.append((name, signatures(s, *shared.value, bands)))
+                    n += len(held[-1][1])
+                    if n >= TOGETHER or len(held) > 65_000:
+                        yield packed_signatures(held, buckets)
+                        held, seen, n = [], set(), 0
+        if n:
+            yield packed_signatures(held, buckets)
 
     def match(t: pa.Table) -> pa.Table:
-        cols = [t.column(c).to_pylist() for c in ("sigs", "who", "ids")]
-        sigs = np.concatenate([np.frombuffer(x, np.uint64) for x in cols[0]])
-        docs_ = np.concatenate([np.frombuffer(i, np.int64)[np.frombuffer(w, np.uint16)] for w, i in zip(cols[1], cols[2])])
-        del cols
-        ordered = np.sort(sigs)
-        twice = ordered[1:][ordered[1:] == ordered[:-1]]
-        empty = pa.table({"sig": pa.array([], pa.int64()), "chunk": pa.array([], pa.int32()), "docs": pa.array([], pa.list_(pa.int64())), "lead": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        if not len(twice):
-            return empty
-        at = np.minimum(np.searchsorted(twice, sigs), len(twice) - 1)
-        kept = twice[at] == sigs
-        sigs, docs_ = sigs[kept], docs_[kept]
-        order = np.lexsort((docs_, sigs))
-        sigs, docs_ = sigs[order], docs_[order]
-        new = np.concatenate([[True], (sigs[1:] != sigs[:-1]) | (docs_[1:] != docs_[:-1])])
-        sigs, docs_ = sigs[new], docs_[new]
-        starts = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
-        sizes = np.diff(np.append(starts, len(sigs)))
-        members = mix(np.add.reduceat(mix(docs_.view(np.uint64) + np.uint64(1)), starts) + sizes.astype(np.uint64))
-        _, first, times = np.unique(members, return_index=True, return_counts=True)
-        n = np.zeros(len(starts), np.int64)
-        n[first] = times
-        n[sizes < 2] = 0
-        # how much a set has in common with others: the sizes of its runs; a run's leader is the set with most
-        _, who = np.unique(docs_, return_inverse=True)
-        score = np.bincount(who, np.repeat(n * sizes, sizes))[who]
-        run = np.repeat(np.arange(len(starts)), sizes)
-        order = np.lexsort((docs_, -score, run))
-        lead = docs_[order[starts]][run]
-        kept = n[run] > 0
-        docs_, lead, run, at = docs_[kept], lead[kept], run[kept], (np.arange(len(run)) - starts[run])[kept]
-        rows = np.flatnonzero(at % LISTED == 0)
-        listed = pa.LargeListArray.from_arrays(np.append(rows, len(docs_)), pa.array(docs_)).cast(pa.list_(pa.int64()))
-        return pa.table({"sig": pa.array(members[run[rows]].view(np.int64)), "chunk": pa.array((at[rows] // LISTED).astype(np.int32)), "docs": listed, "lead": pa.array(lead[rows]), "n": pa.array(n[run[rows]])})
-
-    packed = map_arrow(docs.select(F.col(key).cast("long").alias("id"), text).where("id is not null"), pack, "bucket int, sigs binary, who binary, ids binary", PACK)
-    lists = packed.groupBy("bucket").applyInArrow(match, "sig long, chunk int, docs array<long>, lead long, n long")
-    once = lists.groupBy("sig", "chunk").agg(F.min("docs").alias("docs"), F.min("lead").alias("lead"), F.sum("n").alias("n"))
-    return once.select("sig", F.explode("docs").alias("doc"), "lead", "n")
-
-
-def _compared(members: DataFrame, about: DataFrame, key: str, bands: Bands) -> DataFrame:
-    """Pairs (a, b) of different components of a run (sig, id, component, m) that their bitmaps don't rule out.
-
-    A run is compared inside a task, in blocks of at most BLOCK members, and only the pairs left over become rows.
+        sigs = np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("sigs").to_pylist()])
+        nodes = np.concatenate([np.frombuffer(i, np.int64)[np.frombuffer(w, np.uint16)] for w, i in zip(t.column("who").to_pylist(), t.column("nodes").to_pylist())])
+        return equal_runs(sigs, nodes)
+
+    packed = docs.select(text).mapInArrow(pack, "bucket int, sigs binary, who binary, nodes binary")
+    return packed.groupBy("bucket").applyInArrow(match, "sig long, nodes array<long>, lead long")
+
+
+def _compared(members: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+    """Ids (a, b) of pairs of different components of a run (sig, node, component, m) that their bitmaps don't rule out.
+
+    A run is compared inside tasks, in blocks of about BLOCK members, and only the pairs left over become rows.
     """
-    known = about.where(f"n_shingles > 0 and `{key}` is not null").select(F.col(key).cast("long").alias("id"), F.struct(F.col("n_shingles").alias("n"), F.col("_map").alias("map")).alias("s"))
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     pairs = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), own.alias("own"))))
-    rows = members.join(known, "id").select("sig", "id", "component", "s", pairs.alias("p")).select("sig", "p.i", "p.j", "p.own", "id", "component", "s.n", "s.map")
+    rows = members.join(sets, "node").select("sig", "component", "id", "n", "map", pairs.alias("p")).select("sig", "p.i", "p.j", "p.own", "id", "component", "n", "map")
     rows = rows.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
 
     def run(batches):
@@ -316,7 +324,7 @@ def _compared(members: DataFrame, about: DataFrame, key: str, bands: Bands) -> D
         if held:
             yield flush()
 
-    return cut(rows.mapInArrow(run, "a long, b long").distinct())
+    return cut(rows.mapInArrow(run, "a long, b long").where("a != b").distinct())
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, bands: Bands) -> DataFrame:
@@ -359,39 +367,34 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SH
     """key, n_shingles and component_id (least key that links lead to) of every row.
 
     Null, empty and wordless texts have no shingles and no links. Rows of equal key are one node; rows with a null key
-    none (component null). Keys are whole numbers. Equal texts are linked without a comparison.
+    none (component null). Keys are whole numbers. Equal sets are linked without a comparison.
     """
     about = cut(_described(docs, key, text, k))
     shingles = about.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     if not shingles:
         return about.select(key, "n_shingles", F.col(key).cast("long").alias("component_id"))
-    nodes = about.where(f"_digest is not null and `{key}` is not null").select(F.col(key).cast("long").alias("id"), "_digest")
-    firsts = cut(nodes.groupBy("_digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last"))
-    copies = cut(nodes.join(firsts, "_digest").select("id", "first").where("id > first").distinct())
-    # the place of a node among copies: the least key of an equal set
-    place = cut(copies.groupBy("id").agg(F.min("first").alias("first")))
-    buckets = max(1, math.ceil(0.8 * shingles / PER_BUCKET))
-    runs = cut(_runs(docs, key, text, k, bands, frequent_shingles(docs, text, k), buckets))
-
-    def placed(df: DataFrame, *columns: str) -> DataFrame:
-        for c in columns:
-            df = df.join(place.select(F.col("id").alias(c), F.col("first").alias("_first")), c, "left").withColumn(c, F.coalesce("_first", c)).drop("_first")
-        return df
-
-    chained = placed(runs.where("doc != lead").groupBy("doc", "lead").agg(F.sum("n").alias("n")), "doc", "lead").where("doc != lead")
-    best = cut(chained.groupBy(F.col("doc").alias("a")).agg(F.max_by("lead", F.struct("n", "lead")).alias("b")))
-    links = copies.select(F.col("id").alias("a"), F.col("first").alias("b")).unionByName(cut(_similar(_possible(best, about, key, bands), docs, key, text, k, bands)))
+    rows = about.where(f"_digest is not null and `{key}` is not null").select(F.col(key).cast("long").alias("id"), "_digest", "_node", "n_shingles", "_map")
+    # each distinct set, with the least key that has it; the other keys are its copies
+    sets = cut(rows.groupBy("_digest").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("_node").alias("node"), F.first("n_shingles").alias("n"), F.first("_map").alias("map")))
+    copies = cut(rows.select("id", "_digest").join(sets.where("id < last").select("_digest", F.col("id").alias("first")), "_digest").where("id > first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct())
+    sets = sets.select("node", "id", "n", "map")
+    runs = cut(_runs(docs.where(F.col(key).isNotNull()), text, k, bands, frequent_shingles(docs, text, k), max(1, math.ceil(0.8 * shingles / PER_BUCKET))))
+    led = runs.select(F.explode("nodes").alias("a"), "lead").where("a != lead").groupBy("a", "lead").agg(F.count("*").alias("n"))
+    best = cut(led.groupBy("a").agg(F.max_by("lead", F.struct("n", "lead")).alias("b")))
+    links = copies.unionByName(cut(_similar(_possible(best, sets, bands), docs, key, text, k, bands)))
     joined = cut(components(links))
-    # pairs of a run that these links have not brought together
-    member = runs.select("sig", F.col("doc").alias("id")).join(joined, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
-    split = cut(member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("sig", "m"))
-    left = placed(member.join(split, "sig"), "id").distinct()
-    left = cut(left)
+    # runs that these links have not brought together; runs of the same members count once
+    where = sets.select("node", "id").join(joined, "id", "left").select("node", F.coalesce("component", "id").alias("component"))
+    member = runs.select("sig", F.explode("nodes").alias("node")).join(where, "node")
+    split = member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    split = split.where("lo < hi").groupBy("m", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "m")
+    left = cut(member.join(split, "sig"))
+    release(runs)
     few, many = left.where(F.col("m") <= FEW), left.where(F.col("m") > FEW)
-    a, b = (few.select("sig", F.col("id").alias(x), F.col("component").alias(f"_{x}")) for x in "ab")
+    a, b = (few.select("sig", F.col("node").alias(x), F.col("component").alias(f"_{x}")) for x in "ab")
     listed = a.join(b, "sig").where("a > b and _a != _b").select("a", "b").distinct()
-    rest = _possible(listed, about, key, bands).unionByName(_compared(many, about, key, bands)).distinct()
-    more = _similar(rest, docs, key, text, k, bands)
+    rest = _possible(listed, sets, bands).unionByName(_compared(many, sets, bands)).distinct()
+    more = cut(_similar(rest, docs, key, text, k, bands))
     final = cut(components(links.unionByName(more)))
     out = about.select(key, "n_shingles", F.col(key).cast("long").alias("id")).join(final, "id", "left")
     return out.select(key, "n_shingles", F.coalesce("component", "id").alias("component_id"))
