@@ -16,6 +16,7 @@ Null or empty text: no ids, decoded text empty. Extra columns are left alone.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 from hashlib import sha256
 
@@ -28,8 +29,8 @@ from pyspark.sql import DataFrame
 from .common import give_back, slices
 
 SPACE = "▁"
-#: Entries of each table that a worker keeps before it starts afresh.
-KEPT = 100_000
+#: Encoded parts and pairs of tokens that a worker keeps before it starts afresh: about 60 MB each.
+KEPT, PAIRS = 300_000, 500_000
 
 
 class PieceCodec:
@@ -78,25 +79,27 @@ class PieceCodec:
     def compatible(self, left: str, right: str) -> bool:
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) >= KEPT:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             known = self.pairs[left, right] = self.merged(left + right) == [left, right]
         return known
 
     def pieces(self, text: str) -> list[str]:
         """The encoding of a text, as entries and single characters."""
-        ends: list[list[str]] = [[c] for c in text]
+        last: list[str] = list(text)  # where no entry will do it is the character alone: a prefix has one last token
+        pairs, done = self.pairs, -1
         for end, p in self.automaton.iter(text):
-            ends[end].append(p)
-        last: list[str] = []
-        for end, found in enumerate(ends):
-            for p in found:
-                start = end - len(p) + 1
-                if not start or self.compatible(last[start - 1], p):
-                    last.append(p)
-                    break
-            else:
-                raise AssertionError(f"no encoding ends at {end} of {text!r}")
+            if end != done:
+                start = end - len(p)
+                if start < 0:
+                    last[end], done = p, end
+                else:
+                    left = last[start]
+                    fits = pairs.get((left, p))
+                    if fits is None:
+                        fits = self.compatible(left, p)
+                    if fits:
+                        last[end], done = p, end
         out, end = [], len(text) - 1
         while end >= 0:
             out.append(last[end])
@@ -104,16 +107,16 @@ class PieceCodec:
         return out[::-1]
 
     def _piece_ids(self, text: str) -> list[int]:
-        out: list[int] = []
-        for p in self.pieces(text):
-            i = self.ids.get(p)
-            out += [i] if i is not None else [self.byte_ids[b] for b in p.encode()]
-        return out
+        known = self.ids
+        try:
+            return [known[p] for p in self.pieces(text)]
+        except KeyError:
+            return [i for p in self.pieces(text) for i in ([known[p]] if p in known else [self.byte_ids[b] for b in p.encode()])]
 
     def cut_ids(self, part: str) -> bytes:
         """int32 ids of a part between cuts."""
         if self.letters.issuperset(part):
-            return np.array(self._piece_ids(part), np.int32).tobytes()
+            return array("i", self._piece_ids(part)).tobytes()
         out: list[int] = []
         run = ""
         for c in part:
@@ -124,7 +127,7 @@ class PieceCodec:
                 run = ""
                 out += [self.byte_ids[b] for b in c.encode()]
         out += self._piece_ids(run) if run else []
-        return np.array(out, np.int32).tobytes()
+        return array("i", out).tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
