@@ -322,6 +322,36 @@ def test_topk_of_few_and_none(spark):
     assert topk.search(few.limit(0), F.col("vec_id") == 0, topk.sixty_fourths()).count() == 0
 
 
+def test_topk_leaves_most_products_out(spark):
+    """The pivot table, not brute force, decides what is evaluated."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    n = spark.sparkContext.accumulator(0)
+    found = topk.search(rows, F.col("vec_id") % 20 == 0, topk.sixty_fourths(), counted=n)
+    assert found.count() == 20 * rows.where("vec_id % 20 = 0").count()
+    assert 0 < n.value < 0.4 * rows.where("vec_id % 20 = 0").count() * rows.count()
+
+
+def test_topk_bounds_hold():
+    rng = np.random.default_rng(3)
+    x = np.floor(rng.normal(0, 20, (300, 12)))
+    table = topk.PivotTable(x[:50], 7)
+    at, products = table.places(x), x @ x.T
+    assert len(table.points) == 7 and (at @ at.T >= products - 1e-6).all()
+    # as tight as any triangle inequality over the same pivots
+    far = np.sqrt(table.distances(x))
+    low = np.abs(far[:, None] - far[None]).max(axis=2)
+    norm = (x * x).sum(1)
+    assert (at @ at.T <= (norm[:, None] + norm[None] - low**2) / 2 + 0.1).all()
+
+
+def test_topk_of_ragged_and_repeated_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "WAVE", 1)
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [3.0, 1.0]), (1, [3.0, 1.0]), (2, [5.0]), (20, [2.0]), (3, []), (None, [9.0, 9.0]), (40, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(df, F.col("vec_id") % 20 == 0, topk.sixty_fourths(), block=1).collect()}
+    assert got == {(0, 1, 1, 5 * 4096), (0, 2, 1, 5 * 4096), (20, 1, 2, 10 * 4096)}
+
+
 @pytest.mark.parametrize("bad", [float("nan"), float("inf"), float("-inf"), None])
 def test_topk_leaves_out_a_vector_with_one_bad_component(spark, bad):
     rows = [(0, [1.0, -0.5, 0.25]), (1, [0.5, 0.0, 0.0]), (2, [0.25, 0.0, 0.0]), (3, [9.0, bad, 0.0]), (20, [9.0, 0.0, bad])]
