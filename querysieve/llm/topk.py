@@ -97,13 +97,13 @@ def search(rows: DataFrame, queries: Column, vector: Column, key: str = "vec_id"
 
     vector: ARRAY<DOUBLE> of whole numbers; products up to 2^53 are exact. Rows whose vector is null, empty or holds a null
     or non-finite number take no part, nor do rows without a key. Vectors of different lengths have no product: a query is
-    compared with those of its own length. Rows of a query's own key are left out. A row that stands twice may take two
-    ranks. An empty table gives an empty result. counted: an accumulator for the number of products evaluated.
+    compared with those of its own length. Rows of a query's own key are left out. A row that stands twice takes two
+    ranks; as a query it counts once. An empty table gives an empty result. counted: an accumulator for the number of products evaluated.
     """
     spark = rows.sparkSession
     usable = rows.select(F.col(key).cast("long").alias("id"), vector.alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
     usable = usable.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (F.size("v") > 0))
-    asked = cut(usable.where("q").select("id", "v"))
+    asked = cut(usable.where("q").select("id", "v").dropDuplicates())
     n = asked.count()
     if not n:
         return spark.createDataFrame([], f"query_id long, rank int, `{key}` long, score long")
