@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .order import hash_bucket, hash_key, id_bucket, rank_by_hash, running_total
+from querysieve.sources.io import settle
+
+from .order import hash_bucket, hash_key, id_bucket, rank_by_hash, running_totals
 from .sample import until
 from .tokens import Tokenizer, pack, tokenize
 
@@ -27,6 +29,7 @@ def balance(clean: DataFrame, dirty: DataFrame, seed: int = 42, key: str = "bloc
 
     Too few dirty tokens are made up by clean blocks; of too many, a random part is kept.
     """
+    clean, dirty = settle(clean), settle(dirty)  # made once, read for the sums and for the blocks
     n_clean, n_dirty = _tokens(clean), _tokens(dirty)
     if n_dirty < n_clean:
         more = _take(clean, n_clean - n_dirty, seed, key)
@@ -45,6 +48,7 @@ def inject(blocks: DataFrame, pool: DataFrame, proportion: float, seed: int = 42
     """
     if not 0 <= proportion <= 1:
         raise ValueError("proportion lies between 0 and 1")
+    blocks, pool = settle(blocks), settle(pool)
     n, n_pool = blocks.count(), pool.count()
     k = int(n * proportion)
     if k and not n_pool:
@@ -92,6 +96,7 @@ def head(blocks: DataFrame, n: int, key: str = "block_id") -> DataFrame:
 def mix(clean: DataFrame, dirty: DataFrame, total_tokens: int, rate: float, size: int = 512) -> DataFrame:
     """side and blocks: the heads of both pools at a rate. ValueError if a pool is too short."""
     want = targets(total_tokens, rate, size)
+    clean, dirty = settle(clean), settle(dirty)
     for name, pool, n in (("clean", clean, want.clean), ("dirty", dirty, want.dirty)):
         there = pool.count()
         if there < n:
@@ -105,9 +110,8 @@ def with_quotas(rows: DataFrame, clean: Column, dirty: Column, n_tokens: Column,
     A side takes candidates while its tokens before the row are below its pool; the pass ends with the row after which
     both sides have theirs (stop: its key; null if the rows end first), and rows up to it count as seen.
     """
-    rows = rows.withColumns({"_n": n_tokens.cast("long"), "_c": clean, "_d": dirty})
-    for side in "cd":
-        rows = running_total(rows, id_bucket(key), [key], F.when(F.col(f"_{side}"), F.col("_n")).otherwise(F.lit(0).cast("long")), f"_b{side}")
+    rows = settle(rows.withColumns({"_n": n_tokens.cast("long"), "_c": clean, "_d": dirty}))
+    rows = running_totals(rows, id_bucket(key), [key], {f"_b{s}": F.when(F.col(f"_{s}"), F.col("_n")).otherwise(F.lit(0).cast("long")) for s in "cd"})
     quota = {"c": want.clean_pool * size, "d": want.dirty_pool * size}
     reached = [F.min(F.when(F.col(f"_b{s}") + F.when(F.col(f"_{s}"), F.col("_n")).otherwise(0) >= q, F.col(key))) if q else F.lit(-1).cast("long") for s, q in quota.items()]
     ends = rows.agg(reached[0].alias("c"), reached[1].alias("d")).select(F.when(F.col("c").isNotNull() & F.col("d").isNotNull(), F.greatest("c", "d")).alias("stop"))

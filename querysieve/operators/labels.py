@@ -10,6 +10,8 @@ from querysieve.functions import text
 from . import sample
 
 URL = "/v1/chat/completions"
+#: Templates, and characters of them, that every task may be sent.
+MOST, MOST_CHARACTERS = 100_000, 16_000_000
 
 
 def normalise(pairs: DataFrame, keep_type: bool = False) -> DataFrame:
@@ -128,10 +130,13 @@ def malformed(responses: DataFrame) -> DataFrame:
 def fill_templates(queries: DataFrame, templates: DataFrame, key: str = "idx") -> DataFrame:
     """queries with a context from a template that the key chooses: a folder, a file in it, a template in that, evenly.
 
-    templates: folder, file, pos, template. Their numbers within folder and file make the choice an equi-join.
+    templates: folder, file, pos, template. Their numbers within folder and file make the choice an equi-join. Up to MOST
+    templates go to every task; more are joined by their numbers, which are many then.
     """
     from pyspark.sql import Window as W
 
+    few = templates.limit(MOST + 1).count() <= MOST and (templates.agg(F.sum(F.length("template"))).first()[0] or 0) <= MOST_CHARACTERS
+    sent = F.broadcast if few else (lambda df: df)
     numbered = templates.select(
         "folder", "file", "template",
         (F.dense_rank().over(W.orderBy("folder")) - 1).alias("nd"),
@@ -142,9 +147,9 @@ def fill_templates(queries: DataFrame, templates: DataFrame, key: str = "idx") -
     files = numbered.groupBy("nd").agg((F.max("nf") + 1).alias("files"))
     sizes = numbered.groupBy("nd", "nf").agg((F.max("nt") + 1).alias("texts"))
     q = queries.join(F.broadcast(folders)).withColumn("nd", sample.choose(key, F.col("dirs"), "dir").cast("int"))
-    q = q.join(files, "nd").withColumn("nf", sample.choose(key, F.col("files"), "file").cast("int"))
-    q = q.join(sizes, ["nd", "nf"]).withColumn("nt", sample.choose(key, F.col("texts"), "text").cast("int"))
-    out = q.join(numbered, ["nd", "nf", "nt"])
+    q = q.join(sent(files), "nd").withColumn("nf", sample.choose(key, F.col("files"), "file").cast("int"))
+    q = q.join(sent(sizes), ["nd", "nf"]).withColumn("nt", sample.choose(key, F.col("texts"), "text").cast("int"))
+    out = q.join(sent(numbered), ["nd", "nf", "nt"])
     return out.select(*queries.columns, text.fill("template", query=F.col("query")).alias("context"), F.concat_ws("/", "folder", "file").alias("template"))
 
 

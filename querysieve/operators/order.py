@@ -29,14 +29,25 @@ def hash_bucket(hashed: Column, digits: int = 3) -> Column:
     return F.substring(hashed, 1, digits)
 
 
+def running_totals(df: DataFrame, bucket: Column, by: list[str], values: dict[str, Column]) -> DataFrame:
+    """df with columns named by values: each one's sum over all rows before, in the order of bucket, then by (which must tell rows apart).
+
+    df is read twice, for the buckets' totals and for the rows; where its columns are dear, write them first (settle).
+    """
+    names = list(values)
+    df = df.withColumns({"_bucket": bucket} | {f"_v{i}": values[n] for i, n in enumerate(names)})
+    totals = df.groupBy("_bucket").agg(*[F.sum(f"_v{i}").alias(f"_s{i}") for i in range(len(names))])
+    earlier = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)  # one row a bucket
+    before = totals.select(F.col("_bucket").alias("_b"), *[F.coalesce(F.sum(f"_s{i}").over(earlier), F.lit(0)).alias(f"_s{i}") for i in range(len(names))])
+    inside = W.partitionBy("_bucket").orderBy(*by).rowsBetween(W.unboundedPreceding, -1)
+    placed = df.withColumns({f"_i{i}": F.coalesce(F.sum(f"_v{i}").over(inside), F.lit(0)) for i in range(len(names))}).join(before, F.col("_bucket").eqNullSafe(F.col("_b")))
+    placed = placed.withColumns({n: F.col(f"_s{i}") + F.col(f"_i{i}") for i, n in enumerate(names)})
+    return placed.drop("_bucket", "_b", *[f"_{x}{i}" for x in "vsi" for i in range(len(names))])
+
+
 def running_total(df: DataFrame, bucket: Column, by: list[str], value: Column, into: str) -> DataFrame:
-    """df with the sum of value over all rows before each, in the order of bucket, then by (which must tell rows apart)."""
-    df = df.withColumns({"_bucket": bucket, "_value": value})
-    totals = df.groupBy("_bucket").agg(F.sum("_value").alias("_sum"))
-    before = totals.select(F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.coalesce(F.sum("_value").over(W.partitionBy("_bucket").orderBy(*by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = df.withColumn("_inside", inside).join(before, F.col("_bucket").eqNullSafe(F.col("_b")))
-    return placed.withColumn(into, F.col("_before") + F.col("_inside")).drop("_bucket", "_value", "_inside", "_before", "_b")
+    """running_totals of one value."""
+    return running_totals(df, bucket, by, {into: value})
 
 
 def rank_by_hash(df: DataFrame, key: str, seed: int, into: str = "rank") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 from typing import Protocol
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from querysieve.sources.io import settle
+
 from .order import id_bucket, running_total
 
 PAD, EOS, UNKNOWN = 0, 1, 2
@@ -43,6 +46,20 @@ class WordTokenizer:
         return F.array_join(F.transform(F.filter(ids, lambda i: i > UNKNOWN), lambda i: i.cast("string")), " ")
 
 
+@dataclass(frozen=True)
+class SurfaceTokenizer:
+    """Tokens are the words themselves (ARRAY<STRING>): blocks of them decode to readable text without a vocabulary."""
+
+    vocabulary: int = 0
+    pattern: str = r"[^ \t\r\n]+"
+
+    def ids(self, text: Column) -> Column:
+        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), 0)
+
+    def text(self, ids: Column) -> Column:
+        return F.array_join(ids, " ")
+
+
 @dataclass(frozen=True)
 class TableTokenizer:
     """Words looked up in a fixed list of at most `most` entries; others are UNKNOWN. Decodes."""
@@ -71,11 +88,23 @@ class TableTokenizer:
 
 @dataclass(frozen=True)
 class FileTokenizer:
-    """A tokenizers (JSON) or sentencepiece (model) file that every executor can read; Arrow batches."""
+    """A tokenizers (JSON) or sentencepiece (model) file that every executor can read; Arrow batches, loaded once a worker."""
 
     path: str
     vocabulary: int
 
+    @classmethod
+    def of(cls, path: str) -> "FileTokenizer":
+        """With the vocabulary's size that the file gives."""
+        if path.endswith(".model"):
+            import sentencepiece
+
+            return cls(path, sentencepiece.SentencePieceProcessor(model_file=path).get_piece_size())
+        import tokenizers
+
+        return cls(path, tokenizers.Tokenizer.from_file(path).get_vocab_size())
+
+    @cached_property
     def _load(self):
         if self.path.endswith(".model"):
             import sentencepiece
@@ -88,16 +117,20 @@ class FileTokenizer:
         return (lambda ts: [e.ids for e in tool.encode_batch(ts, add_special_tokens=False)]), tool.decode_batch
 
     def ids(self, text: Column) -> Column:
+        tool = FileTokenizer(self.path, self.vocabulary)  # as it is before it has loaded anything
+
         @F.pandas_udf("array<int>")
         def encode(batches: "pd.Series") -> "pd.Series":
-            return pd.Series(self._load()[0](batches.fillna("").tolist()))
+            return pd.Series(tool._load[0](batches.fillna("").tolist()))
 
         return encode(text)
 
     def text(self, ids: Column) -> Column:
+        tool = FileTokenizer(self.path, self.vocabulary)
+
         @F.pandas_udf("string")
         def decode(batches: "pd.Series") -> "pd.Series":
-            return pd.Series(self._load()[1]([list(map(int, x)) for x in batches]))
+            return pd.Series(tool._load[1]([list(map(int, x)) for x in batches]))
 
         return decode(ids)
 
@@ -116,6 +149,12 @@ def _cut(pieces: DataFrame, size: int, short: Column | None, group: list[str]) -
     return blocks.where(full | short if short is not None else full)
 
 
+def _placed(tokens: DataFrame, key: str) -> DataFrame:
+    """Tokens with their place in the stream. They are made once and written; places come from key and count alone."""
+    own = settle(tokens.select(key, "input_ids", F.size("input_ids").cast("long").alias("_n")))
+    return running_total(own, id_bucket(key), [key], F.col("_n"), "start").drop("_n")
+
+
 def _pieces(placed: DataFrame, size: int, *extra: str) -> DataFrame:
     """Each document's part of each block that it reaches into; tokens are cut out of arrays, never exploded."""
     n = F.size("input_ids")
@@ -128,14 +167,12 @@ def _pieces(placed: DataFrame, size: int, *extra: str) -> DataFrame:
 
 def pack(tokens: DataFrame, size: int = 512, key: str = "doc_id") -> DataFrame:
     """block_id, input_ids, attention_mask: the token stream in the order of key, cut into blocks; a short tail goes."""
-    placed = running_total(tokens.select(key, "input_ids"), id_bucket(key), [key], F.size("input_ids").cast("long"), "start")
-    return _cut(_pieces(placed, size), size, None, []).withColumn("attention_mask", F.array_repeat(F.lit(1), size))
+    return _cut(_pieces(_placed(tokens, key), size), size, None, []).withColumn("attention_mask", F.array_repeat(F.lit(1), size))
 
 
 def pack_all(tokens: DataFrame, size: int = 512, key: str = "doc_id") -> DataFrame:
     """As pack, with the short tail."""
-    placed = running_total(tokens.select(key, "input_ids"), id_bucket(key), [key], F.size("input_ids").cast("long"), "start")
-    return _cut(_pieces(placed, size), size, F.lit(True), []).withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
+    return _cut(_pieces(_placed(tokens, key), size), size, F.lit(True), []).withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
 
 
 def pack_per_batch(tokens: DataFrame, size: int = 512, batch: int = 1000, key: str = "doc_id", rows: str | None = None) -> DataFrame:

@@ -11,6 +11,8 @@ SNIPPETS = [
     "PREFIX wd: <http://x/> SELECT ?x WHERE { ?x ?p ?y . }",
     "please select where you go",
     "CREATE TABLE t (id int)",
+    "the place where we met",
+    "notes on sql and cypher, for whoever wants them",
 ]
 
 
@@ -19,8 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents with a snippet under five of eight texts, so that each branch of the detectors has rows."""
-    snippet = F.element_at(F.array(*map(F.lit, SNIPPETS), F.lit(None), F.lit(None), F.lit(None)), (F.col("doc_id") % 8 + 1).cast("int"))
+    """documents with a snippet under seven of eight texts, so that each branch of the detectors has rows."""
+    snippet = F.element_at(F.array(*map(F.lit, SNIPPETS), F.lit(None)), (F.col("doc_id") % 8 + 1).cast("int"))
     return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", "text", snippet).alias("text"))
 
 

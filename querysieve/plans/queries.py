@@ -188,15 +188,15 @@ def manual_review_rows(spark, sf_dir):
     return audit.manual_review(audit.samples(annotated(spark, sf_dir), 5, "first_k"))
 
 
-@query(f"""WITH {ANNOTATED}, r AS (SELECT unnest([-1, 0, 1, 2, 3, 4, 5, 123456789]) AS i),
+@query(f"""WITH {ANNOTATED}, r AS (SELECT unnest([-1, 0, 1, 2, 3, 4, 5, 6, 7, 123456789]) AS i),
  j AS (SELECT r.i, a.*, CASE WHEN r AND matched_substring <> '' THEN 'regex' WHEN k THEN 'keyword' ELSE '' END AS kind FROM r LEFT JOIN ann a ON a.doc_id = r.i),
- p AS (SELECT *, CASE kind WHEN 'regex' THEN instr(lower(text), lower(matched_substring)) - 1 ELSE -1 END AS s FROM j)
+ p AS (SELECT *, CASE kind WHEN 'regex' THEN instr(lower(text), lower(matched_substring)) - 1 WHEN 'keyword' THEN length(regexp_extract(text, '(?is)^((?:.*?{_W})??)' || kws[1] || '(?:{_W}|$)', 1)) ELSE -1 END::INTEGER AS s,
+ CASE kind WHEN 'regex' THEN length(matched_substring) WHEN 'keyword' THEN length(kws[1]) ELSE 0 END::INTEGER AS m FROM j)
  SELECT i::VARCHAR AS index, CASE WHEN doc_id IS NULL THEN 'index_out_of_range' ELSE '' END AS hydrate_error, coalesce(length(text), 0)::INTEGER AS text_char_len, coalesce(array_to_string(strict_types, '|'), '') AS strict_query_types_recomputed,
- coalesce(kind, '') AS trigger_kind, CASE WHEN kind = 'regex' THEN matched_substring ELSE '' END AS trigger_text, CASE WHEN kind = 'regex' THEN s ELSE -1 END::INTEGER AS trigger_start,
- CASE WHEN kind = 'regex' THEN s + length(matched_substring) ELSE -1 END::INTEGER AS trigger_end,
- CASE WHEN kind = 'regex' THEN substr(text, (greatest(0, s - 160) + 1)::INTEGER, (least(length(text), s + length(matched_substring) + 160) - greatest(0, s - 160))::INTEGER) ELSE '' END AS trigger_context, coalesce(text, '') AS text_full FROM p""")
+ coalesce(kind, '') AS trigger_kind, CASE kind WHEN 'regex' THEN matched_substring WHEN 'keyword' THEN substr(text, s + 1, m) ELSE '' END AS trigger_text, s AS trigger_start, s + m AS trigger_end,
+ CASE WHEN kind <> '' THEN substr(text, greatest(0, s - 160) + 1, least(length(text), s + m + 160)::INTEGER - greatest(0, s - 160)) ELSE '' END AS trigger_context, coalesce(text, '') AS text_full FROM p""")
 def hydrate_by_index(spark, sf_dir):
-    review = spark.createDataFrame([(str(i),) for i in (-1, 0, 1, 2, 3, 4, 5, 123456789)], "index string")
+    review = spark.createDataFrame([(str(i),) for i in (-1, 0, 1, 2, 3, 4, 5, 6, 7, 123456789)], "index string")
     return audit.hydrate(review, c.corpus(spark, sf_dir))
 
 
@@ -271,17 +271,21 @@ def _two(size: int = BLOCK) -> str:
     return f"tok AS (SELECT doc_id, lang, {_TOK} AS ids FROM documents), en AS (SELECT * FROM tok WHERE lang = 'en'), other AS (SELECT * FROM tok WHERE lang <> 'en'), {en}, {other}"
 
 
-@query(f"""WITH {_two()}, t AS (SELECT (SELECT sum(len(input_ids)) FROM blocks_en) AS c, (SELECT sum(len(input_ids)) FROM blocks_other) AS d),
+_BALANCED = f"""{_two()}, t AS (SELECT (SELECT sum(len(input_ids)) FROM blocks_en) AS c, (SELECT sum(len(input_ids)) FROM blocks_other) AS d),
  ce AS (SELECT *, coalesce(sum(len(input_ids)) OVER (ORDER BY md5(block_id || ':42'), block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM blocks_en),
- de AS (SELECT *, coalesce(sum(len(input_ids)) OVER (ORDER BY md5(block_id || ':42'), block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM blocks_other)
- SELECT block_id::BIGINT AS block_id, 'clean' AS origin, 'clean' AS side FROM blocks_en UNION ALL SELECT block_id::BIGINT, 'dirty', 'dirty' FROM de, t WHERE d <= c OR b < c
- UNION ALL SELECT block_id::BIGINT, 'clean', 'dirty' FROM ce, t WHERE d < c AND b < c - d""")
+ de AS (SELECT *, coalesce(sum(len(input_ids)) OVER (ORDER BY md5(block_id || ':42'), block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM blocks_other),
+ balanced AS (SELECT block_id::BIGINT AS block_id, len(input_ids) AS n, 'clean' AS origin, 'clean' AS side FROM blocks_en UNION ALL SELECT block_id::BIGINT, len(input_ids), 'dirty', 'dirty' FROM de, t WHERE d <= c OR b < c
+ UNION ALL SELECT block_id::BIGINT, len(input_ids), 'clean', 'dirty' FROM ce, t WHERE d < c AND b < c - d)"""
+
+
+@query(f"WITH {_BALANCED} SELECT block_id, origin, side FROM balanced")
 def balance_blocks(spark, sf_dir):
     return balance.balance(*_sides(spark, sf_dir)).select("block_id", "origin", "side")
 
 
-@query(f"""WITH {_two()}, n AS (SELECT (SELECT count(*) FROM blocks_en) AS c, (SELECT count(*) FROM blocks_other) AS d)
- SELECT c AS clean_blocks, CASE WHEN d <= c THEN c ELSE c END AS dirty_blocks, c * {BLOCK} AS clean_tokens, c * {BLOCK} AS dirty_tokens, greatest(0, c - d) AS supplemented_blocks, 1.0::DOUBLE AS match_ratio FROM n""")
+@query(f"""WITH {_BALANCED}, n AS (SELECT count(*) FILTER (side = 'clean') AS clean_blocks, count(*) FILTER (side = 'dirty') AS dirty_blocks, coalesce(sum(n) FILTER (side = 'clean'), 0)::BIGINT AS clean_tokens,
+ coalesce(sum(n) FILTER (side = 'dirty'), 0)::BIGINT AS dirty_tokens, count(*) FILTER (side = 'dirty' AND origin = 'clean') AS supplemented_blocks FROM balanced)
+ SELECT *, CASE WHEN clean_tokens = 0 THEN 0.0 ELSE round(dirty_tokens / clean_tokens::DOUBLE, 6) END AS match_ratio FROM n""")
 def balance_stats(spark, sf_dir):
     return audit.balance_stats(balance.balance(*_sides(spark, sf_dir)))
 
@@ -293,7 +297,12 @@ def inject_blocks(spark, sf_dir):
     return balance.inject(*_sides(spark, sf_dir), 0.9).select("block_id", "origin", "copy")
 
 
-@query(f"""WITH {_two()} SELECT block_id::BIGINT AS block_id, 'clean' AS side FROM blocks_en WHERE block_id < 70 UNION ALL SELECT block_id::BIGINT, 'dirty' FROM blocks_other WHERE block_id < 30""")
+# 100 blocks at a rate of 0.3
+_MIXED = f"""{_two()}, want AS (SELECT n, greatest(1, round_even(n * 0.3::DOUBLE, 0)::BIGINT) AS d FROM (SELECT 100 AS n)),
+ mixed AS (SELECT block_id::BIGINT AS block_id, len(input_ids) AS size, 'clean' AS side FROM blocks_en, want WHERE block_id < n - d UNION ALL SELECT block_id::BIGINT, len(input_ids), 'dirty' FROM blocks_other, want WHERE block_id < d)"""
+
+
+@query(f"WITH {_MIXED} SELECT block_id, side FROM mixed")
 def mix_dirty_rate(spark, sf_dir):
     return balance.mix(*_sides(spark, sf_dir), 100 * BLOCK, 0.3, BLOCK).select("block_id", "side")
 
@@ -308,7 +317,8 @@ def quota_builder(spark, sf_dir):
     return balance.with_quotas(rows, detect.clean_side(), detect.dirty_by("regex"), F.size(WORDS.words(F.col("text"))), want, BLOCK).select("doc_id", "clean_kept", "dirty_kept", "seen")
 
 
-@query(f"""WITH {_two()} SELECT 70::BIGINT AS clean_blocks, 30::BIGINT AS dirty_blocks, {100 * BLOCK}::BIGINT AS total_tokens, 0.3::DOUBLE AS dirty_rate FROM (SELECT count(*) FROM blocks_en)""")
+@query(f"""WITH {_MIXED} SELECT count(*) FILTER (side = 'clean') AS clean_blocks, count(*) FILTER (side = 'dirty') AS dirty_blocks, sum(size)::BIGINT AS total_tokens,
+ round(count(*) FILTER (side = 'dirty') / count(*)::DOUBLE, 6) AS dirty_rate FROM mixed""")
 def mix_stats(spark, sf_dir):
     return audit.mix_stats(balance.mix(*_sides(spark, sf_dir), 100 * BLOCK, 0.3, BLOCK), BLOCK)
 
@@ -336,9 +346,14 @@ def element_counts(spark, sf_dir):
     return audit.element_counts(c.table(spark, sf_dir, "documents").select("lang", F.split("text", "\n", -1).alias("lines")), "lang", "lines")
 
 
-@query(f"""WITH {DOC_TOKENS}, {_packed('tok')} SELECT CASE WHEN block_id % 2 = 0 THEN 'clean' ELSE 'dirty' END AS side, count(*) AS n, 0::BIGINT AS n_with_query, 0::BIGINT AS n_sql, 0::BIGINT AS n_sparql, 0::BIGINT AS n_cypher, 0.0::DOUBLE AS pct_with_query FROM blocks GROUP BY 1""")
+@query(f"""WITH {CORPUS}, tok AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t\\r\\n]+') AS ids FROM corpus), {_packed('tok')}, d AS (SELECT block_id, array_to_string(input_ids, ' ') AS text FROM blocks),
+ s AS (SELECT CASE WHEN block_id % 2 = 0 THEN 'clean' ELSE 'dirty' END AS side, list_distinct(list_filter([{_STRICT}], lambda x: x IS NOT NULL)) AS st FROM d),
+ n AS (SELECT side, count(*) AS n, count(*) FILTER (len(st) > 0) AS n_with_query, count(*) FILTER (list_contains(st, 'SQL')) AS n_sql, count(*) FILTER (list_contains(st, 'SPARQL')) AS n_sparql, count(*) FILTER (list_contains(st, 'Cypher')) AS n_cypher FROM s GROUP BY 1)
+ SELECT *, {_pct('n_with_query', 'n')} AS pct_with_query FROM n""")
 def grouped_strict_audit(spark, sf_dir):
-    return audit.grouped_audit(packed(spark, sf_dir).withColumn("side", F.when(F.col("block_id") % 2 == 0, "clean").otherwise("dirty")), WORDS)
+    words = tokens.SurfaceTokenizer()
+    blocks = tokens.pack(tokens.tokenize(c.corpus(spark, sf_dir), words), BLOCK)
+    return audit.grouped_audit(blocks.withColumn("side", F.when(F.col("block_id") % 2 == 0, "clean").otherwise("dirty")), words)
 
 
 @query("""WITH s AS (SELECT row_number() OVER (ORDER BY text, doc_id) - 1 AS idx, doc_id FROM documents) SELECT doc_id, idx::BIGINT AS idx, (idx // 100)::BIGINT AS chunk FROM s""")
@@ -368,7 +383,13 @@ def span_noise_masks(spark, sf_dir):
     return spans.collate(noisy, BLOCK, BLOCK).select("block_id", "input_ids", "labels")
 
 
-@query()
+def _luck(what: str) -> str:
+    return f"(('0x' || substr(md5(block_id || ':' || p || ':42{what}'), 1, 8))::BIGINT / 4294967296::DOUBLE)"
+
+
+@query(f"""WITH {DOC_TOKENS}, {_packed('tok')}, f AS (SELECT block_id::BIGINT AS block_id, unnest(input_ids) AS x, generate_subscripts(input_ids, 1) - 1 AS p FROM blocks),
+ l AS (SELECT *, {_luck('p')} < 0.15 AND x NOT IN (0, 1) AS m, {_luck('how')} AS how, {_luck('id')} AS fresh FROM f)
+ SELECT block_id, list(CASE WHEN m AND how < 0.8 THEN 2 WHEN m AND how < 0.9 THEN floor(fresh * {WORDS.vocabulary})::INTEGER ELSE x END ORDER BY p)::INTEGER[] AS input_ids, list(CASE WHEN m THEN x ELSE -100 END ORDER BY p)::INTEGER[] AS labels FROM l GROUP BY 1""")
 def masked_language_model(spark, sf_dir):
     return packed(spark, sf_dir).select("block_id", spans.masked_lm(F.col("input_ids"), F.col("block_id"), WORDS.vocabulary, 2, [0, 1]).alias("m")).select("block_id", "m.input_ids", "m.labels")
 
@@ -440,15 +461,19 @@ _CHOICE = "(('0x' || substr(md5(doc_id || ':{}'), 1, 8))::BIGINT % {})"
 
 
 @query(f"""WITH t AS (SELECT *, dense_rank() OVER (ORDER BY folder) - 1 AS nd FROM (VALUES {c.TEMPLATES}) AS t(folder, file, pos, template)), u AS (SELECT *, dense_rank() OVER (PARTITION BY folder ORDER BY file) - 1 AS nf, row_number() OVER (PARTITION BY folder, file ORDER BY pos) - 1 AS nt FROM t),
- a AS (SELECT doc_id, left(text, 20) AS query, {_CHOICE.format('dir', 2)} AS nd FROM documents), b AS (SELECT a.*, {_CHOICE.format('file', '(SELECT max(nf) + 1 FROM u WHERE u.nd = a.nd)')} AS nf FROM a),
+ a AS (SELECT doc_id, text AS query, {_CHOICE.format('dir', 2)} AS nd FROM documents), b AS (SELECT a.*, {_CHOICE.format('file', '(SELECT max(nf) + 1 FROM u WHERE u.nd = a.nd)')} AS nf FROM a),
  d AS (SELECT b.*, {_CHOICE.format('text', '(SELECT max(nt) + 1 FROM u WHERE u.nd = b.nd AND u.nf = b.nf)')} AS nt FROM b)
  SELECT doc_id, query, replace(template, '{{query}}', query) AS context, folder || '/' || file AS template FROM d JOIN u USING (nd, nf, nt)""")
 def template_fill(spark, sf_dir):
-    queries = c.table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 20).alias("query"))
+    queries = c.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("query"))
     return labels.fill_templates(queries, c.values(spark, c.TEMPLATES, "folder, file, pos, template"), "doc_id")
 
 
-@query()
+@query(f"""WITH t AS (SELECT * FROM (VALUES {c.TEMPLATES}) AS t(folder, file, pos, template)), i AS (SELECT * FROM (VALUES ('a.json', 'about a', 'x, y'), ('c.json', 'about c', 'z')) AS i(file, description, tags)),
+ g AS (SELECT *, md5(file || ':' || pos || ':' || temperature || ':' || run || ':42') AS h FROM t JOIN i USING (file), (SELECT unnest([0.5, 0.9]::DOUBLE[]) AS temperature), (SELECT unnest([0, 1]) AS run)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY file, temperature, run ORDER BY h, template) AS k FROM g),
+ d AS (SELECT file, temperature, run, description, tags, '[' || string_agg('"' || template || '"', ',' ORDER BY h, template) || ']' AS examples FROM r WHERE k <= 2 GROUP BY ALL)
+ SELECT file || '_m1_t' || replace(temperature::VARCHAR, '.', '') || '_p1_run' || run || '_idx' || (row_number() OVER (ORDER BY file, temperature, run) - 1) AS custom_id, temperature, description || ' (' || tags || '): 20 like ' || examples AS content FROM d""")
 def paraphrase_requests(spark, sf_dir):
     templates = c.values(spark, c.TEMPLATES, "folder, file, pos, template").drop("folder")
     info = c.values(spark, "('a.json', 'about a', array('x', 'y')), ('c.json', 'about c', array('z'))", "file, description, tags")
@@ -464,7 +489,8 @@ def submitted_anti(spark, sf_dir):
 
 @query("SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY 1")
 def ordered_dedup(spark, sf_dir):
-    return c.table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    docs = c.table(spark, sf_dir, "documents").withColumn("_digest", F.sha2("text", 256))
+    return docs.groupBy("_digest").agg(F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("doc_id")).select("text", "doc_id")
 
 
 # ---- extraction

@@ -30,8 +30,6 @@ def duck(sf_dir):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf_dir, duck, name):
-    if name == "mix_dirty_rate":  # the pools of the smallest tables are large enough all the same
-        pass
     df = QUERIES[name](spark, sf_dir)
     rows = [plain(tuple(r[c] for c in sorted(df.columns))) for r in df.collect()]
     if name in SQL:
