@@ -18,9 +18,10 @@ Two things keep candidates few without losing a pair:
 A node is a distinct shingle set, named by 64 bits of its digest, so copies take no further part than one link each.
 Signatures are packed by hash bucket and sorted bucket by bucket; each run of equal signatures is a row. In a run each
 node names a leader, the one that has most in common with others; a node's most frequent leader is checked. After
-components of those links, only pairs of a run whose members are still in different components are enumerated and
-checked. A pair is thus either checked or already in one component, whatever the size of the groups of copies, and no
-group's pairs are spelled out.
+components of those links, only pairs of a run whose members are still in different components are compared: first in
+the largest run of each node, where whole sets are compared inside a task and only links that join two components come
+out; then in the other runs, but for pairs that have met in one of those. A pair is thus either checked or already in
+one component, whatever the size of the groups of copies, and no group's pairs are spelled out.
 
 Sets of 64-bit shingle hashes stand for sets of shingles.
 """
@@ -42,8 +43,10 @@ from .components import components
 SHINGLE, NUM, DEN = 5, 80, 100
 #: Signatures that one task sorts at a time, those packed together, and documents of a batch.
 PER_BUCKET, TOGETHER, PACK = 600_000, 1_000_000, 2000
-#: Members of a run whose pairs are listed; of a larger one, those that are compared with each other at a time.
-FEW, BLOCK = 16, 1024
+#: Members of a run that are compared with each other at a time, and bits of a table of what they have in common.
+BLOCK, BITS = 4096, 1 << 28
+#: Slots of the filter of texts by id: they bound what is broadcast, and decide no result.
+SLOTS = 1 << 20
 #: Members of a run in one row.
 LISTED = 4096
 #: Documents sampled for frequent shingles, documents of the sample that make one frequent, and the most kept.
@@ -283,57 +286,133 @@ def _runs(docs: DataFrame, text: str, k: int, bands: Bands, frequent: tuple[np.n
     return packed.groupBy("bucket").applyInArrow(match, "sig long, nodes array<long>, lead long")
 
 
-def _compared(members: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """Ids (a, b) of pairs of different components of a run (sig, node, component, m) that their bitmaps don't rule out.
+def _by_run(members: DataFrame, columns: list[str], compare, schema: str) -> DataFrame:
+    """compare(own, *columns) of the members of each run (sig, node, component, m), or of each two blocks of a large one.
 
-    A run is compared inside tasks, in blocks of about BLOCK members, and only the pairs left over become rows.
+    compare is given arrays and whether two places may be compared: those of different blocks, or all in one block.
     """
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     pairs = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), own.alias("own"))))
-    rows = members.join(sets, "node").select("sig", "component", "id", "n", "map", pairs.alias("p")).select("sig", "p.i", "p.j", "p.own", "id", "component", "n", "map")
+    rows = members.withColumn("p", pairs).select("sig", "p.i", "p.j", "p.own", *columns)
     rows = rows.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
 
     def run(batches):
         at, held = None, []
 
         def flush():
-            own, ids, comps, n, maps = map(list, zip(*held))
-            few = min(map(len, maps))
-            m = np.stack([np.frombuffer(x if len(x) == few else np.packbits(np.unpackbits(np.frombuffer(x, np.uint8)).reshape(8 * few, -1).any(axis=1)).tobytes(), np.uint64) for x in maps])
-            own, ids, comps, n = np.array(own), np.array(ids), np.array(comps), np.array(n)
-            out = []
-            for x in range(len(ids) - 1):
-                y = np.arange(x + 1, len(ids))
-                y = y[(comps[y] != comps[x]) & ((own[y] != own[x]) | (at[1] == at[2])) & (bands.den * np.minimum(n[y], n[x]) >= bands.num * np.maximum(n[y], n[x]))]
-                if len(y):
-                    only_x, only_y = np.bitwise_count(m[x] & ~m[y]).sum(axis=1, dtype=np.int64), np.bitwise_count(m[y] & ~m[x]).sum(axis=1, dtype=np.int64)
-                    both = np.minimum(n[x] - only_x, n[y] - only_y)
-                    out += [(max(ids[x], i), min(ids[x], i)) for i in ids[y[bands.den * both >= bands.num * (n[x] + n[y] - both)]]]
-            a, b = zip(*out) if out else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for b in batches:
-            for *group, own, i, c, n, m in zip(*(col.to_pylist() for col in b.columns)):
-                if at != group and held:
+            own, *values = map(list, zip(*held))
+            own = np.array(own) if at[1] != at[2] else np.arange(len(own))
+            return compare(at[0], own, *values)
+
+        for b in slices(batches, 1000):
+            for sig, i, j, own, *values in zip(*(raw_bytes(c) if pa.types.is_string(c.type) else c.to_pylist() for c in b.columns)):
+                if at != (sig, i, j) and held:
                     yield flush()
                     held = []
-                at = group
-                held.append((own, i, c, n, m))
+                at = sig, i, j
+                held.append((own, *values))
         if held:
             yield flush()
 
-    return cut(rows.mapInArrow(run, "a long, b long").where("a != b").distinct())
+    return rows.mapInArrow(run, schema)
+
+
+def _live(bands: Bands):
+    """Nodes of a run that their bitmaps let be similar to one of another component."""
+
+    def compare(sig, own, nodes, comps, n, maps):
+        few = min(map(len, maps))
+        m = np.stack([np.frombuffer(x if len(x) == few else np.packbits(np.unpackbits(np.frombuffer(x, np.uint8)).reshape(8 * few, -1).any(axis=1)).tobytes(), np.uint64) for x in maps])
+        comps, n, found = np.array(comps), np.array(n), np.zeros(len(nodes), bool)
+        for x in range(len(nodes) - 1):
+            y = np.arange(x + 1, len(nodes))
+            y = y[(comps[y] != comps[x]) & (own[y] != own[x]) & (bands.den * np.minimum(n[y], n[x]) >= bands.num * np.maximum(n[y], n[x]))]
+            if not found[x] or not found[y].all():
+                only_x, only_y = np.bitwise_count(m[x] & ~m[y]).sum(axis=1, dtype=np.int64), np.bitwise_count(m[y] & ~m[x]).sum(axis=1, dtype=np.int64)
+                both = np.minimum(n[x] - only_x, n[y] - only_y)
+                y = y[bands.den * both >= bands.num * (n[x] + n[y] - both)]
+                found[y] = True
+                found[x] |= len(y) > 0
+        return pa.RecordBatch.from_arrays([pa.array([sig] * int(found.sum()), pa.int64()), pa.array(np.array(nodes, np.int64)[found])], ["sig", "node"])
+
+    return compare
+
+
+def in_common(sets: list[np.ndarray]):
+    """A function of x and an array y: how many elements sets x and y have in common."""
+    element, back, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1  # elements of one set alone are in no intersection
+    who = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    kept = times[back] > 1
+    who, column = who[kept], shared[back[kept]]
+    width = -(-int((times > 1).sum()) // 64) * 64
+    if len(sets) * width <= BITS:
+        cells = np.zeros((len(sets), max(64, width)), bool)
+        cells[who, column] = True
+        bits = np.packbits(cells, axis=1).view(np.uint64)
+        return lambda x, y: np.bitwise_count(bits[y] & bits[x]).sum(axis=1, dtype=np.int64)
+    starts = np.searchsorted(who, np.arange(len(sets) + 1))
+    order = np.argsort(column, kind="stable")
+    ends = np.searchsorted(column[order], np.arange(width + 1))
+    holders = who[order]
+
+    def count(x, y):
+        own = column[starts[x] : starts[x + 1]]
+        return np.bincount(np.concatenate([holders[ends[c] : ends[c + 1]] for c in own]) if len(own) else np.empty(0, np.int64), minlength=len(sets))[y]
+
+    return count
+
+
+def _linked(k: int, bands: Bands):
+    """Links (a, b) between components of a run: whole sets are compared, and a component that is joined is not compared again."""
+
+    def compare(sig, own, ids, comps, texts):
+        sets = [shingle_set(t, k) for t in texts]
+        n, comps, ids, common = np.array([len(x) for x in sets]), np.array(comps), np.array(ids, np.int64), in_common(sets)
+        out = []
+        for x in range(len(ids) - 1):
+            y = np.arange(x + 1, len(ids))
+            y = y[(comps[y] != comps[x]) & (own[y] != own[x]) & (bands.den * np.minimum(n[y], n[x]) >= bands.num * np.maximum(n[y], n[x]))]
+            if len(y):
+                both = common(x, y)
+                y = y[(n[x] > 0) & (bands.den * both >= bands.num * (n[x] + n[y] - both))]
+                for c in np.unique(comps[y]).tolist():
+                    out.append((ids[x], ids[y[comps[y] == c][0]]))
+                comps[np.isin(comps, comps[y])] = comps[x]
+        a, b = zip(*out) if out else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return compare
+
+
+def _unmet(sig, own, nodes, comps, met):
+    """Pairs (a, b) of nodes of different components that no run has compared yet."""
+    runs, back = np.unique(np.concatenate([np.array(m, np.int64) for m in met]), return_inverse=True)
+    cells = np.zeros((len(nodes), -(-len(runs) // 64) * 64), bool)
+    cells[np.repeat(np.arange(len(nodes)), [len(m) for m in met]), back] = True
+    bits, comps, nodes = np.packbits(cells, axis=1).view(np.uint64), np.array(comps), np.array(nodes, np.int64)
+    out = [np.empty((0, 2), np.int64)]
+    for x in range(len(nodes) - 1):
+        y = np.arange(x + 1, len(nodes))
+        y = y[(comps[y] != comps[x]) & (own[y] != own[x])]
+        y = y[~(bits[y] & bits[x]).any(axis=1)]
+        out.append(np.stack([np.maximum(nodes[y], nodes[x]), np.minimum(nodes[y], nodes[x])], axis=1))
+    out = np.concatenate(out)
+    return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+
+
+def _texts(ids: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """id, t of the documents that a bounded filter of the ids lets pass: all that are wanted, and few others."""
+    code = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int")
+    some = ids.select(code.alias("_code")).distinct()
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).withColumn("_code", code).join(F.broadcast(some), "_code", "left_semi").drop("_code")
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, bands: Bands) -> DataFrame:
     """Those of the pairs (a, b) whose texts' sets are similar, checked on whole sets."""
-    slots = 1 << 20  # bounds what is broadcast: a filter that lets all paired texts pass, and few others
-    code = F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int")
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).select(code.alias("_code")).distinct()
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).withColumn("_code", code)
-    texts = texts.join(F.broadcast(ends), "_code", "left_semi").drop("_code")
+    texts = _texts(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), docs, key, text)
     sided = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
 
     def check(batches):
@@ -363,6 +442,15 @@ def _similar(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, ban
     return sided.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long").distinct()
 
 
+def _apart(member: DataFrame, once: bool = False) -> DataFrame:
+    """Members (sig, node, id, component) of runs over several components, with m, their number. once: of runs of the same members, one."""
+    same = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")] if once else []
+    runs = member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), *same).where("lo < hi")
+    if once:
+        runs = runs.groupBy("m", "x", "y").agg(F.min("sig").alias("sig"))
+    return member.join(runs.select("sig", "m"), "sig")
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, bands: Bands = BANDS) -> DataFrame:
     """key, n_shingles and component_id (least key that links lead to) of every row.
 
@@ -383,18 +471,23 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SH
     best = cut(led.groupBy("a").agg(F.max_by("lead", F.struct("n", "lead")).alias("b")))
     links = copies.unionByName(cut(_similar(_possible(best, sets, bands), docs, key, text, k, bands)))
     joined = cut(components(links))
-    # runs that these links have not brought together; runs of the same members count once
-    where = sets.select("node", "id").join(joined, "id", "left").select("node", F.coalesce("component", "id").alias("component"))
+    where = sets.select("node", "id").join(joined, "id", "left").select("node", "id", F.coalesce("component", "id").alias("component"))
     member = runs.select("sig", F.explode("nodes").alias("node")).join(where, "node")
-    split = member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    split = split.where("lo < hi").groupBy("m", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "m")
-    left = cut(member.join(split, "sig"))
+    left = cut(_apart(member, once=True))
     release(runs)
-    few, many = left.where(F.col("m") <= FEW), left.where(F.col("m") > FEW)
-    a, b = (few.select("sig", F.col("node").alias(x), F.col("component").alias(f"_{x}")) for x in "ab")
-    listed = a.join(b, "sig").where("a > b and _a != _b").select("a", "b").distinct()
-    rest = _possible(listed, sets, bands).unionByName(_compared(many, sets, bands)).distinct()
-    more = cut(_similar(rest, docs, key, text, k, bands))
-    final = cut(components(links.unionByName(more)))
+    # each node's largest run: whole sets
+    homes = left.groupBy("node").agg(F.max(F.struct("m", "sig")).alias("r")).select("r.sig").distinct()
+    home = cut(left.join(homes, "sig"))
+    live = cut(_by_run(home.join(sets.select("node", "id", "n", "map"), ["node", "id"]), ["node", "component", "n", "map"], _live(bands), "sig long, node long").distinct())
+    texts = _texts(live.join(home, ["sig", "node"]).select("id"), docs, key, text)
+    more = cut(_by_run(live.join(home, ["sig", "node"]).join(texts, "id"), ["id", "component", "t"], _linked(k, bands), "a long, b long").distinct())
+    links = links.unionByName(more)
+    joined = cut(components(links))
+    # the other runs: pairs that have not met
+    met = home.groupBy("node").agg(F.collect_set("sig").alias("met"))
+    rest = _apart(left.join(homes, "sig", "left_anti").drop("component", "m").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    unmet = cut(_by_run(rest.join(met, "node"), ["node", "component", "met"], _unmet, "a long, b long").distinct())
+    last = cut(_similar(_possible(unmet, sets, bands), docs, key, text, k, bands))
+    final = cut(components(links.unionByName(last)))
     out = about.select(key, "n_shingles", F.col(key).cast("long").alias("id")).join(final, "id", "left")
     return out.select(key, "n_shingles", F.coalesce("component", "id").alias("component_id"))

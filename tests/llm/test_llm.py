@@ -230,6 +230,44 @@ def test_jaccard_groups(spark, docs):
     assert {i: r.n_shingles for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
 
 
+def test_jaccard_of_a_large_group_in_blocks(spark, monkeypatch):
+    """A group of near copies, many of them below the threshold to each other, compared block by block."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for _ in range(150):
+        w = list(base)
+        for _ in range(rng.randint(1, 5)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        rows.append(" ".join(w))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    want = closure({i: shingles(t) for i, t in enumerate(rows)})
+    assert len(set(want.values())) > 3
+    assert {r.doc_id: r.component_id for r in jaccard.groups(df).collect()} == want
+
+
+def test_elements_in_common(monkeypatch):
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 50)).astype(np.uint64)) for _ in range(30)]
+    y = np.arange(30)
+    for bits in (jaccard.BITS, 0):
+        monkeypatch.setattr(jaccard, "BITS", bits)
+        common = jaccard.in_common(sets)
+        assert all(common(x, y).tolist() == [len(np.intersect1d(sets[x], s)) for s in sets] for x in range(30))
+
+
+def test_run_rows_follow_the_input(spark):
+    """Twice as many groups give twice as many rows, and packed bytes a signature stay the same however many buckets there are."""
+    rng = np.random.default_rng(7)
+    sets = [(i, np.sort(rng.integers(0, 2**64, 200, dtype=np.uint64))) for i in range(300)]
+    size = lambda b: sum(len(x.as_py()) for c in ("sigs", "who", "nodes") for x in b.column(c))
+    assert size(jaccard.packed_signatures(sets, 50_000)) <= 18 * 60_000
+    one = lambda i: (np.repeat(np.arange(i, i + 50, dtype=np.uint64), 3), np.tile(np.arange(3 * i, 3 * i + 3), 50))
+    a, b = jaccard.equal_runs(*one(0)), jaccard.equal_runs(*(np.concatenate(x) for x in zip(one(0), one(50))))
+    assert (a.num_rows, b.num_rows) == (50, 100)
+
+
 def test_jaccard_edges(edges, none):
     rows = jaccard.groups(edges).collect()
     assert len(rows) == len(EDGES) and jaccard.groups(none).count() == 0
