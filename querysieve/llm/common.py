@@ -97,10 +97,13 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
 
 
 def has_checkpoints(spark: SparkSession) -> None:
-    """Uses the cluster's shared spark.checkpoint.dir; where it is unset (tests, one machine) sets a folder of its own."""
+    """Uses the cluster's shared spark.checkpoint.dir. Where it is unset, one machine may take a folder of its own; a cluster may not."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "querysieve-checkpoints"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
+        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "querysieve-checkpoints"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -119,6 +122,16 @@ def release(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores after them where df has such columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def crc_bucket(column: str, n: int):
     """crc32 of the column's decimal text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

@@ -1,27 +1,29 @@
 """Language-model scores by context-tree weighting over bytes.
 
-A byte is eight binary decisions, each with a context tree over the bytes before it. At every context the
-Krichevsky-Trofimov estimate of the counts seen there and the product of the deeper contexts' own mixtures weigh
-one half each; the logarithms of these sums over the training text give the mixing weights, and a prediction mixes
-the estimates of all depths along the path from the root to the deepest context known. The model is learned once
-and then fixed, so a text's probability doesn't depend on what else is scored.
-
-Counting covers all training text, in two passes. A context joins the tree if it holds at least LEAST of the training
-positions; what its known children leave over is one further child. In the first pass every chunk of text names the
-contexts that hold half that share of the chunk. A context of the tree must be among them, and the chunks that name it
-must count at least half of what it needs, which leaves at most 2/LEAST candidates at a depth. In the second pass each
-position counts at its deepest candidate. So at most 1/LEAST contexts enter the tree at a depth, whatever the corpus:
-this bounds the table of log-probabilities that every task gets (DEPTH/LEAST * 256 numbers of 4 bytes).
-
-Texts are lower-cased (A-Z); they start in a context of 0xFF bytes, which UTF-8 lacks, and end with one.
-
-The unigram base score needs the count of each token. Tokens that hold at least FREQUENT of all (at most 1/FREQUENT)
-are looked up in a table that every task gets; the others' counts are joined.
+A byte is eight binary decisions, each with a context tree over the DEPTH bytes before it. At every context the
+Krichevsky-Trofimov estimate of the counts seen there, and the product of what the contexts one byte longer make of
+their own shares, weigh one half each; the logarithms of these sums over the training text give the mixing weights, and
+a prediction mixes the estimates of all depths along the path from the root. A decision that a context never met is
+predicted as its longest suffix that met it does, which then stands for a leaf; one never met at all has 1/2. The model
+is learned once and then fixed, so a text's probability doesn't depend on what else is scored. Every context of the
+training text is in the tree, however rare: it grows with the corpus.
+
+How it is spread out: documents are dealt to chunks by hash. A chunk hands on its distinct runs (a byte with the DEPTH
+bytes before it) and tokens, each with its count in training documents, packed by bucket. A run's bucket is that of the
+last SPLIT bytes of its context, so a bucket holds whole subtrees of the tree: it sums the counts and works its subtrees out
+from the leaves up. What they come to is summed by the contexts that are shorter than SPLIT bytes, of which there are at
+most 256^(SPLIT - 1) * 255 decisions whatever the corpus; the driver mixes those and sends them back to the buckets, which
+then work down to the probability of each run. A chunk gets its runs' back in the order in which it sent them, and sums
+them up for its documents. The largest thing that one task holds is the distinct runs of one bucket, or of one pair of bytes.
+
+Texts are lower-cased (A-Z); they start in a context of 0xFF bytes, which UTF-8 lacks, and end with one. Tokens are told
+apart by 64 bits of a hash.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,112 +31,97 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, crc_bucket, cut, hash_words, raw_bytes, slices
+from .common import ascii_words, crc_bucket, cut, give_back, hash_words, mix, raw_bytes, release
 
-DEPTH = 6
-LEAST = 2.0**-16
-FREQUENT = 2.0**-18
+DEPTH, SPLIT = 6, 2
 EDGE = 0xFF
 #: The token after each text: no word has a blank.
 END = np.array([xxhash.xxh3_64_intdigest(b" end")], np.uint64)
-#: Distinct runs that a task holds before it hands them on.
-HELD = 1_500_000
+#: Bytes of text in a chunk and in what is worked on at a time; runs and tokens in a bucket, counted once for each chunk.
+CHUNK, PIECE, PER_BUCKET = 3_000_000, 1_000_000, 1_200_000
+#: How far probabilities stay from 0 and 1.
+LEAST = 2.0**-40
+HEADER, PLACES, SHORT, COUNTS, TOTALS = range(5)
 
 
-def runs(texts: list[bytes | None], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text's bytes and end: the byte with the depth bytes before it, as one number; and where each text starts."""
-    sizes = np.array([len(t or b"") + 1 + depth for t in texts], np.int64)
-    edge = bytes([EDGE])
-    buffer = np.frombuffer(b"".join(edge * depth + (t or b"").lower() + edge for t in texts), np.uint8)
+def codes_of(buffer: np.ndarray, depth: int) -> np.ndarray:
+    """Of each byte but the first depth ones: the byte with the depth bytes before it, as one number, the byte lowest."""
     code, width = buffer, 1  # doubled in width: the byte, then those before it further up
     while width <= depth:
         wider = code.astype(f"u{2 * width}")
         wider[width:] |= code[:-width].astype(wider.dtype) << (8 * width)
         code, width = wider, 2 * width
-    code = code.astype(np.uint64) & np.uint64(256 ** (depth + 1) - 1)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    own = np.ones(len(buffer), bool)
-    own[(starts[:, None] + np.arange(depth)).ravel()] = False
-    return code[own], starts - depth * np.arange(len(texts))
+    return code[depth:].astype(np.uint64) & np.uint64(256 ** (depth + 1) - 1)
+
+
+def runs(texts: list[bytes | None], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of the texts' bytes and ends, at most about PIECE at a time, with the number of the text that each is of."""
+    edge = bytes([EDGE])
+    at = 0
+    while at < len(texts):
+        stop, size = at, 0
+        while stop < len(texts) and (stop == at or size + len(texts[stop] or b"") < PIECE):
+            size += len(texts[stop] or b"") + 1
+            stop += 1
+        if stop == at + 1 and size > 2 * PIECE:
+            whole = np.frombuffer(edge * depth + texts[at].lower() + edge, np.uint8)
+            for i in range(0, size, PIECE):
+                part = whole[i : i + PIECE + depth]
+                yield codes_of(part, depth), np.full(len(part) - depth, at)
+        else:
+            some = texts[at:stop]
+            sizes = np.array([len(t or b"") + 1 for t in some], np.int64)
+            buffer = np.frombuffer(b"".join(edge * depth + (t or b"").lower() + edge for t in some), np.uint8)
+            starts = np.concatenate([[0], np.cumsum(sizes + depth)[:-1]])
+            own = np.ones(len(buffer), bool)
+            own[(starts[:, None] + np.arange(depth)).ravel()] = False
+            yield codes_of(buffer, depth)[own[depth:]], np.repeat(np.arange(at, stop), sizes)
+        at = stop
 
 
 def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and the sums of their counts."""
+    """Distinct keys in order, and the sums of their counts (or how often they stand there)."""
     if counts is None:
         keys = np.sort(keys)
-        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+        at = _edges(keys)
         return keys[at], np.diff(np.append(at, len(keys)))
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    at = _edges(keys)
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
-def deepest(contexts: list[np.ndarray], first: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Of each run, the number of the deepest known context before its last byte. Depth 0 has the one empty context."""
-    state = np.zeros(len(codes), np.int64)
-    rest, context = np.arange(len(codes)), codes >> np.uint64(8)
-    for d in range(len(contexts) - 1, 0, -1):
-        known = contexts[d]
-        if not len(known):
-            continue
-        own = context[rest] & np.uint64(256**d - 1)
-        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-        hit = known[at] == own
-        state[rest[hit]] = first[d] + at[hit]
-        rest = rest[~hit]
-    return state
-
-
-def offsets(contexts: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
-
+def _edges(keys: np.ndarray) -> np.ndarray:
+    """Where a new key begins."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
 
-TOKEN = -1  # in place of a depth: the key is a token's hash
 
+def bucket_of(keys: np.ndarray, buckets: int, split: int) -> np.ndarray:
+    """Buckets of runs by the split bytes before the last one."""
+    suffix = mix((keys >> np.uint64(8)) & np.uint64(256**split - 1))
+    return (((suffix >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
-def _chunks(batches, column: int, depth: int, tokens: bool):
-    """(depth + 1)-byte runs of chunks of text with their counts, and tokens' hashes with theirs."""
-    held: dict[str, list] = {"runs": [], "tokens": []}
 
-    def merged(kind):
-        held[kind] = [summed(np.concatenate([k for k, _ in held[kind]]), np.concatenate([n for _, n in held[kind]]))]
-        return held[kind][0]
+def token_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (((mix(keys) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
-    for b in slices(batches, 2000):
-        texts = raw_bytes(b.column(column))
-        held["runs"].append(summed(runs(texts, depth)[0]))
-        if tokens:
-            held["tokens"].append(summed(np.concatenate([x for t in texts for x in (hash_words(ascii_words(t)), END)])))
-        for kind in held:
-            if sum(len(k) for k, _ in held[kind]) > HELD and len(merged(kind)[0]) > HELD // 2:
-                yield kind, *held[kind][0]
-                held[kind] = []
-    for kind in held:
-        if held[kind]:
-            yield kind, *merged(kind)
 
+def distinct_runs(texts: list[bytes | None], train: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' distinct runs in order, and how often each stands in training texts."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for learned in (True, False):
+        some = [t for t, own in zip(texts, train) if own == learned]
+        for codes, _ in runs(some, depth):
+            keys, n = summed(codes)
+            held.append((keys, n if learned else np.zeros(len(keys), np.int64)))
+    return summed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
 
-def _rows(names: list[str], *columns: np.ndarray):
-    for at in range(0, len(columns[0]), 500_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 500_000].view(np.int64) if c.dtype == np.uint64 else c[at : at + 500_000]) for c in columns], names)
 
-
-def corpus_counts(train: DataFrame, text: str, depth: int, least: float) -> DataFrame:
-    """d, key, n: frequent contexts of chunks (d bytes), and all tokens (d = TOKEN)."""
-
-    def count(batches):
-        for kind, keys, n in _chunks(batches, 0, depth, True):
-            if kind == "tokens":
-                yield from _rows(["d", "key", "n"], np.full(len(keys), TOKEN, np.int32), keys, n)
-                continue
-            need, context = max(1.0, least / 2 * n.sum()), keys >> np.uint64(8)
-            for d in range(depth + 1):
-                own, m = summed(context & np.uint64(256**d - 1), n)
-                own, m = own[m >= need], m[m >= need]
-                yield from _rows(["d", "key", "n"], np.full(len(own), d, np.int32), own, m)
-
-    return train.select(text).mapInArrow(count, "d int, key long, n long").groupBy("d", "key").agg(F.sum("n").alias("n"))
+def token_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' tokens, and the number of the text that each is of."""
+    each = [hash_words(ascii_words(t)) for t in texts]
+    sizes = np.array([len(h) + 1 for h in each], np.int64)
+    return np.concatenate([x for h in each for x in (h, END)]), np.repeat(np.arange(len(texts)), sizes)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -146,206 +133,245 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - low
 
 
-def _decisions(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte counts (contexts x 256) as counts of zeros and ones at the 255 binary decisions."""
-    tree = np.zeros((len(cells), 512))
-    tree[:, 256:] = cells
-    for level in range(7, -1, -1):
-        lo = 1 << level
-        tree[:, lo : 2 * lo] = tree[:, 2 * lo : 4 * lo : 2] + tree[:, 2 * lo + 1 : 4 * lo : 2]
-    return tree[:, 2:512:2], tree[:, 3:512:2]
-
-
-def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - math.log(math.pi) - log_gamma(zeros + ones + 1)
-
-
-class ContextTree:
-    """contexts[d]: sorted contexts of d bytes; table: log10 probability of each byte after each of them."""
-
-    #: Contexts that are worked on at a time.
-    AT_ONCE = 2048
-
-    def __init__(self, contexts: list[np.ndarray], own: np.ndarray):
-        """own: counts (contexts x 256) of next bytes at positions whose deepest context it is; used up."""
-        depth = len(contexts) - 1
-        self.contexts, self.first = contexts, offsets(contexts)
-        n = self.first
-        parents = [np.searchsorted(contexts[d - 1], contexts[d] & np.uint64(256 ** (d - 1) - 1)) if d else None for d in range(depth + 1)]
-        weight, alone, rest = (np.zeros((n[-1], 255), np.float32) for _ in range(3))
-        below = None
-        for d in range(depth, -1, -1):
-            size = n[d + 1] - n[d]
-            split, inner = np.zeros((size, 255)), np.zeros(size, bool)
-            over = np.zeros((size, 256))
-            if below is not None and len(below[0]):
-                np.add.at(split, parents[d + 1], below[0])
-                np.add.at(over, parents[d + 1], below[1])
-                inner[parents[d + 1]] = True
-            mixed, whole = np.zeros((size, 255)), over
-            for a in range(0, size, self.AT_ONCE):
-                z = slice(a, min(size, a + self.AT_ONCE))
-                at = slice(n[d] + z.start, n[d] + z.stop)
-                zeros, ones = _decisions(own[at])
-                rest[at] = (ones + 0.5) / (zeros + ones + 1)
-                split[z] += _log_kt(zeros, ones)
-                whole[z] += own[at]
-                zeros, ones = _decisions(whole[z])
-                alone[at] = (ones + 0.5) / (zeros + ones + 1)
-                kt = _log_kt(zeros, ones)
-                mixed[z] = np.where(inner[z][:, None], np.logaddexp(kt, split[z]) + math.log(0.5), kt)
-                weight[at] = np.where(inner[z][:, None], np.exp(kt + math.log(0.5) - mixed[z]), 1)
-            below = mixed, whole
-        del below, own
-        # from the root down: a + b x is the mixture above a context whose prediction is x
-        self.table = np.zeros((n[-1], 256), np.float32)
-        above = np.zeros((1, 255)), np.ones((1, 255))
-        byte = np.arange(256)
-        for d in range(depth + 1):
-            size = n[d + 1] - n[d]
-            a, b = (above[0][parents[d]], above[1][parents[d]]) if d else above
-            a = a + b * weight[n[d] : n[d + 1]] * alone[n[d] : n[d + 1]]
-            b = b * (1.0 - weight[n[d] : n[d + 1]])
-            above = a, b
-            for at in range(0, size, self.AT_ONCE):
-                z = slice(at, min(size, at + self.AT_ONCE))
-                # kept from 0 and 1 by what single precision tells apart
-                p = np.clip(a[z] + b[z] * rest[n[d] + z.start : n[d] + z.stop], 2.0**-24, 1 - 2.0**-24)
-                one, zero, logs = np.log10(p), np.log10(1 - p), np.zeros((z.stop - z.start, 256))
-                for level in range(8):
-                    node = (1 << level) + (byte >> (8 - level)) - 1
-                    logs += np.where((byte >> (7 - level)) & 1, one[:, node], zero[:, node])
-                self.table[n[d] + z.start : n[d] + z.stop] = logs
-
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """Of each byte with the bytes before it, the log10 probability in the deepest context known."""
-        return self.table[deepest(self.contexts, self.first, codes), (codes & np.uint64(255)).astype(np.int64)]
-
-
-def tree_of(train: DataFrame, text: str, counts: DataFrame, depth: int = DEPTH, least: float = LEAST) -> ContextTree:
-    """The context tree of the training text. Gathered: candidate contexts, and their counts of next bytes."""
-    total = counts.where("d = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = counts.where((F.col("d") >= 1) & (F.col("n") >= max(1.0, least / 2 * total))).select("d", "key").toPandas()
-    contexts = [np.zeros(1, np.uint64)] + [np.sort(found["key"][found["d"] == d].to_numpy(np.int64).astype(np.uint64)) for d in range(1, depth + 1)]
-    # a context without its suffix can't be frequent; dropping it keeps the tree whole
-    for d in range(2, depth + 1):
-        contexts[d] = contexts[d][np.isin(contexts[d] & np.uint64(256 ** (d - 1) - 1), contexts[d - 1])]
-    first = offsets(contexts)
-    shared = train.sparkSession.sparkContext.broadcast((contexts, first))
-
-    def count(batches):
-        for _, keys, n in _chunks(batches, 0, depth, False):
-            cells, m = summed(deepest(*shared.value, keys) * 256 + (keys & np.uint64(255)).astype(np.int64), n)
-            yield from _rows(["cell", "n"], cells, m)
-
-    cells = train.select(text).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    state, byte, n = cells["cell"].to_numpy(np.int64) >> 8, (cells["cell"].to_numpy(np.int64) & 255).astype(np.uint8), cells["n"].to_numpy(np.int64)
-    del cells, found
-    # totals of contexts: their own positions and those of deeper ones; rare ones give theirs to the suffix
-    parents = [None] + [first[d - 1] + np.searchsorted(contexts[d - 1], contexts[d] & np.uint64(256 ** (d - 1) - 1)) for d in range(1, depth + 1)]
-    whole = np.bincount(state, n, first[-1])
-    for d in range(depth, 0, -1):
-        np.add.at(whole, parents[d], whole[first[d] : first[d + 1]])
-    keep = whole >= max(1.0, least * total)
-    keep[0] = True
-    to = np.arange(first[-1])
-    for d in range(1, depth + 1):
-        own = np.arange(first[d], first[d + 1])
-        to[own] = np.where(keep[own], own, to[parents[d]])
-    number = np.cumsum(keep) - 1
-    kept = [c[keep[first[d] : first[d + 1]]] for d, c in enumerate(contexts)]
-    table = np.zeros(int(keep.sum()) * 256)
-    np.add.at(table, number[to[state]] * 256 + byte, n)
-    return ContextTree(kept, table.reshape(-1, 256))
-
-
-def scores(docs: DataFrame, train, depth: int = DEPTH, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
+_TABLE = 1 << 14
+_HALVES, _WHOLES = log_gamma(np.arange(_TABLE) + 0.5), log_gamma(np.arange(_TABLE) + 1.0)
+
+
+def _tabled(n: np.ndarray, table: np.ndarray, more: float) -> np.ndarray:
+    out = table[np.minimum(n, _TABLE - 1)]
+    large = np.flatnonzero(n >= _TABLE)
+    if len(large):
+        out[large] = log_gamma(n[large] + more)
+    return out
+
+
+def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return _tabled(zeros, _HALVES, 0.5) + _tabled(ones, _HALVES, 0.5) - math.log(math.pi) - _tabled(zeros + ones, _WHOLES, 1.0)
+
+
+class Subtrees:
+    """The part of the context tree above given runs, from contexts of top bytes down to those of depth bytes."""
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray, depth: int, top: int):
+        """codes: distinct runs in order; n: their counts in training text, which may be 0."""
+        self.depth, self.top = depth, top
+        self.keys, self.n, self.up = {depth: codes}, {depth: n.astype(np.int64)}, {}
+        for d in range(depth - 1, top - 1, -1):
+            short = self.keys[d + 1] & np.uint64(256 ** (d + 1) - 1)
+            order = np.argsort(short, kind="stable")
+            short = short[order]
+            at = _edges(short)
+            up = np.empty(len(order), np.int32)
+            up[order] = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(np.append(at, len(order))))
+            self.keys[d], self.n[d], self.up[d + 1] = short[at], np.add.reduceat(self.n[d + 1][order], at) if len(at) else self.n[d + 1][order], up
+
+    def decisions(self, level: int):
+        """Decisions of one level (its bit of the byte) by depth: first run, row of each run, row one depth up, zeros, ones, log of KT, log of the mixture."""
+        rows: dict[int, dict[str, np.ndarray]] = {}
+        for d in range(self.depth, self.top - 1, -1):
+            keys, n = self.keys[d], self.n[d]
+            first = _edges(keys >> np.uint64(8 - level))
+            row = np.zeros(len(keys), np.int32)
+            row[first[1:]] = 1
+            row = np.cumsum(row, dtype=np.int32)
+            bit = ((keys >> np.uint64(7 - level)) & np.uint64(1)).astype(np.int64)
+            ones = np.add.reduceat(n * bit, first) if len(first) else n
+            zeros = (np.add.reduceat(n, first) if len(first) else n) - ones
+            rows[d] = {"first": first, "row": row, "zeros": zeros, "ones": ones, "kt": log_kt(zeros, ones)}
+            if d < self.depth:
+                below = rows[d + 1]
+                below["up"] = row[self.up[d + 1][below["first"]]]
+                rows[d]["below"] = np.bincount(below["up"], below["mixed"], len(first))
+                rows[d]["mixed"] = np.logaddexp(rows[d]["kt"], rows[d]["below"]) + math.log(0.5)
+            else:
+                rows[d]["mixed"] = rows[d]["kt"]
+        return rows
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Decisions of the shortest contexts (key: context, then the decision's number from 1 to 255), zeros, ones, and the sum of the mixtures one byte longer."""
+        out = []
+        for level in range(8):
+            top = self.decisions(level)[self.top]
+            out.append((decision(self.keys[self.top][top["first"]], level), top["zeros"], top["ones"], top["below"]))
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+    def log10(self, short: "Short") -> np.ndarray:
+        """The log10 probability of each run's byte."""
+        out = np.zeros(len(self.keys[self.depth]))
+        bytes_ = self.keys[self.depth] & np.uint64(255)
+        for level in range(8):
+            rows = self.decisions(level)
+            a, b, leaf = short.at(decision(self.keys[self.top][rows[self.top]["first"]], level))
+            for d in range(self.top + 1, self.depth + 1):
+                r = rows[d]
+                seen, kt = r["zeros"] + r["ones"] > 0, (r["ones"] + 0.5) / (r["zeros"] + r["ones"] + 1)
+                own = np.exp(r["kt"] + math.log(0.5) - r["mixed"]) if d < self.depth else np.ones(len(kt))
+                a, b, leaf = a[r["up"]], b[r["up"]], leaf[r["up"]]
+                leaf = np.where(seen, a + b * kt, leaf)
+                a, b = a + b * own * kt, b * (1 - own)
+            p = np.clip(leaf[rows[self.depth]["row"]], LEAST, 1 - LEAST)
+            out += np.log10(np.where((bytes_ >> np.uint64(7 - level)) & np.uint64(1), p, 1 - p))
+        return out
+
+
+def decision(keys: np.ndarray, level: int) -> np.ndarray:
+    """The context of a run, then the number of its decision at a level: 1, or twice the one before, or that and one."""
+    number = np.uint64(1 << level) + ((keys & np.uint64(255)) >> np.uint64(8 - level))
+    return (keys >> np.uint64(8) << np.uint64(8)) | number
+
+
+class Short:
+    """The tree's contexts of up to top bytes, mixed from the root: what Subtrees need of them."""
+
+    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray, top: int):
+        """As of Subtrees.sums, summed over all subtrees."""
+        levels = [(keys, zeros, ones, below)]
+        for d in range(top - 1, -1, -1):
+            keys, zeros, ones, below = levels[0]
+            mixed = np.logaddexp(log_kt(zeros, ones), below) + math.log(0.5)
+            short = (((keys >> np.uint64(8)) & np.uint64(256**d - 1)) << np.uint64(8)) | (keys & np.uint64(255))
+            up, back = np.unique(short, return_inverse=True)
+            total = [np.bincount(back, x, len(up)) for x in (zeros, ones)]
+            levels.insert(0, (up, *(t.astype(np.int64) for t in total), np.bincount(back, mixed, len(up))))
+        before = None
+        for d, (keys, zeros, ones, below) in enumerate(levels):
+            kt, seen = log_kt(zeros, ones), zeros + ones > 0
+            own = np.exp(kt + math.log(0.5) - (np.logaddexp(kt, below) + math.log(0.5)))
+            estimate = (ones + 0.5) / (zeros + ones + 1)
+            if before is None:
+                a, b, leaf = np.zeros(len(keys)), np.ones(len(keys)), np.full(len(keys), 0.5)
+            else:
+                short = (((keys >> np.uint64(8)) & np.uint64(256 ** (d - 1) - 1)) << np.uint64(8)) | (keys & np.uint64(255))
+                up = np.searchsorted(before[0], short)
+                a, b, leaf = (x[up] for x in before[1:])
+            leaf = np.where(seen, a + b * estimate, leaf)
+            before = keys, a + b * own * estimate, b * (1 - own), leaf
+        self.keys, self.a, self.b, self.leaf = before
+
+    def at(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i = np.searchsorted(self.keys, keys)
+        return self.a[i], self.b[i], self.leaf[i]
+
+
+def _packed(bucket: np.ndarray, keys: np.ndarray, n: np.ndarray | None = None):
+    """Buckets that hold keys, with the keys (in their order) and counts of each as bytes."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, keys = bucket[order], keys[order]
+    at = _edges(bucket)
+    ends = np.append(at[1:], len(bucket))
+    counts = None if n is None else n[order].astype(np.int64)
+    return [(int(bucket[i]), keys[i:j].tobytes(), None if counts is None else counts[i:j].tobytes()) for i, j in zip(at, ends)]
+
+
+def _merged(t: pa.Table, depth: int, split: int, runs_end: int) -> pa.Table:
+    """A bucket's runs or tokens (bucket, chunk, keys, n of each chunk): counts summed, and each chunk's places in them."""
+    bucket = t.column("bucket")[0].as_py()
+    chunks = t.column("chunk").to_pylist()
+    keys = [np.frombuffer(x, np.uint64) for x in t.column("keys").to_pylist()]
+    n = [np.frombuffer(x, np.int64) for x in t.column("n").to_pylist()]
+    known, counts = summed(np.concatenate(keys), np.concatenate(n))
+    rows: list[tuple] = []  # chunk, kind, a, b, key, zeros, ones, below
+    if bucket < runs_end:
+        rows.append((-1, HEADER, known.tobytes(), counts.tobytes(), None, None, None, None))
+        rows += [(c, PLACES, np.searchsorted(known, k).astype(np.uint32).tobytes(), None, None, None, None, None) for c, k in zip(chunks, keys)]
+        rows += [(-1, SHORT, None, None, *r) for r in zip(*(x.tolist() for x in _signed(Subtrees(known, counts, depth, split - 1).sums())))]
+    else:
+        rows += [(c, COUNTS, counts[np.searchsorted(known, k)].tobytes(), None, None, None, None, None) for c, k in zip(chunks, keys)]
+        rows.append((-1, TOTALS, None, None, None, int(counts.sum()), int((counts > 0).sum()), None))
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+    columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+    return pa.Table.from_arrays([pa.array([bucket] * len(rows), pa.int32()), *columns], ["bucket", "chunk", "kind", "a", "b", "key", "zeros", "ones", "below"])
+
+
+def _signed(columns):
+    keys, *rest = columns
+    return keys.view(np.int64), *rest
+
+
+def scores(docs: DataFrame, train, depth: int = DEPTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row.
 
-    train: the condition on rows that are learned from. Null and empty texts are one end. Repeated rows are scored each.
+    train: the condition on rows that are learned from (null: not). Null and empty texts are one end. Repeated rows are
+    scored each, as are rows with a null key. An empty table gives an empty result; without training rows every decision
+    has probability 1/2. Other columns don't matter, whatever their names.
     """
     spark = docs.sparkSession
-    counts = cut(corpus_counts(docs.where(train), text, depth, least))
-    tree = tree_of(docs.where(train), text, counts, depth, least)
-    tokens = counts.where(F.col("d") == TOKEN)
-    n_all, n_kinds = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    hot = tokens.where(F.col("n") >= max(1.0, FREQUENT * n_all)).select("key", "n").toPandas().sort_values("key")
-    hot_keys, hot_n = hot["key"].to_numpy(np.int64), hot["n"].to_numpy(np.int64)
-    bottom = n_all + 0.5 * (n_kinds + 1)
-    shared = spark.sparkContext.broadcast((tree, hot_keys, np.log10((hot_n + 0.5) / bottom)))
     kind = dict(docs.dtypes)[key]
-
-    def is_hot(hashes, keys):
-        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1) if len(keys) else np.zeros(len(hashes), np.int64)
-        return at, keys[at] == hashes if len(keys) else np.zeros(len(hashes), bool)
-
-    def whole(batches):
-        tree, keys, logs = shared.value
-        for b in slices(batches, 1000):
-            texts = raw_bytes(b.column(2))
-            codes, starts = runs(texts, depth)
-            sizes = np.diff(np.append(starts, len(codes)))
+    split = min(SPLIT, depth)
+    rows = docs.select(F.col(key).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("x"))
+    size, n_rows = rows.agg(F.coalesce(F.sum(F.octet_length("x").cast("long")), F.lit(0)), F.count("*")).first()
+    n_chunks = max(1, -(-(size + n_rows) // CHUNK))
+    runs_end = max(1, (size + n_rows) // (4 * PER_BUCKET))  # a chunk has some 5 distinct runs for 20 bytes, and 1 token
+    buckets = runs_end + max(1, runs_end // 4)
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "x"), F.lit(n_chunks)).cast("int"))
+
+    def hand_on(t: pa.Table) -> pa.Table:
+        texts, own = raw_bytes(t.column("x")), np.array(t.column("train").to_pylist(), bool)
+        keys, n = distinct_runs(texts, own, depth)
+        out = _packed(bucket_of(keys, runs_end, split), keys, n)
+        hashes, who = token_hashes(texts)
+        keys, n = summed(hashes, own[who].astype(np.int64))
+        out += _packed(runs_end + token_bucket(keys, buckets - runs_end), keys, n)
+        chunk = t.column("chunk")[0].as_py()
+        give_back()
+        columns = zip(*out)
+        return pa.table({"bucket": pa.array(next(columns), pa.int32()), "chunk": pa.array([chunk] * len(out), pa.int32()), "keys": pa.array(next(columns), pa.binary()), "n": pa.array(next(columns), pa.binary())})
+
+    handed = dealt.groupBy("chunk").applyInArrow(hand_on, "bucket int, chunk int, keys binary, n binary")
+    merged = cut(handed.groupBy("bucket").applyInArrow(lambda t: _merged(t, depth, split, runs_end), "bucket int, chunk int, kind int, a binary, b binary, key long, zeros long, ones long, below double"))
+    # at most 256^(SPLIT - 1) * 255 decisions
+    short = merged.where(F.col("kind") == SHORT).groupBy("key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below")).toPandas().sort_values("key")
+    n_all, n_kinds = merged.where(F.col("kind") == TOTALS).agg(F.coalesce(F.sum("zeros"), F.lit(0)), F.coalesce(F.sum("ones"), F.lit(0))).first()
+    bottom = n_all + 0.5 * (n_kinds + 1)
+    shared = spark.sparkContext.broadcast(Short(short["key"].to_numpy(np.int64).view(np.uint64), *(short[c].to_numpy(t) for c, t in (("zeros", np.int64), ("ones", np.int64), ("below", np.float64))), split - 1))
+
+    def worked_down(batches):
+        """Rows of a bucket follow its header."""
+        found = None
+        for b in batches:
+            out: list[list] = [[], [], []]
+            for bucket, chunk, what, a, counts in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if what == HEADER:
+                    found = Subtrees(np.frombuffer(a, np.uint64), np.frombuffer(counts, np.int64), depth, split - 1).log10(shared.value).astype(np.float32)
+                    continue
+                for column, value in zip(out, (chunk, bucket, found[np.frombuffer(a, np.uint32)].tobytes() if what == PLACES else a)):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["chunk", "bucket", "a"])
+        give_back()
+
+    worked = merged.where(F.col("kind").isin(HEADER, PLACES, COUNTS)).select("bucket", "chunk", "kind", "a", "b").mapInArrow(worked_down, "chunk int, bucket int, a binary")
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts, own = raw_bytes(left.column("x")), np.array(left.column("train").to_pylist(), bool)
+        given = dict(zip(right.column("bucket").to_pylist(), right.column("a").to_pylist()))
+        known = summed(np.concatenate([summed(c)[0] for c, _ in runs(texts, depth)]))[0]
+        bucket = bucket_of(known, runs_end, split)
+        logs = np.empty(len(known))
+        logs[np.argsort(bucket, kind="stable")] = np.concatenate([np.frombuffer(given[j], np.float32) for j in np.unique(bucket).tolist()])
+        result = np.zeros(len(texts))
+        for codes, who in runs(texts, depth):
             order = np.argsort(codes)
             codes = codes[order]
-            edge = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-            logs_of = np.repeat(tree.log10(codes[edge]).astype(np.float64), np.diff(np.append(edge, len(codes))))
-            score = np.bincount(np.repeat(np.arange(len(texts)), sizes)[order], logs_of, len(texts))
-            del codes, order, logs_of
-            each = [ascii_words(t) for t in texts]
-            n = np.array([len(w) + 1 for w in each], np.int64)
-            h = np.concatenate([hash_words([w for ws in each for w in ws]), np.repeat(END, len(texts))]).view(np.int64)
-            who = np.concatenate([np.repeat(np.arange(len(texts)), n - 1), np.arange(len(texts))])
-            at, hit = is_hot(h, keys)
-            n_hot = np.bincount(who[hit], minlength=len(texts))
-            base = np.bincount(who[hit], logs[at[hit]], len(texts))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.array([xxhash.xxh3_64_intdigest(t or b"") for t in texts], np.uint64).view(np.int64)), b.column(1)]
-                + [pa.array(n), pa.array(n_hot.astype(np.int64)), pa.array(base), pa.array(score), pa.array(-score / math.log10(2) / sizes), pa.array([1] * len(n), pa.int64())],
-                [key, "_text", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte", "_rows"],
-            )
-
-    def others(batches):
-        _, keys, _ = shared.value
-        for b in slices(batches, 1000):
-            who, found, times, digest = [], [], [], []
-            for i, t in enumerate(raw_bytes(b.column(1))):
-                h, m = summed(hash_words(ascii_words(t)))
-                h = h.view(np.int64)
-                cold = ~is_hot(h, keys)[1]
-                found.append(h[cold])
-                times.append(m[cold])
-                who.append(np.full(len(found[-1]), i, np.int64))
-                digest.append(np.full(len(found[-1]), xxhash.xxh3_64_intdigest(t or b""), np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(np.concatenate(who))), pa.array(np.concatenate(digest)), pa.array(np.concatenate(found)), pa.array(np.concatenate(times).astype(np.int32))], [key, "_text", "key", "m"]
-            )
-
-    held = (~train).alias("held_out")
-    first = docs.select(key, held, text).mapInArrow(whole, f"`{key}` {kind}, _text long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double, _rows long")
-    rest = docs.select(key, text).mapInArrow(others, f"`{key}` {kind}, _text long, key long, m int")
-    if key == "key":
-        raise ValueError("the key column can't be named key")
-    rare = tokens.where(F.col("n") < max(1.0, FREQUENT * n_all)).select("key", "n")
-    rest = rest.join(rare, "key", "left").select(
-        key, "_text", (F.col("m") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(bottom))).alias("base_score"), F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0).cast("long").alias("n_known")
-    )
-    zero = {"held_out": F.lit(None).cast("boolean"), "n_tokens": F.lit(0).cast("long"), "score": F.lit(0.0), "bits_per_byte": F.lit(0.0), "_rows": F.lit(0).cast("long")}
-    both = first.withColumns({"_cold": F.lit(0.0), "_cold_known": F.lit(0).cast("long")}).unionByName(
-        rest.groupBy(key, "_text").agg(F.sum("base_score").alias("_cold"), F.sum("n_known").alias("_cold_known")).withColumns(zero | {"base_score": F.lit(0.0), "n_known": F.lit(0).cast("long")})
-    )
-    # a row that stands m times has its m shares of each sum
-    rows = both.groupBy(key, "_text").agg(F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score", "bits_per_byte", "_rows", "_cold", "_cold_known")])
-    m = F.col("_rows")
-    return rows.select(
-        key, "held_out",
-        F.expr("n_tokens div _rows").alias("n_tokens"),
-        F.expr("(n_known + _cold_known) div _rows").alias("n_known"),
-        F.lit(n_all).cast("long").alias("train_tokens"),
-        ((F.col("base_score") + F.col("_cold")) / m).alias("base_score"),
-        (F.col("score") / m).alias("score"),
-        (F.col("bits_per_byte") / m).alias("bits_per_byte"),
-        F.explode(F.array_repeat(F.lit(1), m.cast("int"))).alias("_each"),
-    ).drop("_each")
+            at = _edges(codes)
+            each = np.repeat(logs[np.searchsorted(known, codes[at])], np.diff(np.append(at, len(codes))))
+            result += np.bincount(who[order], each, len(texts))
+        hashes, who = token_hashes(texts)
+        known = np.unique(hashes)
+        bucket = runs_end + token_bucket(known, buckets - runs_end)
+        counts = np.empty(len(known), np.int64)
+        counts[np.argsort(bucket, kind="stable")] = np.concatenate([np.frombuffer(given[j], np.int64) for j in np.unique(bucket).tolist()])
+        c = counts[np.searchsorted(known, hashes)]
+        base = np.bincount(who, np.log10((c + 0.5) / bottom), len(texts))
+        n, n_known = np.bincount(who, minlength=len(texts)), np.bincount(who[c > 0], minlength=len(texts))
+        sizes = np.array([len(t or b"") + 1 for t in texts])
+        give_back()
+        return pa.table(
+            {key: left.column("id"), "held_out": pa.array(~own), "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(n_known.astype(np.int64)), "train_tokens": pa.array(np.full(len(texts), n_all, np.int64))}
+            | {"base_score": pa.array(base), "score": pa.array(result), "bits_per_byte": pa.array(-result / math.log10(2) / sizes)}
+        )
+
+    schema = f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    return dealt.groupBy("chunk").cogroup(worked.groupBy("chunk")).applyInArrow(score, schema)
 
 
 def held_out_scores(docs: DataFrame) -> DataFrame:

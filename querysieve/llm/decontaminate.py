@@ -110,20 +110,19 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = K, block: int = BLOCK) -> DataFrame:
+def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = K, block: int = BLOCK, added: tuple[str, str, str] = ("n_words", "hits", "items")) -> DataFrame:
     """docs with n_words, hits ARRAY<STRUCT<start, end>> (word positions, end exclusive) and items ARRAY<STRING>, sorted.
 
-    A null or wordless text has no hits; items without id or words have no windows. Rows are not matched by any key,
+    added: their names; columns of docs that have these are replaced. A null or wordless text has no hits; items without id or words have no windows. Rows are not matched by any key,
     so repeated documents and ids are searched one by one.
     """
     spark = docs.sparkSession
     items = benchmark.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("t"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-size * 5 // (4 * block)))
-    added = ("n_words", "hits", "items")
     fields = [c for c in docs.columns if c not in added]
     types = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in fields) + ", n_words long, hits array<struct<start:int,end:int>>, items array<string>"
+    schema = ", ".join(f"`{c}` {types[c]}" for c in fields) + f", `{added[0]}` long, `{added[1]}` array<struct<start:int,end:int>>, `{added[2]}` array<string>"
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def pass_over(df: DataFrame, rows: list[tuple[str, bytes]], again: bool) -> DataFrame:
@@ -135,8 +134,8 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
                 rows = [index.search(raw) for raw in raw_bytes(b.column(text))]
                 hits, names = [[h for h in r[1]] for r in rows], [r[2] for r in rows]
                 if again:
-                    hits = [merged([*new, *((x["start"], x["end"]) for x in old)]) for new, old in zip(hits, b.column("hits").to_pylist())]
-                    names = [new | set(old) for new, old in zip(names, b.column("items").to_pylist())]
+                    hits = [merged([*new, *((x["start"], x["end"]) for x in old)]) for new, old in zip(hits, b.column(added[1]).to_pylist())]
+                    names = [new | set(old) for new, old in zip(names, b.column(added[2]).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(b.column(c) for c in fields),

@@ -90,7 +90,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", per_language:
 
     counts = drawn.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "code"))), 1, PROFILE)
-    kept = counts.where("n > 1").groupBy("lang", (F.col("code") % 64).alias("part")).agg(best.alias("best"))
+    kept = counts.groupBy("lang", (F.col("code") % 64).alias("part")).agg(best.alias("best"))
     found: dict[str, list] = {k: [] for k in n}
     for r in kept.collect():  # 64 parts of at most PROFILE for each language
         found[r["lang"]] += [(x["m"], x["code"]) for x in r["best"]]

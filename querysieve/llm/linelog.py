@@ -1,20 +1,21 @@
 """Line dedup by a log-template tree.
 
-Lines are parsed as a log parser does. The tree has a fixed depth: the first level is the number of tokens, the next
-LEADING levels are the first tokens, where a token with a digit counts as a variable. At a leaf, a line joins the
-first template that agrees with it on at least ALIKE of the tokens, and where they differ the template becomes
-variable; otherwise it starts a template. A template that occurs in at least LEAST documents recurs: its lines
-(licence lines, notices, menus) are dropped, but for the first document that holds it. Words of scripts without
-spaces are parsed character by character.
+Lines are parsed as a log parser does, and so that no line's place depends on the others' order. The tree has a fixed
+depth: the first level is the number of tokens, the next LEADING levels are the first tokens, where a token with a digit
+counts as a variable. At a leaf, a token is part of a template if it stands at its position in `least` lines or more;
+what stands elsewhere is a variable field. A line of which that leaves less than ALIKE of the tokens (or fewer than
+CONSTANT) belongs to no template. A template that occurs in at least `least` documents recurs: its lines (licence lines,
+notices, menus) are dropped, but for the first document that holds it. Words of scripts without spaces are parsed
+character by character.
 
 A line of fewer than TOKENS tokens is too short for a template. With `short` it recurs if the same line, digits and
-all, stands in LEAST documents. With `long_least` a line of more than LONG tokens recurs, too, if the same line stands
+all, stands in `least` documents. With `long_least` a line of more than LONG tokens recurs, too, if the same line stands
 in that many documents. Both are told apart by a digest of the line and move no text.
 
 How it is spread out: leaves are counted first (a number each), and only lines of leaves in enough documents go on.
-These are summed by masked line before any shuffle of lines, so that a frequent line is one row a task. Leaves are
-parsed in sub-leaves of bounded expected size, whose templates are then parsed once more together. What comes back
-to the documents is a key for each line, and to their texts the positions to drop.
+These are summed by masked line before any shuffle of lines, so that a frequent line is one row a task. Tokens are
+counted by leaf and position, so a leaf of very many lines is dealt by its tokens. What comes back to the documents is a
+key for each line, and to their texts the positions to drop.
 """
 
 from __future__ import annotations
@@ -29,17 +30,15 @@ from pyspark.sql import functions as F
 
 from .common import cut, slices
 
-LEADING, ALIKE = 3, 0.6
+LEADING, ALIKE, CONSTANT = 3, 0.6, 2
 #: Documents that make a template recurring; tokens of the shortest line considered.
 LEAST, TOKENS = 10, 5
 #: Tokens that a long line has more than, and the documents that make it recurring where it stands unchanged.
 LONG, LONG_LEAST = 50, 2
-#: Distinct masked lines of a leaf that are parsed together.
-TOGETHER = 2000
 #: Stands for a variable field.
 ANY = "<*>"
-#: Slots of the filters that spare most rows a shuffle; they bound what is broadcast and decide no result.
-SLOTS = 1 << 22
+#: Slots of the filters, of leaves and of documents, that spare most rows a shuffle; they bound what is broadcast and decide no result.
+SLOTS, DOC_SLOTS = 1 << 22, 1 << 20
 _DIGIT = re.compile(r"\d")
 #: Thai, Lao, Myanmar, Khmer, kana, CJK and their extensions.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
@@ -59,23 +58,6 @@ def leaf_of(tokens: list[str]) -> int:
     return _key(f"{len(tokens)} {' '.join(tokens[:LEADING])}")
 
 
-class Templates:
-    """Templates of one leaf."""
-
-    def __init__(self, alike: float = ALIKE):
-        self.alike, self.known = alike, []
-
-    def place(self, tokens: list[str]) -> int:
-        """The template that a line joins."""
-        need = self.alike * len(tokens)
-        for i, t in enumerate(self.known):
-            if sum(a == b for a, b in zip(t, tokens)) >= need:
-                self.known[i] = [a if a == b else ANY for a, b in zip(t, tokens)]
-                return i
-        self.known.append(list(tokens))
-        return len(self.known) - 1
-
-
 def _lines(text: str | None) -> list[tuple[int, list[str]]]:
     """Positions and tokens of the lines that are considered."""
     if not text:
@@ -99,34 +81,31 @@ def _entries(text: str | None, least: int, short: bool, long_least: int | None)
     return out
 
 
-def _slots(keys: DataFrame, column: str, spark) -> np.ndarray:
-    """Which of SLOTS slots hold a key: at most SLOTS numbers are gathered."""
-    out = np.zeros(SLOTS, bool)
-    out[keys.select(F.pmod(column, F.lit(SLOTS)).cast("int").alias("s")).distinct().toPandas()["s"].to_numpy(np.int64)] = True
+def _slots(keys: DataFrame, column: str) -> np.ndarray:
+    """Which of SLOTS slots hold a key, as bits: at most SLOTS / 64 numbers are gathered."""
+    slot = F.pmod(column, F.lit(SLOTS))
+    words = keys.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod({column}, {SLOTS}) & 63 as int)))").alias("bits")).toPandas()
+    out = np.zeros(SLOTS // 64, np.int64)
+    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     return out
 
 
-def _parsed(lines: DataFrame, group: list[str], parts: int) -> DataFrame:
-    """lines (leaf, part, line, masked) with the template that each joins; a group is parsed in the order of its texts."""
-
-    def run(batches):
-        at, leaf = None, Templates()
-        for b in batches:
-            rows, found = b.to_pydict(), []
-            for g, m in zip(zip(*(rows[c] for c in group)), rows["masked"]):
-                if g != at:
-                    at, leaf = g, Templates()
-                found.append(leaf.place(m.split(" ")))
-            yield pa.RecordBatch.from_arrays([b.column("leaf"), b.column("part"), b.column("line"), b.column("masked"), pa.array(found, pa.int32())], ["leaf", "part", "line", "masked", "template"])
-
-    dealt = lines.select("leaf", "part", "line", "masked").repartition(parts, *group).sortWithinPartitions(*group, "masked")
-    return dealt.mapInArrow(run, "leaf long, part int, line long, masked string, template int")
+def templates_of(lines: DataFrame, least: int) -> DataFrame:
+    """line, template of distinct masked lines (leaf, line, masked, n: places); lines without a template are left out."""
+    tokens = lines.where(~F.col("masked").startswith("=")).select("leaf", "line", "n", F.posexplode(F.split("masked", " ")).alias("pos", "token"))
+    often = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("c")).where(F.col("c") >= least).drop("c")
+    kept = tokens.join(often.withColumn("in", F.lit(True)), ["leaf", "pos", "token"], "left")
+    word, inside = F.col("token") != ANY, F.col("in").isNotNull()
+    parsed = kept.groupBy("leaf", "line").agg(
+        F.bit_xor(F.when(inside, F.xxhash64("pos", "token"))).alias("x"), F.count_if(inside).alias("m"), F.count_if(inside & word).alias("constant"), F.count("*").alias("size")
+    ).where((F.col("m") >= ALIKE * F.col("size")) & (F.col("constant") >= CONSTANT))
+    same = lines.where(F.col("masked").startswith("=")).select("line", F.col("line").alias("template"))
+    return parsed.select("line", F.xxhash64("leaf", "x", "m").alias("template")).unionByName(same)
 
 
 def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, short: bool = False, long_least: int | None = None) -> DataFrame:
     """k (key), t (hash of the text), pos: the lines that are dropped."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("x"))
     kind = dict(rows.dtypes)["k"]
 
@@ -148,15 +127,15 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             yield counted()
 
     busy = rows.mapInArrow(count, "leaf long, need int, n long").groupBy("leaf", "need").agg(F.sum("n").alias("n")).where(F.col("n") >= F.col("need"))
-    some = spark.sparkContext.broadcast(np.packbits(_slots(busy, "leaf", spark)))  # SLOTS bits
+    some = spark.sparkContext.broadcast(_slots(busy, "leaf"))  # SLOTS bits
 
     def considered(batches):
         """Lines of busy leaves, once for each task and masked line with its text, and where each stands."""
-        slot, seen = np.unpackbits(some.value), set()
+        bits, seen = some.value, set()
         for b in slices(batches, 1000):
             out: list[list] = [[], [], [], [], [], [], []]
             for i, x in enumerate(b.column(1).to_pylist()):
-                found = [e for e in _entries(x, least, short, long_least) if slot[e[2] % SLOTS]]
+                found = [e for e in _entries(x, least, short, long_least) if bits[(slot := e[2] % SLOTS) >> 6] >> (slot & 63) & 1]
                 if found:
                     digest = _key(x)
                 for p, m, leaf, need in found:
@@ -172,15 +151,8 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             yield pa.RecordBatch.from_arrays([b.column(0).take(columns[0]), *columns[1:]], ["k", "t", "pos", "line", "leaf", "need", "masked"])
 
     stands = cut(rows.mapInArrow(considered, f"k {kind}, t long, pos int, line long, leaf long, need int, masked string"))
-    lines = cut(stands.where("masked is not null").groupBy("leaf", "line").agg(F.min("masked").alias("masked")))
-    large = cut(lines.groupBy("leaf").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts")).where("parts > 1"))
-    part = F.pmod("line", F.coalesce("parts", F.lit(1))).cast("int")
-    first = cut(_parsed(lines.join(large, "leaf", "left").withColumn("part", F.when(F.col("parts").isNotNull(), part).otherwise(-1)), ["leaf", "part"], parts))
-    # templates of sub-leaves, each by its first line, parsed together
-    heads = first.where("part >= 0").groupBy("leaf", "part", "template").agg(F.min("masked").alias("masked"))
-    again = _parsed(heads.withColumn("line", F.xxhash64("part", "template")), ["leaf"], parts).select("leaf", F.col("line").alias("head"), F.col("template").alias("joint"))
-    named = first.withColumn("head", F.xxhash64("part", "template")).join(again, ["leaf", "head"], "left")
-    named = cut(named.select("line", F.xxhash64("leaf", F.when(F.col("part") < 0, F.col("template")).otherwise(F.col("joint"))).alias("template")))
+    lines = cut(stands.groupBy("leaf", "line").agg(F.max("masked").alias("masked"), F.count("*").alias("n")))
+    named = templates_of(lines, least)
     placed = stands.select("k", "t", "pos", "line", "need").join(named, "line").select("k", "t", "pos", "template", "need")
     # documents of each template, and its first place
     each = placed.groupBy("template", "k", "t").agg(F.min("pos").alias("pos"), F.min("need").alias("need"))
@@ -188,31 +160,33 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     return placed.join(often, "template").where(~F.struct("k", "pos", "t").eqNullSafe(F.col("first"))).select("k", "t", "pos")
 
 
-def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, short: bool = False, long_least: int | None = None) -> DataFrame:
-    """docs with n_lines, n_dropped and the text without lines of recurring templates.
+def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, short: bool = False, long_least: int | None = None, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with the text without lines of recurring templates, and two columns named by counts: its lines, and those dropped.
 
     A null text stays null (0 lines); an empty one has one empty line. A text all of whose lines go becomes empty.
-    Each template keeps its first line: of the least key, there the least position. Repeated rows are treated alike.
+    Each template keeps its first line: of the least key, there the least position (a null key comes first). Repeated rows
+    are treated alike. Columns that have the names of counts are replaced by them; no other column's name matters.
     """
-    spark = docs.sparkSession
-    drops = cut(recurring_lines(docs, key, text, least, short, long_least).groupBy("k", "t").agg(F.collect_set("pos").alias("_drops")))
-    hit = spark.createDataFrame(drops.select(F.pmod(F.xxhash64("k"), F.lit(SLOTS)).cast("int").alias("_slot")).distinct().toPandas(), "_slot int")
+    drops = cut(recurring_lines(docs, key, text, least, short, long_least).groupBy("k", "t").agg(F.collect_set("pos").alias("drops")))
+    slot = lambda k: F.pmod(F.xxhash64(k), F.lit(DOC_SLOTS)).cast("int")
+    hit = F.broadcast(drops.select(slot("k").alias("slot")).distinct())  # at most DOC_SLOTS numbers
+    columns = [c for c in docs.columns if c not in counts]
+    rows = docs.select(F.struct(*columns).alias("r"), F.col(key).alias("k"), F.col(text).alias("x")).withColumn("slot", slot("k"))
+    kinds = {c: dict(rows.dtypes)[c] for c in ("r", "k")}
 
     def digests(batches):
         for b in slices(batches, 1000):
-            yield b.append_column("_t", pa.array([None if x is None else _key(x) for x in b.column(text).to_pylist()], pa.int64()))
-
-    schema = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes)
-    slotted = docs.withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int"))
-    touched = slotted.join(F.broadcast(hit), "_slot", "left_semi").drop("_slot").mapInArrow(digests, schema + ", _t long")
-    others = slotted.join(F.broadcast(hit), "_slot", "left_anti").drop("_slot").withColumn("_drops", F.lit(None).cast("array<int>"))
-    drops = drops.select(F.col("k").alias("_k"), F.col("t").alias("_u"), "_drops")
-    touched = touched.join(drops, touched[key].eqNullSafe(drops["_k"]) & (touched["_t"] == drops["_u"]), "left").select(*docs.columns, "_drops")
-    split = F.split(F.col(text), "\n", -1)
-    return (
-        touched.unionByName(others)
-        .withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(split)))
-        .withColumn("n_dropped", F.coalesce(F.size("_drops"), F.lit(0)))
-        .withColumn(text, F.when(F.col("_drops").isNull(), F.col(text)).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains("_drops", i)), "\n")))
-        .drop("_drops")
+            t = pa.array([None if x is None else _key(x) for x in b.column(2).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), t], ["r", "k", "x", "t"])
+
+    touched = rows.join(hit, "slot", "left_semi").select("r", "k", "x").mapInArrow(digests, f"r {kinds['r']}, k {kinds['k']}, x string, t long")
+    others = rows.join(hit, "slot", "left_anti").select("r", "x", F.lit(None).cast("array<int>").alias("drops"))
+    drops = drops.select(F.col("k").alias("k2"), F.col("t").alias("t2"), "drops")
+    touched = touched.join(drops, F.col("k").eqNullSafe(F.col("k2")) & (F.col("t") == F.col("t2")), "left").select("r", "x", "drops")
+    both = touched.unionByName(others).withColumn("lines", F.split("x", "\n", -1))
+    left = F.when(F.col("drops").isNull(), F.col("x")).otherwise(F.array_join(F.filter("lines", lambda _, i: ~F.array_contains("drops", i)), "\n"))
+    return both.select(
+        *[left.alias(c) if c == text else F.col("r")[c].alias(c) for c in columns],
+        F.when(F.col("x").isNull(), 0).otherwise(F.size("lines")).alias(counts[0]),
+        F.coalesce(F.when(F.col("drops").isNotNull(), F.size("drops")), F.lit(0)).alias(counts[1]),
     )
