@@ -28,6 +28,7 @@ Sets of 64-bit shingle hashes stand for sets of shingles.
 
 from __future__ import annotations
 
+import gc
 import math
 from itertools import combinations
 
@@ -470,11 +471,13 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SH
     led = runs.select(F.explode("nodes").alias("a"), "lead").where("a != lead").groupBy("a", "lead").agg(F.count("*").alias("n"))
     best = cut(led.groupBy("a").agg(F.max_by("lead", F.struct("n", "lead")).alias("b")))
     links = copies.unionByName(cut(_similar(_possible(best, sets, bands), docs, key, text, k, bands)))
-    joined = cut(components(links))
+    joined = components(links)
     where = sets.select("node", "id").join(joined, "id", "left").select("node", "id", F.coalesce("component", "id").alias("component"))
     member = runs.select("sig", F.explode("nodes").alias("node")).join(where, "node")
     left = cut(_apart(member, once=True))
     release(runs)
+    gc.collect()  # the driver forgets what the jobs so far have left there
+    docs.sparkSession.sparkContext._jvm.System.gc()
     # each node's largest run: whole sets
     homes = left.groupBy("node").agg(F.max(F.struct("m", "sig")).alias("r")).select("r.sig").distinct()
     home = cut(left.join(homes, "sig"))
@@ -482,12 +485,12 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SH
     texts = _texts(live.join(home, ["sig", "node"]).select("id"), docs, key, text)
     more = cut(_by_run(live.join(home, ["sig", "node"]).join(texts, "id"), ["id", "component", "t"], _linked(k, bands), "a long, b long").distinct())
     links = links.unionByName(more)
-    joined = cut(components(links))
+    joined = components(links)
     # the other runs: pairs that have not met
     met = home.groupBy("node").agg(F.collect_set("sig").alias("met"))
     rest = _apart(left.join(homes, "sig", "left_anti").drop("component", "m").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")))
     unmet = cut(_by_run(rest.join(met, "node"), ["node", "component", "met"], _unmet, "a long, b long").distinct())
     last = cut(_similar(_possible(unmet, sets, bands), docs, key, text, k, bands))
-    final = cut(components(links.unionByName(last)))
+    final = components(links.unionByName(last))
     out = about.select(key, "n_shingles", F.col(key).cast("long").alias("id")).join(final, "id", "left")
     return out.select(key, "n_shingles", F.coalesce("component", "id").alias("component_id"))

@@ -290,11 +290,30 @@ def test_similar_sets_share_a_signature():
             assert jaccard.may_be_similar(len(base), jaccard.bitmap(base), len(other), jaccard.bitmap(other), 80, 100)
 
 
-def test_components_of_chains_stars_and_pairs(spark):
+@pytest.mark.parametrize("small", [components.SMALL, -1])
+def test_components_of_chains_stars_and_pairs(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL", small)
     edges = [(i, i + 1) for i in range(200)] + [(500, 500 + i) for i in range(1, 60)] + [(900, 901), (903, 902), (7, 7)]
     got = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(201)} | {500 + i: 500 for i in range(60)} | {900: 900, 901: 900, 902: 902, 903: 902}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components.components(spark.createDataFrame([(1, None), (None, 2), (3, 1)], "a long, b long")).where("id = 3 and component = 1").count() == 1
+
+
+def test_contracted_edges():
+    rng = np.random.default_rng(9)
+    for _ in range(50):
+        u, v = rng.integers(0, 60, (2, 40))
+        parent = {i: i for i in set(u.tolist()) | set(v.tolist())}
+
+        def root(x, parent=parent):
+            return x if parent[x] == x else root(parent[x])
+
+        for x, y in zip(u.tolist(), v.tolist()):
+            x, y = root(x), root(y)
+            parent[max(x, y)] = min(x, y)
+        ids, least = components.contracted(u, v)
+        assert dict(zip(ids.tolist(), least.tolist())) == {i: root(i) for i in parent if root(i) != i}
 
 
 # ---- 6
