@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import gc
+import itertools
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Entries that a worker's word table may hold before it starts afresh.
 WORD_TABLE = 250_000
+#: Checkpoints after which the driver is tidied.
+TIDY = 4
 
 
 class WordHashes(dict):
@@ -106,12 +110,23 @@ def has_checkpoints(spark: SparkSession) -> None:
         sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "querysieve-checkpoints"))
 
 
+_cuts = itertools.count(1)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder now and reads it from there afterwards."""
     has_checkpoints(df.sparkSession)
+    if next(_cuts) % TIDY == 0:
+        tidy(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """The driver's garbage goes, and with it what Spark keeps for frames that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(df: DataFrame) -> None:
     """Deletes what cut() wrote for df, which nothing may read from now on."""
     plan = df._jdf.queryExecution().analyzed()

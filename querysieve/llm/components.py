@@ -9,14 +9,12 @@ hub's edges is one that adaptive execution can split. What a round has written g
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import cut, release, tidy
 
 #: Edges that a task contracts together, and those that are few enough for one task: 16 MB of numbers.
 AT_A_TIME, SMALL = 500_000, 1_000_000
@@ -81,6 +79,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == before:
             return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
         before = now
-        # the driver forgets what earlier rounds have left there
-        gc.collect()
-        e.sparkSession.sparkContext._jvm.System.gc()
+        tidy(e.sparkSession)

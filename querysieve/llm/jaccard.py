@@ -28,7 +28,6 @@ Sets of 64-bit shingle hashes stand for sets of shingles.
 
 from __future__ import annotations
 
-import gc
 import math
 from itertools import combinations
 
@@ -38,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, cut, gram_hashes, hash_words, map_arrow, mix, raw_bytes, release, slices
+from .common import ascii_words, cut, gram_hashes, hash_words, map_arrow, mix, raw_bytes, release, slices, tidy
 from .components import components
 
 SHINGLE, NUM, DEN = 5, 80, 100
@@ -476,8 +475,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SH
     member = runs.select("sig", F.explode("nodes").alias("node")).join(where, "node")
     left = cut(_apart(member, once=True))
     release(runs)
-    gc.collect()  # the driver forgets what the jobs so far have left there
-    docs.sparkSession.sparkContext._jvm.System.gc()
+    tidy(docs.sparkSession)
     # each node's largest run: whole sets
     homes = left.groupBy("node").agg(F.max(F.struct("m", "sig")).alias("r")).select("r.sig").distinct()
     home = cut(left.join(homes, "sig"))
