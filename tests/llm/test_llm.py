@@ -88,8 +88,52 @@ def test_template_on_the_pages(spark):
 
 def test_equivalence_classes():
     pages = [template.parse(f"<body><ul>{'<li><a>x</a></li>' * n}</ul><p>{'w' * n}</p></body>") for n in (1, 2, 3)]
+    template.name_tokens(pages)
     classes = template.equivalence_classes(pages)
-    assert [len(c) for c in classes] == [6, 4] and classes[1][0].endswith("<li")
+    assert [len(c) for c in classes] == [6, 5] and classes[1][0].endswith("<li") and "/body/ul x" in classes[1]
+
+
+def neutral_page(rng, i, comments, names):
+    """Containers that no element and no name tells apart: a menu, an article with a notice and readers' comments in it, an advert."""
+    word = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    c = (lambda x: f' class="{x}"') if names else (lambda x: "")
+    title, paragraphs = word(5), [word(rng.randint(20, 60)) for _ in range(rng.randint(1, 6))]
+    menu = "".join(f"<a href=/{j}>{x} {i if j == 3 else ''}</a>" for j, x in enumerate("One Two Three Four Five Six".split()))
+    told = "".join(f"<div{c('q')}><div{c('r')}>{word(2)} on day {rng.randint(1, 30)}</div><p>{word(rng.randint(5, 25))}</p><div{c('s')}><b>{rng.randint(0, 9)}</b> agree</div></div>" for _ in range(comments))
+    notice = "All that stands here stands here without any warranty, express or implied, and nobody answers for it. " * 4
+    article = f"<h1>{title}</h1>" + "".join(f"<p>{x}</p>" for x in paragraphs) + f"<div{c('n')}>{notice}</div><div{c('o')}>{told}</div>"
+    html_ = f"<html><body><div{c('a')}>{menu}</div><div{c('b')}><div{c('m')}>{article}</div></div><div{c('z')}>Buy {word(3)} now, <b>cheap</b></div></body></html>"
+    return html_, "\n".join([title, *paragraphs])
+
+
+@pytest.mark.parametrize("names", [True, False])
+@pytest.mark.parametrize("comments", [lambda rng: rng.randint(0, 6), lambda rng: 4])
+def test_slots_decide_without_elements_and_names(monkeypatch, names, comments):
+    rng = random.Random(21)
+    pages = [neutral_page(rng, i, comments(rng), names) for i in range(30)]
+    assert template.extract_all([h for h, _ in pages]) == [t for _, t in pages]
+    monkeypatch.setattr(template, "equivalence_classes", lambda pages: [])
+    without = template.extract_all([h for h, _ in pages])
+    assert sum(a == t for a, (_, t) in zip(without, pages)) == 0
+
+
+def test_template_of_edges(spark):
+    schema = "page_id long, url string, html string"
+    assert template.main_text(spark.createDataFrame([], schema)).count() == 0
+    long = "<html><body><nav><a href=/>x</a></nav><article>" + "<p>some words of a very long page</p>" * 30_000 + "</article></body></html>"
+    rows = [(None, None, None), (None, "http://a/", "<p>x"), (1, None, long), (1, None, long), (2, "http://b/", ""), (3, "http://b/", "<" * 1000), (4, "http://b/", "<div>" * 3000 + "deep")]
+    got = template.main_text(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
+    assert [r.text.count("\n") for r in got if r.page_id == 1] == [29_999] * 2 and {r.text for r in got if r.page_id == 2} == {""}
+
+
+@pytest.mark.parametrize("n", [59, 61, 119, 121, 200])
+def test_no_page_is_a_template_of_its_own(spark, n):
+    rng = random.Random(n)
+    pages = [neutral_page(rng, i, rng.randint(0, 5), True) for i in range(n)]
+    rows = [(i, f"http://one.example/{i}", h) for i, (h, _) in enumerate(pages)]
+    got = {r.page_id: r.text for r in template.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: t for i, (_, t) in enumerate(pages)}
 
 
 # ---- 2
