@@ -197,8 +197,25 @@ def test_repeated_passages(spark, docs):
     got = {r.doc_id: r for r in suffixes.repeats(df).collect()}
     assert set(got) == set(want)
     covered = {i: {x for s in r.spans for x in range(s.start, s.end)} for i, r in got.items()}
-    assert all(covered[i] <= want[i] for i in want) and sum(map(len, covered.values())) > 0.999 * sum(map(len, want.values()))
-    assert all(r.n_repeated == len(covered[i]) and r.others for i, r in got.items())
+    assert covered == want and all(r.n_repeated == len(covered[i]) and r.others for i, r in got.items())
+    again = {r.doc_id: r for r in suffixes.repeats(df.repartition(7)).collect()}
+    assert again == got == {r.doc_id: r for r in suffixes.repeats(df.coalesce(1)).collect()}
+    few = {r.doc_id: {x for s in r.spans for x in range(s.start, s.end)} for r in suffixes.repeats(df, passage=31).collect()}
+    assert few == repeated_words(texts, 31)
+
+
+def test_a_passage_of_very_many_documents(spark):
+    """Batches that hold many suffixes with all words alike, and some that differ beside the passage."""
+    rng = random.Random(4)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    notice, inner = new(140), new(55)
+    texts = {i: new(rng.randint(0, 40)) + (notice if i % 3 else inner) + [f"x{rng.randrange(3)}"] + new(rng.randint(0, 40)) for i in range(300)}
+    texts[300] = inner + new(5) + inner
+    want = repeated_words({i: [w.encode() for w in t] for i, t in texts.items()})
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in suffixes.repeats(df.repartition(3)).collect()}
+    assert {i: {x for s in r.spans for x in range(s.start, s.end)} for i, r in got.items()} == want
+    assert got == {r.doc_id: r for r in suffixes.repeats(df.coalesce(1)).collect()}
 
 
 def test_repeats_of_edges(edges, none):
@@ -206,7 +223,7 @@ def test_repeats_of_edges(edges, none):
     assert set(got) == {6} and got[6].n_repeated == 20_000
     assert suffixes.repeats(none).count() == 0
     with pytest.raises(ValueError):
-        suffixes.repeats(none, passage=20)
+        suffixes.repeats(none, passage=16)
 
 
 # ---- 4
