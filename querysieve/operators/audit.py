@@ -221,6 +221,15 @@ def filter_counters(taken: DataFrame, clean: str = "is_clean", dirty: str = "is_
     return out.withColumn("filtered_rate_pct_over_seen", pct(F.col("filtered"), F.col("n_seen")))
 
 
+def summary(row: DataFrame) -> str:
+    """A one-row summary as JSON text, with the time in UTC at which it was made."""
+    import json
+    from datetime import UTC, datetime
+
+    made = datetime.now(UTC).isoformat(timespec="seconds").replace("+00:00", "Z")
+    return json.dumps(row.first().asDict(recursive=True) | {"generated_at_utc": made}, indent=2, ensure_ascii=False)
+
+
 def element_counts(lists: DataFrame, key: str, values: str) -> DataFrame:
     """Elements of arrays, summed for each key."""
     return lists.groupBy(key).agg(F.coalesce(F.sum(F.size(values).cast("long")), F.lit(0)).alias("n"))

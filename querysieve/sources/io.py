@@ -26,14 +26,31 @@ def path_of(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share. Where none is set, one machine may take a folder of its own; a cluster may not."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
+        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "querysieve-checkpoints"))
+    return sc.getCheckpointDir()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and reads it from there: later passes see the same rows in the same ranges."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "querysieve-checkpoints"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def put_text(spark: SparkSession, path: str, value: str) -> None:
+    """A small text as one file, in whatever store the path names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(p, True)
+    out.write(value.encode())
+    out.close()
+
+
 def read_parquet(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
 
@@ -73,10 +90,10 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.when(F.size(parts) > 1, F.get(parts, F.lit(0))).alias("name"), F.when(F.size(parts) > 1, F.get(parts, F.lit(1))).otherwise(F.get(parts, F.lit(0))).alias("file_id"))
 
 
-def read_chunks(spark: SparkSession, root: str, side: str) -> DataFrame:
+def read_chunks(spark: SparkSession, root: str, side: str, pattern: str = "chunk_*") -> DataFrame:
     """Blocks of all chunks of a side with the chunk they came from, which orders them."""
     chunk = F.regexp_extract(F.col("_metadata.file_path"), r"chunk_(\d+)", 1).cast("long")
-    return spark.read.option("recursiveFileLookup", True).parquet(f"{root}/chunk_*/{side}").select("*", chunk.alias("chunk_id"))
+    return spark.read.option("recursiveFileLookup", True).parquet(f"{root}/{pattern}/{side}").select("*", chunk.alias("chunk_id"))
 
 
 def read_stream(spark: SparkSession, path: str, schema: str = RAW, files: int = 1) -> DataFrame:

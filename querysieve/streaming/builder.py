@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from querysieve.functions import detect
 from querysieve.operators import audit, balance, sample, tokens
-from querysieve.operators.order import id_bucket, running_total
+from querysieve.operators.order import id_bucket, running_total, running_totals
 from querysieve.sources import io
 
 SIDES = ("clean", "dirty")
@@ -34,6 +34,8 @@ class Builder:
     exclude_strict: bool = False
     sample_size: int = 400
     key: str = "doc_id"
+    #: Documents that are looked at, at most.
+    most: int | None = None
 
     def quota(self, side: str) -> int:
         return (self.want.clean_pool if side == "clean" else self.want.dirty_pool) * self.size
@@ -57,6 +59,8 @@ class Builder:
         old = self.state(spark, number)
         if old["done"]:
             return
+        if self.most is not None:
+            batch = running_total(batch, id_bucket(self.key), [self.key], F.lit(1).cast("long"), "_rank").where(F.col("_rank") < self.most - old["n_total"]).drop("_rank")
         rows = detect.annotate(batch).withColumn("_ids", self.tokenizer.ids(F.col("text"))).withColumn("_n", F.size("_ids").cast("long"))
         rows = rows.withColumns({"_clean": detect.clean_side(self.exclude_strict), "_dirty": detect.dirty_by(self.mode)}).persist()
         try:
@@ -66,10 +70,8 @@ class Builder:
 
     def _take(self, rows: DataFrame, number: int, old: dict) -> None:
         spark, key = rows.sparkSession, self.key
-        placed = rows
-        for s in SIDES:
-            placed = running_total(placed, id_bucket(key), [key], F.when(F.col(f"_{s}"), F.col("_n")).otherwise(F.lit(0).cast("long")), f"_b{s}")
-            placed = placed.withColumn(f"_b{s}", F.col(f"_b{s}") + old[f"{s}_tokens"])
+        placed = running_totals(rows, id_bucket(key), [key], {f"_b{s}": F.when(F.col(f"_{s}"), F.col("_n")).otherwise(F.lit(0).cast("long")) for s in SIDES})
+        placed = placed.withColumns({f"_b{s}": F.col(f"_b{s}") + old[f"{s}_tokens"] for s in SIDES})
         reach = []
         for s in SIDES:
             after = F.col(f"_b{s}") + F.when(F.col(f"_{s}"), F.col("_n")).otherwise(F.lit(0))
@@ -91,6 +93,7 @@ class Builder:
             blocks.unpersist()
         counted = audit.totals(seen).first().asDict()
         new |= {c: old[c] + counted[c] for c in COUNTERS}
+        new["done"] |= self.most is not None and new["n_total"] >= self.most
         audit.samples(seen, self.sample_size, "first_k", key=key).write.mode("overwrite").json(f"{self.out}/samples/batch_{number:06d}")
         spark.createDataFrame([tuple(new[f.split()[0]] for f in STATE.split(", "))], STATE).coalesce(1).write.mode("overwrite").json(f"{self.out}/state/batch_{number:06d}")
 

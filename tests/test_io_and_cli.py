@@ -65,8 +65,57 @@ def test_commands(spark, tmp_path, sf_dir, capsys):
     corpus(spark, sf_dir).write.parquet(docs)
     capsys.readouterr()
     assert cli.main(["audit", docs, str(tmp_path / "audit"), "--sample-size", "3"]) == 0
-    assert json.loads(capsys.readouterr().out)["n_total"] == 200
+    told = json.loads(capsys.readouterr().out)
+    assert told["n_total"] == 200 and told["generated_at_utc"].endswith("Z")
     assert cli.main(["prepare", docs, str(tmp_path / "made"), "--block-size", "32", "--test-size", "20"]) == 0
     assert io.read_parquet(spark, str(tmp_path / "made" / "final_clean_grouped")).count() > 0
     assert cli.main(["hydrate", "--review", str(tmp_path / "audit" / "manual_review"), "--corpus", docs, "--output", str(tmp_path / "full")]) == 0
     assert cli.main(["inject", "--blocks", str(tmp_path / "made" / "final_clean_grouped"), "--pool", str(tmp_path / "made" / "final_dirtymatched_grouped"), "--output", str(tmp_path / "inj")]) == 0
+
+
+def test_commands_with_a_tokenizer_file(spark, tmp_path, sf_dir, capsys):
+    import public_tokenizers
+
+    from querysieve.plans.corpus import corpus
+
+    tool = public_tokenizers.path("piece_bpe_32k.model")
+    docs, made = str(tmp_path / "docs"), str(tmp_path / "made")
+    corpus(spark, sf_dir).write.parquet(docs)
+    assert cli.main(["prepare", docs, made, "--block-size", "64", "--test-size", "20", "--tokenizer", tool]) == 0
+    blocks = f"{made}/final_dirtymatched_grouped"
+    assert cli.main(["audit", docs, str(tmp_path / "audit"), "--max-docs", "50", "--sample-size", "2", "--audit-grouped", f"dirty={blocks}", "--tokenizer", tool]) == 0
+    out = capsys.readouterr().out
+    assert json.loads(out[out.rindex("{\n") :])["n_total"] == 50
+    grouped = spark.read.json(str(tmp_path / "audit" / "grouped_dirty")).first()
+    assert grouped.n == io.read_parquet(spark, blocks).count() and grouped.n_with_query > 0
+    with pytest.raises(ValueError):
+        cli.main(["audit", docs, str(tmp_path / "x"), "--audit-grouped", f"dirty={blocks}"])
+
+
+def test_commands_of_the_label_loop(spark, tmp_path):
+    pairs, asked, told = (str(tmp_path / x) for x in ("pairs", "asked", "told"))
+    rows = [("q b", "c", None), ("q a", "", ""), ("q c", "c", "there")]
+    spark.createDataFrame(rows, "query string, context string, target string").coalesce(1).write.json(pairs)
+    assert cli.main(["batch-requests", pairs, asked, "--template", "Explain {query}", "--models", "m"]) == 0
+    found = {r.custom_id: r.body.messages[0].content for r in spark.read.json(asked).collect()}
+    assert found == {"0": "Explain q a", "1": "Explain q b"}
+    answer = lambda i, t: json.dumps({"custom_id": i, "response": {"body": {"model": "m", "choices": [{"message": {"content": t}}]}}})
+    (tmp_path / "answers.jsonl").write_text("\n".join([answer("1", " told "), "broken"]))
+    assert cli.main(["merge-answers", "--pairs", pairs, "--answers", str(tmp_path / "answers.jsonl"), "--output", told]) == 0
+    assert {(r.query, r.target, r.error) for r in spark.read.json(told).collect()} == {("q a", "", "missing"), ("q b", "told", ""), ("q c", "there", "")}
+    assert cli.main(["batch-requests", pairs, f"{asked}2", "--template", "A {query}", "--more-templates", "B {query}", "--models", "m", "n", "--temperatures", "0.5"]) == 0
+    assert spark.read.json(f"{asked}2").count() == 4
+
+
+def test_commands_of_extraction(spark, tmp_path):
+    from querysieve.plans import corpus as c
+
+    at = lambda x: str(tmp_path / x)
+    c.values(spark, c.FORUM_QUESTIONS, "question_id, title, body, tags").write.parquet(at("q"))
+    c.values(spark, c.FORUM_ANSWERS, "answer_id, question_id, body").write.parquet(at("a"))
+    c.values(spark, c.WIKI, "title, content").write.parquet(at("w"))
+    spark.createDataFrame([(1, "<h1>Head</h1><p>near</p><pre>SELECT 1</pre>")], "page_id int, html string").write.parquet(at("p"))
+    spark.createDataFrame([("u", "```sparql\nSELECT ?x WHERE {?x ?p ?y} # more of it\n```")], "author string, body string").write.parquet(at("f"))
+    for kind, source, n in (("forum", "q", 3), ("wiki", "w", 2), ("pages", "p", 1), ("posts", "f", 1)):
+        assert cli.main(["extract", at(source), at(f"out_{kind}"), "--kind", kind, "--answers", at("a")]) == 0
+        assert spark.read.json(at(f"out_{kind}")).count() == n
