@@ -46,11 +46,11 @@ def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "t
     """key, size, text_crc32, law, shard, slot and grown_shard (null) of every row.
 
     size: UTF-8 bytes of the text plus 1; a null text has no bytes and the crc32 of none. Rows of equal key are told
-    apart by nothing, and share out the slots of their position. An empty table gives an empty result.
+    apart by nothing, and share out the slots of their position; those without a key are spread like any others. An empty table gives an empty result.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
-    rows = cut(rows.select("*", F.xxhash64("text_crc32", "size").alias("_at"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("null"))).alias("_sub")))
+    rows = cut(rows.select("*", F.xxhash64("text_crc32", "size").alias("_at"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null "), F.monotonically_increasing_id()))).alias("_sub")))
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     fine = shards * ranges
     share = total / fine
