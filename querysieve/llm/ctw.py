@@ -8,7 +8,7 @@ predicted as its longest suffix that met it does, which then stands for a leaf;
 is learned once and then fixed, so a text's probability doesn't depend on what else is scored. Every context of the
 training text is in the tree, however rare: it grows with the corpus.
 
-How it is spread out: documents are dealt to chunks by hash. A chunk hands on its distinct runs (a byte with the DEPTH
+How it is spread out: documents are dealt to chunks by hash, compressed. A chunk hands on its distinct runs (a byte with the DEPTH
 bytes before it) and tokens, each with its count in training documents, packed by bucket. A run's bucket is that of the
 last SPLIT bytes of its context, so a bucket holds whole subtrees of the tree: it sums the counts and works its subtrees out
 from the leaves up. What they come to is summed by the contexts that are shorter than SPLIT bytes, of which there are at
@@ -31,14 +31,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, crc_bucket, cut, give_back, hash_words, mix, raw_bytes, release
+from .common import ascii_words, crc_bucket, cut, give_back, hash_words, mix, raw_bytes, slices
 
 DEPTH, SPLIT = 6, 2
 EDGE = 0xFF
 #: The token after each text: no word has a blank.
 END = np.array([xxhash.xxh3_64_intdigest(b" end")], np.uint64)
-#: Bytes of text in a chunk and in what is worked on at a time; runs and tokens in a bucket, counted once for each chunk.
-CHUNK, PIECE, PER_BUCKET = 3_000_000, 1_000_000, 1_200_000
+#: Bytes of text in a chunk, in what is worked on at a time, and for which there is a bucket of runs (about one run, counted once
+#: for each chunk, for 8 bytes); for so many buckets of runs there is one of tokens.
+CHUNK, PIECE, PER_BUCKET, TOKENS = 12_000_000, 1_000_000, 12_000_000, 8
+#: Bytes of rows that a task packs for their chunks together.
+PACK = 16_000_000
 #: How far probabilities stay from 0 and 1.
 LEAST = 2.0**-40
 HEADER, PLACES, SHORT, COUNTS, TOTALS = range(5)
@@ -79,13 +82,28 @@ def runs(texts: list[bytes | None], depth: int) -> Iterator[tuple[np.ndarray, np
         at = stop
 
 
+def squeezed(a: np.ndarray, rising: bool = False) -> bytes:
+    """Whole numbers of 64 bits as compressed bytes; of rising ones the steps. The numbers' bytes of equal weight stand together."""
+    a = a.astype(np.uint64, copy=False)
+    steps = np.diff(a, prepend=np.uint64(0)) if rising else a
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(a).to_bytes(8, "little") + pa.compress(planes, codec="lz4", asbytes=True)
+
+
+def unsqueezed(raw: bytes, rising: bool = False) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], decompressed_size=8 * n, codec="lz4", asbytes=True), np.uint8).reshape(8, n)
+    steps = np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1)
+    return np.cumsum(steps, dtype=np.uint64) if rising else steps
+
+
 def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sums of their counts (or how often they stand there)."""
     if counts is None:
         keys = np.sort(keys)
         at = _edges(keys)
         return keys[at], np.diff(np.append(at, len(keys)))
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     at = _edges(keys)
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts
@@ -158,7 +176,7 @@ class Subtrees:
         self.keys, self.n, self.up = {depth: codes}, {depth: n.astype(np.int64)}, {}
         for d in range(depth - 1, top - 1, -1):
             short = self.keys[d + 1] & np.uint64(256 ** (d + 1) - 1)
-            order = np.argsort(short, kind="stable")
+            order = np.argsort(short)
             short = short[order]
             at = _edges(short)
             up = np.empty(len(order), np.int32)
@@ -253,36 +271,56 @@ class Short:
         return self.a[i], self.b[i], self.leaf[i]
 
 
-def _packed(bucket: np.ndarray, keys: np.ndarray, n: np.ndarray | None = None):
-    """Buckets that hold keys, with the keys (in their order) and counts of each as bytes."""
+def _packed(bucket: np.ndarray, keys: np.ndarray, n: np.ndarray):
+    """Buckets that hold some of the rising keys, with those and their counts as bytes."""
     order = np.argsort(bucket, kind="stable")
     bucket, keys = bucket[order], keys[order]
     at = _edges(bucket)
     ends = np.append(at[1:], len(bucket))
-    counts = None if n is None else n[order].astype(np.int64)
-    return [(int(bucket[i]), keys[i:j].tobytes(), None if counts is None else counts[i:j].tobytes()) for i, j in zip(at, ends)]
+    counts = n[order]
+    return [(int(bucket[i]), squeezed(keys[i:j], True), squeezed(counts[i:j])) for i, j in zip(at, ends)]
 
 
 def _merged(t: pa.Table, depth: int, split: int, runs_end: int) -> pa.Table:
     """A bucket's runs or tokens (bucket, chunk, keys, n of each chunk): counts summed, and each chunk's places in them."""
     bucket = t.column("bucket")[0].as_py()
     chunks = t.column("chunk").to_pylist()
-    keys = [np.frombuffer(x, np.uint64) for x in t.column("keys").to_pylist()]
-    n = [np.frombuffer(x, np.int64) for x in t.column("n").to_pylist()]
-    known, counts = summed(np.concatenate(keys), np.concatenate(n))
+    keys = [unsqueezed(x, True) for x in t.column("keys").to_pylist()]
+    known, counts = summed(np.concatenate(keys), np.concatenate([unsqueezed(x).astype(np.int64) for x in t.column("n").to_pylist()]))
     rows: list[tuple] = []  # chunk, kind, a, b, key, zeros, ones, below
     if bucket < runs_end:
-        rows.append((-1, HEADER, known.tobytes(), counts.tobytes(), None, None, None, None))
-        rows += [(c, PLACES, np.searchsorted(known, k).astype(np.uint32).tobytes(), None, None, None, None, None) for c, k in zip(chunks, keys)]
+        rows.append((-1, HEADER, squeezed(known, True), squeezed(counts), None, None, None, None))
+        rows += [(c, PLACES, squeezed(np.searchsorted(known, k), True), None, None, None, None, None) for c, k in zip(chunks, keys)]
         rows += [(-1, SHORT, None, None, *r) for r in zip(*(x.tolist() for x in _signed(Subtrees(known, counts, depth, split - 1).sums())))]
     else:
-        rows += [(c, COUNTS, counts[np.searchsorted(known, k)].tobytes(), None, None, None, None, None) for c, k in zip(chunks, keys)]
+        rows += [(c, COUNTS, squeezed(counts[np.searchsorted(known, k)]), None, None, None, None, None) for c, k in zip(chunks, keys)]
         rows.append((-1, TOTALS, None, None, None, int(counts.sum()), int((counts > 0).sum()), None))
     kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
     columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
     return pa.Table.from_arrays([pa.array([bucket] * len(rows), pa.int32()), *columns], ["bucket", "chunk", "kind", "a", "b", "key", "zeros", "ones", "below"])
 
 
+def _wrapped(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """chunk, rows: the rows (id, train, x, chunk) of each chunk as a compressed stream."""
+    t = pa.Table.from_batches(batches)
+    chunk = t.column("chunk").to_numpy()
+    order = np.argsort(chunk, kind="stable")
+    at = _edges(chunk[order])
+    out = []
+    for some in np.split(order, at[1:]):
+        sink = pa.BufferOutputStream()
+        rows = t.take(pa.array(some)).combine_chunks()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(rows)
+        out.append(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array(chunk[order][at], pa.int32()), pa.array(out, pa.binary())], ["chunk", "rows"])
+
+
+def _unwrapped(t: pa.Table) -> tuple[int, pa.Table]:
+    """A chunk and its rows."""
+    return t.column("chunk")[0].as_py(), pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in t.column("rows").to_pylist()])
+
+
 def _signed(columns):
     keys, *rest = columns
     return keys.view(np.int64), *rest
@@ -301,23 +339,37 @@ def scores(docs: DataFrame, train, depth: int = DEPTH, key: str = "doc_id", text
     rows = docs.select(F.col(key).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("x"))
     size, n_rows = rows.agg(F.coalesce(F.sum(F.octet_length("x").cast("long")), F.lit(0)), F.count("*")).first()
     n_chunks = max(1, -(-(size + n_rows) // CHUNK))
-    runs_end = max(1, (size + n_rows) // (4 * PER_BUCKET))  # a chunk has some 5 distinct runs for 20 bytes, and 1 token
-    buckets = runs_end + max(1, runs_end // 4)
+    runs_end = max(1, (size + n_rows) // PER_BUCKET)
+    buckets = runs_end + 1 + runs_end // TOKENS
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "x"), F.lit(n_chunks)).cast("int"))
 
+    def wrap(batches):
+        """Rows of a chunk that stand in one task, compressed together."""
+        held, n = [], 0
+        for b in slices(batches, 1000):
+            held.append(b)
+            n += b.nbytes
+            if n >= PACK:
+                yield _wrapped(held)
+                held, n = [], 0
+        if held:
+            yield _wrapped(held)
+
+    wrapped = dealt.mapInArrow(wrap, "chunk int, rows binary")
+
     def hand_on(t: pa.Table) -> pa.Table:
+        chunk, t = _unwrapped(t)
         texts, own = raw_bytes(t.column("x")), np.array(t.column("train").to_pylist(), bool)
         keys, n = distinct_runs(texts, own, depth)
         out = _packed(bucket_of(keys, runs_end, split), keys, n)
         hashes, who = token_hashes(texts)
         keys, n = summed(hashes, own[who].astype(np.int64))
         out += _packed(runs_end + token_bucket(keys, buckets - runs_end), keys, n)
-        chunk = t.column("chunk")[0].as_py()
         give_back()
         columns = zip(*out)
         return pa.table({"bucket": pa.array(next(columns), pa.int32()), "chunk": pa.array([chunk] * len(out), pa.int32()), "keys": pa.array(next(columns), pa.binary()), "n": pa.array(next(columns), pa.binary())})
 
-    handed = dealt.groupBy("chunk").applyInArrow(hand_on, "bucket int, chunk int, keys binary, n binary")
+    handed = wrapped.groupBy("chunk").applyInArrow(hand_on, "bucket int, chunk int, keys binary, n binary")
     merged = cut(handed.groupBy("bucket").applyInArrow(lambda t: _merged(t, depth, split, runs_end), "bucket int, chunk int, kind int, a binary, b binary, key long, zeros long, ones long, below double"))
     # at most 256^(SPLIT - 1) * 255 decisions
     short = merged.where(F.col("kind") == SHORT).groupBy("key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below")).toPandas().sort_values("key")
@@ -332,9 +384,9 @@ def scores(docs: DataFrame, train, depth: int = DEPTH, key: str = "doc_id", text
             out: list[list] = [[], [], []]
             for bucket, chunk, what, a, counts in zip(*(b.column(i).to_pylist() for i in range(5))):
                 if what == HEADER:
-                    found = Subtrees(np.frombuffer(a, np.uint64), np.frombuffer(counts, np.int64), depth, split - 1).log10(shared.value).astype(np.float32)
+                    found = Subtrees(unsqueezed(a, True), unsqueezed(counts), depth, split - 1).log10(shared.value).astype(np.float32)
                     continue
-                for column, value in zip(out, (chunk, bucket, found[np.frombuffer(a, np.uint32)].tobytes() if what == PLACES else a)):
+                for column, value in zip(out, (chunk, bucket, found[unsqueezed(a, True).astype(np.int64)].tobytes() if what == PLACES else a)):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["chunk", "bucket", "a"])
         give_back()
@@ -342,6 +394,7 @@ def scores(docs: DataFrame, train, depth: int = DEPTH, key: str = "doc_id", text
     worked = merged.where(F.col("kind").isin(HEADER, PLACES, COUNTS)).select("bucket", "chunk", "kind", "a", "b").mapInArrow(worked_down, "chunk int, bucket int, a binary")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        _, left = _unwrapped(left)
         texts, own = raw_bytes(left.column("x")), np.array(left.column("train").to_pylist(), bool)
         given = dict(zip(right.column("bucket").to_pylist(), right.column("a").to_pylist()))
         known = summed(np.concatenate([summed(c)[0] for c, _ in runs(texts, depth)]))[0]
@@ -359,7 +412,7 @@ def scores(docs: DataFrame, train, depth: int = DEPTH, key: str = "doc_id", text
         known = np.unique(hashes)
         bucket = runs_end + token_bucket(known, buckets - runs_end)
         counts = np.empty(len(known), np.int64)
-        counts[np.argsort(bucket, kind="stable")] = np.concatenate([np.frombuffer(given[j], np.int64) for j in np.unique(bucket).tolist()])
+        counts[np.argsort(bucket, kind="stable")] = np.concatenate([unsqueezed(given[j]).astype(np.int64) for j in np.unique(bucket).tolist()])
         c = counts[np.searchsorted(known, hashes)]
         base = np.bincount(who, np.log10((c + 0.5) / bottom), len(texts))
         n, n_known = np.bincount(who, minlength=len(texts)), np.bincount(who[c > 0], minlength=len(texts))
@@ -371,7 +424,7 @@ def scores(docs: DataFrame, train, depth: int = DEPTH, key: str = "doc_id", text
         )
 
     schema = f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return dealt.groupBy("chunk").cogroup(worked.groupBy("chunk")).applyInArrow(score, schema)
+    return wrapped.groupBy("chunk").cogroup(worked.groupBy("chunk")).applyInArrow(score, schema)
 
 
 def held_out_scores(docs: DataFrame) -> DataFrame:

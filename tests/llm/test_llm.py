@@ -503,6 +503,18 @@ def test_ctw_rows(docs, edges, none):
     assert by[1].n_tokens == by[2].n_tokens == 1 and by[1].score == by[2].score < 0 and by[4].score == by[5].score
 
 
+def test_runs_of_long_texts_come_in_pieces(monkeypatch):
+    texts = [b"abc" * 200, None, b"", b"Some text", b"\xff\x00" * 90]
+    whole = list(ctw.runs(texts, 3))
+    monkeypatch.setattr(ctw, "PIECE", 100)
+    parts = list(ctw.runs(texts, 3))
+    assert len(whole) == 1 and len(parts) > 6
+    for i in (0, 1):
+        assert np.concatenate([p[i] for p in parts]).tolist() == whole[0][i].tolist()
+    numbers = np.sort(np.random.default_rng(1).integers(0, 2**63, 1000, dtype=np.uint64))
+    assert (ctw.unsqueezed(ctw.squeezed(numbers, True), True) == numbers).all() and not len(ctw.unsqueezed(ctw.squeezed(numbers[:0])))
+
+
 def brute_tree(train, depth):
     """log10 probability of a text by the definition, evaluated recursively over all contexts."""
     seen = Counter()
@@ -555,7 +567,7 @@ def brute_tree(train, depth):
 
 @pytest.mark.parametrize("depth", [1, 2, 3, 6])
 def test_scores_are_the_whole_tree_by_definition(spark, docs, monkeypatch, depth):
-    for name, value in (("CHUNK", 2000), ("PER_BUCKET", 300), ("PIECE", 150)):  # many chunks and buckets; long texts in pieces
+    for name, value in (("CHUNK", 2000), ("PER_BUCKET", 1500)):  # many chunks and buckets
         monkeypatch.setattr(ctw, name, value)
     rows = [(r.doc_id, r.text[:400]) for r in docs.orderBy("doc_id").limit(25).collect()] + [(1000, None), (1001, ""), (1002, "abracadabra Abracadabra"), (1002, "abracadabra Abracadabra"), (1003, "\x00é日本"), (None, "no id")]
     got = ctw.scores(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 3 != 0, depth=depth).collect()
