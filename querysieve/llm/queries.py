@@ -27,7 +27,8 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.repeats(table(spark, sf_dir, "documents"))
+    """Passages of 50 words that stand in two documents or more."""
+    return suffixes.repeats(table(spark, sf_dir, "documents"), within=False)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,7 +63,7 @@ def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def compare(keys: np.ndarray, texts: np.ndarray, pos: np.ndarray, ctx: np.ndarray, m: Measures) -> np.ndarray:
-    """Passages that suffixes of equal keys share: suffix, words to its left, and the two least texts that have the passage."""
+    """Passages that suffixes of equal keys share: suffix, words to its left, and the two least texts that have the passage (twice the same if it is only one)."""
     left, right = ctx[:, m.left - 1 :: -1], ctx[:, m.left :]
     order = np.argsort(keys, kind="stable")
     edge = _changes(keys[order])
@@ -92,12 +92,15 @@ def compare(keys: np.ndarray, texts: np.ndarray, pos: np.ndarray, ctx: np.ndarra
         inside = sizes[run] > 1
         own, run = rows[order][inside], run[inside]
         if len(own):
-            # of each run the two least texts
+            # of each run the least text, and the least other one
             o = np.lexsort((pos[own], texts[own], run))
             own, run = own[o], run[o]
             first = _changes(run)
             sizes = np.diff(np.append(first, len(run)))
-            spans.append(np.stack([own, np.full(len(own), l), np.repeat(texts[own[first]], sizes), np.repeat(texts[own[first + 1]], sizes)], axis=1))
+            least, last = texts[own[first]], texts[own[first + sizes - 1]]
+            others = np.where(texts[own] == np.repeat(least, sizes), np.iinfo(np.int64).max, texts[own])
+            second = np.where(least == last, least, np.minimum.reduceat(others, first))
+            spans.append(np.stack([own, np.full(len(own), l), np.repeat(least, sizes), np.repeat(second, sizes)], axis=1))
     return np.concatenate(spans) if spans else np.empty((0, 4), np.int64)
 
 
@@ -130,13 +133,15 @@ def _ranks(content: np.ndarray) -> np.ndarray:
 
 
 def represented(keys: np.ndarray, texts: np.ndarray, pos: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes beyond the two least of those that agree on all words that go with them, and of each the least, which stands for it."""
+    """Of suffixes that agree on all words that go with them those beyond the two least, and the least of another text; and of each the least, which stands for it."""
     weight = mix(np.arange(1, ctx.shape[1] + 1, dtype=np.uint64)) | np.uint64(1)
     alike = mix((ctx.astype(np.uint64) * weight).sum(axis=1, dtype=np.uint64) + keys)
     order = np.lexsort((pos, texts, alike))
     first = _changes(alike[order])
     of = np.repeat(first, np.diff(np.append(first, len(order))))
-    gone = np.arange(len(order)) - of >= 2
+    another = texts[order] != texts[order[of]]
+    nth = np.cumsum(another)
+    gone = (np.arange(len(order)) - of >= 2) & ~(another & (nth - (nth - another)[of] == 1))
     return order[gone], order[of[gone]]
 
 
@@ -157,12 +162,12 @@ def united(spans: list[tuple[int, int, int]]) -> list[dict]:
     return [{"start": i, "end": j, "other": o} for i, j, o in out]
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", passage: int = PASSAGE) -> DataFrame:
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", passage: int = PASSAGE, within: bool = True) -> DataFrame:
     """key, n_words, n_repeated, others ARRAY<LONG>, spans ARRAY<STRUCT<start, end, other>> of documents with repeats.
 
     A word counts as repeated if a passage of `passage` words around it stands twice. Positions are in words of the text
-    lower-cased (A-Z) and cut at ASCII white space. A passage that stands twice in one document counts (other: the least
-    key of that text). An other is the least key of the text that it names, or the greatest where that is the document itself
+    lower-cased (A-Z) and cut at ASCII white space. A passage that stands twice in one document and in no other counts
+    unless within is false (other: the least key of that text). An other is the least key of the text that it names, or the greatest where that is the document itself
     and it has copies. Null, empty and short texts have none; rows with a null key are left out; a key with several texts
     has a row for each. Keys are whole numbers.
     """
@@ -245,6 +250,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", passage: i
         texts, pos = texts[once], pos[once]
         shared = compare(keys[once], texts, pos, ctx[once], m)
         shared = shared[np.argsort(shared[:, 0], kind="stable")]
+        if not within:
+            shared = shared[shared[:, 2] != shared[:, 3]]
         spans = [spans_of(texts[shared[:, 0]], pos[shared[:, 0]], shared[:, 1:], m)]
         if len(followers):
             code = place(texts, pos)

@@ -204,6 +204,29 @@ def test_repeated_passages(spark, docs):
     assert few == repeated_words(texts, 31)
 
 
+def words_of_others(texts, n=50):
+    at, cover = defaultdict(set), defaultdict(set)
+    for i, w in texts.items():
+        for p in range(len(w) - n + 1):
+            at[tuple(w[p : p + n])].add((i, p))
+    for places in at.values():
+        if len({i for i, _ in places}) > 1:
+            for i, p in places:
+                cover[i] |= set(range(p, p + n))
+    return dict(cover)
+
+
+def test_passages_across_documents_only(spark):
+    rng = random.Random(14)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    own, both, notice = new(70), new(60), new(150)
+    texts = {0: own + new(9) + own, 1: both + new(3) + both + new(5), 2: new(4) + both + own[:49], 3: own[:20] + new(60)} | {10 + i: notice + new(i % 2) + (notice if i % 3 else []) for i in range(40)}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    for n in (1, 6):
+        got = {r.doc_id: {x for s in r.spans for x in range(s.start, s.end)} for r in suffixes.repeats(df.repartition(n), within=False).collect()}
+        assert got == words_of_others(texts) and 0 not in got and 1 in got
+
+
 def test_a_passage_of_very_many_documents(spark):
     """Batches that hold many suffixes with all words alike, and some that differ beside the passage."""
     rng = random.Random(4)
