@@ -15,7 +15,8 @@ in that many documents. Both are told apart by a digest of the line and move no
 How it is spread out: leaves are counted first (a number each), and only lines of leaves in enough documents go on.
 These are summed by masked line before any shuffle of lines, so that a frequent line is one row a task. Tokens are
 counted by leaf and position, so a leaf of very many lines is dealt by its tokens. What comes back to the documents is a
-key for each line, and to their texts the positions to drop.
+key for each line, and to their texts the digests of the lines to drop: up to MOST of them go to every task, and no text moves.
+More are joined by document, with the positions to drop.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, release, slices
 
 LEADING, ALIKE, CONSTANT = 3, 0.6, 2
 #: Documents that make a template recurring; tokens of the shortest line considered.
@@ -39,6 +40,8 @@ LONG, LONG_LEAST = 50, 2
 ANY = "<*>"
 #: Slots of the filters, of leaves and of documents, that spare most rows a shuffle; they bound what is broadcast and decide no result.
 SLOTS, DOC_SLOTS = 1 << 22, 1 << 20
+#: Different lines to drop that every task may be sent: 8 bytes each.
+MOST = 1 << 21
 _DIGIT = re.compile(r"\d")
 #: Thai, Lao, Myanmar, Khmer, kana, CJK and their extensions.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
@@ -103,8 +106,8 @@ def templates_of(lines: DataFrame, least: int) -> DataFrame:
     return parsed.select("line", F.xxhash64("leaf", "x", "m").alias("template")).unionByName(same)
 
 
-def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, short: bool = False, long_least: int | None = None) -> DataFrame:
-    """k (key), t (hash of the text), pos: the lines that are dropped."""
+def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, short: bool = False, long_least: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """k (key), t (hash of the text), pos, raw (hash of the line) and template of lines that recur; and the first place (k, t, pos) of each template, which stays."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("x"))
     kind = dict(rows.dtypes)["k"]
@@ -133,44 +136,49 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         """Lines of busy leaves, once for each task and masked line with its text, and where each stands."""
         bits, seen = some.value, set()
         for b in slices(batches, 1000):
-            out: list[list] = [[], [], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], [], []]
             for i, x in enumerate(b.column(1).to_pylist()):
                 found = [e for e in _entries(x, least, short, long_least) if bits[(slot := e[2] % SLOTS) >> 6] >> (slot & 63) & 1]
                 if found:
-                    digest = _key(x)
+                    digest, raw = _key(x), x.split("\n")
                 for p, m, leaf, need in found:
                     line = _key(m)
                     if new := line not in seen:
                         if len(seen) > 150_000:
                             seen.clear()
                         seen.add(line)
-                    for column, value in zip(out, (i, digest, p, line, leaf, need, m if new else None)):
+                    for column, value in zip(out, (i, digest, p, line, leaf, need, m if new else None, _key(raw[p]))):
                         column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64())
             columns = [pa.array(c, k) for c, k in zip(out, kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(columns[0]), *columns[1:]], ["k", "t", "pos", "line", "leaf", "need", "masked"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(columns[0]), *columns[1:]], ["k", "t", "pos", "line", "leaf", "need", "masked", "raw"])
 
-    stands = cut(rows.mapInArrow(considered, f"k {kind}, t long, pos int, line long, leaf long, need int, masked string"))
+    stands = cut(rows.mapInArrow(considered, f"k {kind}, t long, pos int, line long, leaf long, need int, masked string, raw long"))
     lines = cut(stands.groupBy("leaf", "line").agg(F.max("masked").alias("masked"), F.count("*").alias("n")))
     named = templates_of(lines, least)
-    placed = stands.select("k", "t", "pos", "line", "need").join(named, "line").select("k", "t", "pos", "template", "need")
+    placed = cut(stands.select("k", "t", "pos", "line", "need", "raw").join(named, "line").select("k", "t", "pos", "template", "need", "raw"))
+    release(stands)
     # documents of each template, and its first place
     each = placed.groupBy("template", "k", "t").agg(F.min("pos").alias("pos"), F.min("need").alias("need"))
     often = cut(each.groupBy("template").agg(F.count("*").alias("n"), F.min(F.struct("k", "pos", "t")).alias("first"), F.min("need").alias("_need")).where(F.col("n") >= F.col("_need")).drop("_need"))
-    return placed.join(often, "template").where(~F.struct("k", "pos", "t").eqNullSafe(F.col("first"))).select("k", "t", "pos")
+    return placed.join(often.select("template"), "template").select("k", "t", "pos", "raw", "template"), often.select("template", "first.k", "first.t", "first.pos")
 
 
 def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, short: bool = False, long_least: int | None = None, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """docs with the text without lines of recurring templates, and two columns named by counts: its lines, and those dropped.
 
     A null text stays null (0 lines); an empty one has one empty line. A text all of whose lines go becomes empty.
-    Each template keeps its first line: of the least key, there the least position (a null key comes first). Repeated rows
+    Each template keeps its first line, whatever else it is: of the least key, there the least position (a null key comes first). Repeated rows
     are treated alike. Columns that have the names of counts are replaced by them; no other column's name matters.
     """
-    drops = cut(recurring_lines(docs, key, text, least, short, long_least).groupBy("k", "t").agg(F.collect_set("pos").alias("drops")))
+    found, firsts = recurring_lines(docs, key, text, least, short, long_least)
+    lines = cut(found.select("raw").distinct())
+    columns = [c for c in docs.columns if c not in counts]
+    if lines.count() <= MOST:
+        return _dropped(docs, columns, key, text, lines, firsts, counts)
+    drops = cut(found.join(firsts.select(F.col("k").alias("k1"), F.col("t").alias("d1"), F.col("pos").alias("p1")).distinct(), F.col("k").eqNullSafe(F.col("k1")) & (F.col("t") == F.col("d1")) & (F.col("pos") == F.col("p1")), "left_anti").groupBy("k", "t").agg(F.collect_set("pos").alias("drops")))
     slot = lambda k: F.pmod(F.xxhash64(k), F.lit(DOC_SLOTS)).cast("int")
     hit = F.broadcast(drops.select(slot("k").alias("slot")).distinct())  # at most DOC_SLOTS numbers
-    columns = [c for c in docs.columns if c not in counts]
     rows = docs.select(F.struct(*columns).alias("r"), F.col(key).alias("k"), F.col(text).alias("x")).withColumn("slot", slot("k"))
     kinds = {c: dict(rows.dtypes)[c] for c in ("r", "k")}
 
@@ -190,3 +198,38 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int =
         F.when(F.col("x").isNull(), 0).otherwise(F.size("lines")).alias(counts[0]),
         F.coalesce(F.when(F.col("drops").isNotNull(), F.size("drops")), F.lit(0)).alias(counts[1]),
     )
+
+
+def _place(k, t: int, pos: int) -> int:
+    return _key(f"{k}\n{t}\n{pos}")
+
+
+def _dropped(docs: DataFrame, columns: list[str], key: str, text: str, lines: DataFrame, firsts: DataFrame, counts: tuple[str, str]) -> DataFrame:
+    """docs without the given lines (hashes), but for first places; one pass over the documents, and no join."""
+    kept = np.sort(np.array([_place(r["k"], r["t"], r["pos"]) for r in firsts.select("k", "t", "pos").toLocalIterator()], np.int64))  # no more than lines
+    shared = docs.sparkSession.sparkContext.broadcast((np.sort(lines.toPandas()["raw"].to_numpy(np.int64)), kept))
+    rows = docs.select(F.struct(*columns).alias("r"), F.col(key).alias("k"), F.col(text).alias("x"))
+    kind = dict(rows.dtypes)["r"]
+
+    def has(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values if len(table) else np.zeros(len(values), bool)
+
+    def run(batches):
+        drop, stay = shared.value
+        for b in slices(batches, 1000):
+            texts = b.column(2).to_pylist()
+            each = [[] if x is None else x.split("\n") for x in texts]
+            hit = has(drop, np.array([_key(x) for own in each for x in own], np.int64))
+            gone, at = [0] * len(texts), 0
+            for i, own in enumerate(each):
+                here = np.flatnonzero(hit[at : at + len(own)]).tolist()
+                at += len(own)
+                if here:
+                    t, k = _key(texts[i]), b.column(1)[i].as_py()
+                    out = {p for p in here if not has(stay, np.array([_place(k, t, p)], np.int64))[0]}
+                    if out:
+                        texts[i], gone[i] = "\n".join(x for p, x in enumerate(own) if p not in out), len(out)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array([len(own) for own in each], pa.int32()), pa.array(gone, pa.int32())], ["r", "x", "n", "gone"])
+
+    found = rows.mapInArrow(run, f"r {kind}, x string, n int, gone int")
+    return found.select(*[F.col("x").alias(c) if c == text else F.col("r")[c].alias(c) for c in columns], F.col("n").alias(counts[0]), F.col("gone").alias(counts[1]))

@@ -641,7 +641,9 @@ def brute_lines(texts, least):
     return drops
 
 
-def test_lines_against_one_process(docs, edges, none):
+@pytest.mark.parametrize("most", [linelog.MOST, -1])
+def test_lines_against_one_process(docs, edges, none, monkeypatch, most):
+    monkeypatch.setattr(linelog, "MOST", most)
     texts = {r.doc_id: r.text for r in docs.collect()}
     drops = brute_lines(texts, 4)
     assert drops
