@@ -28,7 +28,8 @@ from .common import ascii_words, cut, gram_hashes, hash_words, map_arrow, mix, r
 
 PASSAGE, GRAM = 50, 8
 SLOTS = 1 << 26  # of the filter by key; bounds what is broadcast, decides no result
-PACK, PER_BUCKET = 2000, 200_000
+#: Documents packed together; suffixes of a bucket, and those of some keys (or one) that are sorted together.
+PACK, PER_BUCKET, TOGETHER = 2000, 100_000, 30_000
 
 
 class Measures:
@@ -145,6 +146,17 @@ def represented(keys: np.ndarray, texts: np.ndarray, pos: np.ndarray, ctx: np.nd
     return order[gone], order[of[gone]]
 
 
+def parts_of(keys: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of sorted keys that hold most of them at most, or one key."""
+    edges = np.append(_changes(keys), len(keys))
+    out, i = [], 0
+    while i < len(edges) - 1:
+        j = max(i + 1, int(np.searchsorted(edges, edges[i] + most, "right")) - 1)
+        out.append((int(edges[i]), int(edges[j])))
+        i = j
+    return out
+
+
 def place(texts: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """A number for a text and a position."""
     return mix(mix(texts.view(np.uint64)) + pos.astype(np.uint64))
@@ -247,8 +259,14 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", passage: i
         ctx, followers = column("ctx", np.uint32).reshape(-1, m.left + m.right), column("followers", np.int64).reshape(-1, 3)
         order = np.lexsort((pos, texts))  # a text that several batches hold stands there once
         once = order[np.concatenate([[True], (texts[order][1:] != texts[order][:-1]) | (pos[order][1:] != pos[order][:-1])])]
-        texts, pos = texts[once], pos[once]
-        shared = compare(keys[once], texts, pos, ctx[once], m)
+        once = once[np.argsort(keys[once], kind="stable")]
+        keys, texts, pos = keys[once], texts[once], pos[once]
+        shared = [np.empty((0, 4), np.int64)]
+        for i, j in parts_of(keys, TOGETHER):
+            found = compare(keys[i:j], texts[i:j], pos[i:j], ctx[once[i:j]], m)
+            found[:, 0] += i
+            shared.append(found)
+        shared = np.concatenate(shared)
         shared = shared[np.argsort(shared[:, 0], kind="stable")]
         if not within:
             shared = shared[shared[:, 2] != shared[:, 3]]

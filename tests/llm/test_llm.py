@@ -204,6 +204,12 @@ def test_repeated_passages(spark, docs):
     assert few == repeated_words(texts, 31)
 
 
+def test_parts_of_keys():
+    keys = np.array([1] * 3 + [2] + [3] * 9 + [4] * 2 + [5] * 2)
+    assert suffixes.parts_of(keys, 4) == [(0, 4), (4, 13), (13, 17)] and suffixes.parts_of(keys[:0], 4) == []
+    assert suffixes.parts_of(keys, 100) == [(0, 17)] and suffixes.parts_of(keys, 1) == [(0, 3), (3, 4), (4, 13), (13, 15), (15, 17)]
+
+
 def words_of_others(texts, n=50):
     at, cover = defaultdict(set), defaultdict(set)
     for i, w in texts.items():
