@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -16,7 +17,10 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Once for each application: workers can then import the package wherever they run and whatever their path is."""
+    """Once for each application: workers can then import the package wherever they run and whatever their path is.
+
+    It lowers the session's Arrow batch size to ARROW_ROWS for whatever runs there later, as frames are evaluated later.
+    """
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         root = Path(__file__).resolve().parent
@@ -24,7 +28,8 @@ def ship(spark: SparkSession) -> SparkSession:
             with zipfile.ZipFile(f, "w") as z:
                 for p in sorted(root.rglob("*.py")):
                     z.write(p, os.path.join(root.name, p.relative_to(root)))
-        sc.addPyFile(f.name)
+        sc.addPyFile(f.name)  # copies it to where workers fetch it from
+        atexit.register(lambda: os.path.exists(f.name) and os.unlink(f.name))
         _shipped.add(sc.applicationId)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(ARROW_ROWS, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))))
     return spark
