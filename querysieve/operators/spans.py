@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,23 +42,45 @@ def collate(blocks: DataFrame, input_length: int, target_length: int, mask: str
     return out.withColumns({"input_ids": pad(F.col("_c.input_ids"), input_length), "labels": pad(F.col("_c.labels"), target_length)}).drop("_c", mask)
 
 
-def noise_mask(length: int, density: float, mean_span: float, seed: int) -> np.ndarray:
-    """About length * density masked positions in Poisson spans at random starts; the same for the same seed."""
-    rng = np.random.default_rng(seed)
-    n_noise = int(np.round(length * density))
-    n_spans = max(1, int(np.round(n_noise / mean_span)))
-    sizes = rng.poisson(mean_span, n_spans)
-    sizes = sizes[sizes > 0]
-    mask = np.zeros(length, bool)
-    room = max(1, length - int(sizes.sum()))
-    starts = rng.choice(room, min(len(sizes), room), replace=False)
-    for s, k in zip(starts, sizes):
-        mask[s : s + k] = True
-    return mask
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it, inside of functions of elements too."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def luck(key: Column, i: Column, what: str) -> Column:
+    """A number from 0 to below 1 that key, i and what decide."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), i.cast("string"), F.lit(what))), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+
+
+def poisson_steps(mean: float) -> list[float]:
+    """Where the distribution function of span lengths stands after 0, 1, 2 and so on, until nothing is left to tell."""
+    p, total, out = math.exp(-mean), 0.0, []
+    while total + p < 1 - 2.0**-33:
+        total += p
+        out.append(total)
+        p *= mean / len(out)
+    return out
+
+
+def noise_mask(length: Column, key: Column, density: float, mean_span: float, seed: int) -> Column:
+    """About length * density masked positions in Poisson spans at random starts; key and seed decide."""
+    noisy = F.bround(length * F.lit(density)).cast("int")
+    n = F.greatest(F.lit(1), F.bround(noisy / F.lit(mean_span)).cast("int"))
+    steps = F.array(*[F.lit(x) for x in poisson_steps(mean_span)])
+    sizes = F.transform(F.sequence(F.lit(0), n - 1), lambda i: let(luck(key, i, f"{seed}size"), lambda u: F.size(F.filter(steps, lambda x: x <= u))))
+
+    def placed(sizes: Column) -> Column:
+        room = F.greatest(F.lit(1), length - F.aggregate(sizes, F.lit(0), lambda a, k: a + k))
+        order = F.array_sort(F.transform(F.sequence(F.lit(0), room - 1), lambda p: F.struct(F.md5(F.concat_ws(":", key.cast("string"), p.cast("string"), F.lit(f"{seed}start"))).alias("h"), p.alias("p"))))
+        starts = F.slice(order, F.lit(1), F.least(F.size(sizes), room))
+        return F.zip_with(F.slice(sizes, F.lit(1), F.least(F.size(sizes), room)), starts, lambda k, x: F.struct(x["p"].alias("at"), (x["p"] + k).alias("end")))
+
+    spans = let(F.filter(sizes, lambda k: k > 0), placed)
+    return let(spans, lambda s: F.transform(F.sequence(F.lit(0), length - 1), lambda p: F.exists(s, lambda x: (p >= x["at"]) & (p < x["end"]))))
 
 
 def spread_mask(length: int, density: float, mean_span: float, seed: int) -> np.ndarray:
-    """As noise_mask, but spans don't overlap or touch: gaps between them are drawn too."""
+    """Of length * density masked positions, in spans that don't overlap or touch: gaps between them are drawn too."""
     rng = np.random.default_rng(seed)
     n_noise = min(length, max(1, int(np.round(length * density))))
     n_spans = max(1, min(int(np.round(n_noise / mean_span)), n_noise, length - n_noise + 1))
@@ -73,12 +97,14 @@ def spread_mask(length: int, density: float, mean_span: float, seed: int) -> np.
 
 
 def with_noise(blocks: DataFrame, key: str = "block_id", density: float = 0.15, mean_span: float = 3.0, seed: int = 42, overlap: bool = True) -> DataFrame:
-    """blocks with a mask that key and seed decide."""
-    make = noise_mask if overlap else spread_mask
+    """blocks with a mask that key and seed decide: native expressions, or, where spans may not overlap or touch, Arrow batches."""
+    if overlap:
+        drawn = blocks.withColumn("_n", F.size("input_ids"))
+        return drawn.withColumn("mask", F.when(F.col("_n") > 0, noise_mask(F.col("_n"), F.col(key), density, mean_span, seed)).otherwise(F.array().cast("array<boolean>"))).drop("_n")
 
     @F.pandas_udf("array<boolean>")
     def masks(sizes: pd.Series, keys: pd.Series) -> pd.Series:
-        return pd.Series([make(n, density, mean_span, (int(k) * 1_000_003 + seed) % 2**63).tolist() for n, k in zip(sizes, keys)])
+        return pd.Series([spread_mask(n, density, mean_span, (int(k) * 1_000_003 + seed) % 2**63).tolist() for n, k in zip(sizes, keys)])
 
     return blocks.withColumn("mask", masks(F.size("input_ids"), F.col(key).cast("long")))
 
@@ -86,15 +112,12 @@ def with_noise(blocks: DataFrame, key: str = "block_id", density: float = 0.15,
 def masked_lm(ids: Column, key: Column, vocabulary: int, mask_id: int, special: list[int], p: float = 0.15, seed: int = 42) -> Column:
     """STRUCT<input_ids, labels>: of p of the positions 80 % become the mask, 10 % a random id; other labels are -100."""
 
-    def luck(i: Column, what: str) -> Column:
-        return F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), i.cast("string"), F.lit(f"{seed}{what}"))), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
-
     def chosen(x: Column, i: Column) -> Column:
-        return (luck(i, "p") < p) & ~x.isin(*special)
+        return (luck(key, i, f"{seed}p") < p) & ~x.isin(*special)
 
     def put(x: Column, i: Column) -> Column:
-        how = luck(i, "how")
-        new = F.when(how < 0.8, F.lit(mask_id)).when(how < 0.9, F.floor(luck(i, "id") * vocabulary).cast("int")).otherwise(x)
+        how = luck(key, i, f"{seed}how")
+        new = F.when(how < 0.8, F.lit(mask_id)).when(how < 0.9, F.floor(luck(key, i, f"{seed}id") * vocabulary).cast("int")).otherwise(x)
         return F.when(chosen(x, i), new).otherwise(x)
 
     return F.struct(F.transform(ids, put).alias("input_ids"), F.transform(ids, lambda x, i: F.when(chosen(x, i), x).otherwise(-100)).alias("labels"))

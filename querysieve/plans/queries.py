@@ -368,6 +368,10 @@ def pad_truncate(spark, sf_dir):
     return docs.select("doc_id", tokens.pad(F.col("input_ids"), 40).alias("input_ids"))
 
 
+def _luck(what: str, i: str = "p") -> str:
+    return f"(('0x' || substr(md5(block_id || ':' || {i} || ':42{what}'), 1, 8))::BIGINT / 4294967296::DOUBLE)"
+
+
 @query(f"""WITH {DOC_TOKENS}, {_packed('tok')}, f AS (SELECT block_id, unnest(input_ids) AS t, generate_subscripts(input_ids, 1) - 1 AS p FROM blocks), m AS (SELECT *, ((block_id + p) % 7 < 2) AS m FROM f),
  s AS (SELECT *, m AND NOT coalesce(lag(m) OVER (PARTITION BY block_id ORDER BY p), false) AS o FROM m), g AS (SELECT *, sum(o::INTEGER) OVER (PARTITION BY block_id ORDER BY p) AS g FROM s),
  x AS (SELECT block_id, p, 0 AS q, 99 + g AS v, true AS i, true AS l FROM g WHERE o UNION ALL SELECT block_id, p, 1, t, NOT m, m FROM g)
@@ -377,16 +381,24 @@ def sentinel_corruption(spark, sf_dir):
     return packed(spark, sf_dir).select("block_id", spans.corrupt(F.col("input_ids"), mask).alias("c")).select("block_id", "c.input_ids", "c.labels")
 
 
-@query()
+_CORRUPTED = """f AS (SELECT block_id, unnest(input_ids) AS t, generate_subscripts(input_ids, 1) - 1 AS p FROM blocks), m AS (SELECT f.*, {mask} AS m FROM f),
+ s AS (SELECT *, m AND NOT coalesce(lag(m) OVER (PARTITION BY block_id ORDER BY p), false) AS o FROM m), g AS (SELECT *, sum(o::INTEGER) OVER (PARTITION BY block_id ORDER BY p) AS g FROM s),
+ x AS (SELECT block_id, p, 0 AS q, 99 + g AS v, true AS i, true AS l FROM g WHERE o UNION ALL SELECT block_id, p, 1, t, NOT m, m FROM g),
+ corrupted AS (SELECT block_id::BIGINT AS block_id, (list(v ORDER BY p, q) FILTER (i))::INTEGER[] AS input_ids, list_append(list(v ORDER BY p, q) FILTER (l), 1)::INTEGER[] AS labels FROM x GROUP BY 1)"""
+
+
+# of 64 tokens 10 are noise, in 3 spans
+@query(f"""WITH {DOC_TOKENS}, {_packed('tok')}, n AS (SELECT round_even({BLOCK} * 0.15::DOUBLE, 0) AS noise), drawn AS (SELECT block_id, i, len(list_filter({spans.poisson_steps(3.0)}::DOUBLE[], lambda c: c <= {_luck('size', 'i')})) AS k
+  FROM blocks, (SELECT unnest(range(greatest(1, round_even(noise / 3.0, 0))::BIGINT)) AS i FROM n)),
+ sizes AS (SELECT block_id, k, row_number() OVER (PARTITION BY block_id ORDER BY i) AS j FROM drawn WHERE k > 0), room AS (SELECT block_id, greatest(1, {BLOCK} - sum(k))::BIGINT AS room FROM drawn GROUP BY 1),
+ starts AS (SELECT block_id, p, row_number() OVER (PARTITION BY block_id ORDER BY md5(block_id || ':' || p || ':42start'), p) AS j FROM (SELECT block_id, unnest(range(room)) AS p FROM room)),
+ noise AS (SELECT DISTINCT block_id, unnest(range(p, p + k)) AS p FROM sizes JOIN starts USING (block_id, j)), {_CORRUPTED.format(mask='(block_id, p) IN (SELECT (block_id, p) FROM noise)')}
+ SELECT block_id, list_resize(input_ids[1:{BLOCK}], {BLOCK}, 0)::INTEGER[] AS input_ids, list_resize(labels[1:{BLOCK}], {BLOCK}, 0)::INTEGER[] AS labels FROM corrupted""")
 def span_noise_masks(spark, sf_dir):
     noisy = spans.with_noise(packed(spark, sf_dir))
     return spans.collate(noisy, BLOCK, BLOCK).select("block_id", "input_ids", "labels")
 
 
-def _luck(what: str) -> str:
-    return f"(('0x' || substr(md5(block_id || ':' || p || ':42{what}'), 1, 8))::BIGINT / 4294967296::DOUBLE)"
-
-
 @query(f"""WITH {DOC_TOKENS}, {_packed('tok')}, f AS (SELECT block_id::BIGINT AS block_id, unnest(input_ids) AS x, generate_subscripts(input_ids, 1) - 1 AS p FROM blocks),
  l AS (SELECT *, {_luck('p')} < 0.15 AND x NOT IN (0, 1) AS m, {_luck('how')} AS how, {_luck('id')} AS fresh FROM f)
  SELECT block_id, list(CASE WHEN m AND how < 0.8 THEN 2 WHEN m AND how < 0.9 THEN floor(fresh * {WORDS.vocabulary})::INTEGER ELSE x END ORDER BY p)::INTEGER[] AS input_ids, list(CASE WHEN m THEN x ELSE -100 END ORDER BY p)::INTEGER[] AS labels FROM l GROUP BY 1""")

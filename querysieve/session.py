@@ -28,7 +28,7 @@ def ship(spark: SparkSession) -> SparkSession:
             with zipfile.ZipFile(f, "w") as z:
                 for p in sorted(root.rglob("*.py")):
                     z.write(p, os.path.join(root.name, p.relative_to(root)))
-        sc.addPyFile(f.name)  # copies it to where workers fetch it from
+        sc.addPyFile(f.name)  # workers fetch it from here as long as the driver runs
         atexit.register(lambda: os.path.exists(f.name) and os.unlink(f.name))
         _shipped.add(sc.applicationId)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(ARROW_ROWS, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))))

@@ -145,13 +145,23 @@ def test_collator_shapes(spark):
 
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 600), st.floats(0.05, 0.6), st.floats(1.0, 6.0), st.integers(0, 10**6))
-def test_masks(length, density, mean, seed):
-    a = spans.noise_mask(length, density, mean, seed)
-    assert len(a) == length and (a == spans.noise_mask(length, density, mean, seed)).all()
+def test_masks_apart(length, density, mean, seed):
     b = spans.spread_mask(length, density, mean, seed)
     assert b.sum() == min(length, max(1, round(length * density))) or abs(b.sum() - length * density) <= 1
 
 
+def test_noise_masks(spark):
+    rows = spark.range(400).selectExpr("id AS block_id", "sequence(1, cast(1 + id % 200 AS int)) AS input_ids")
+    got = {r.block_id: r.mask for r in spans.with_noise(rows).collect()}
+    assert all(len(got[i]) == 1 + i % 200 for i in range(400))
+    assert got == {r.block_id: r.mask for r in spans.with_noise(rows.repartition(3)).collect()}
+    share = sum(map(sum, got.values())) / sum(map(len, got.values()))
+    assert 0.1 < share < 0.2
+    assert spans.with_noise(spark.createDataFrame([(1, [])], "block_id long, input_ids array<int>")).first().mask == []
+    steps = spans.poisson_steps(3.0)
+    assert abs(steps[0] - 0.049787) < 1e-6 and 0.9999999 < steps[-1] < 1 and steps == sorted(steps)
+
+
 def test_masked_lm(spark):
     df = spark.range(50).select("id", F.array_repeat(F.lit(7), 40).alias("ids"))
     rows = df.select(spans.masked_lm(F.col("ids"), F.col("id"), 100, 2, [0, 1]).alias("m")).collect()
