@@ -759,6 +759,34 @@ def test_pipeline_drops_documents_with_one_planted_item(spark, docs):
     assert hit and kept == {r.doc_id for r in both.collect()} - hit - {i for i, *_ in planted} - {9100}
 
 
+def test_pipeline_lines_against_one_process(spark, docs):
+    """Templates of ten documents, and short lines that ten documents share, but for the first of each."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    made = [(5000 + i, "\n".join([f"Filed under number {i} by {word()} of this office", "Read more", "Back", f"own {word()} {word()}"] + ["Share"] * (i % 2)), "en", "s", 0) for i in range(25)]
+    rows = docs.unionByName(spark.createDataFrame(made, DOCS))
+    texts = {r.doc_id: r.text for r in rows.collect()}
+    short = defaultdict(list)
+    for i, t in sorted(texts.items()):
+        for p, x in enumerate(t.split("\n")):
+            if x.split() and len(linelog.tokens_of(x)) < linelog.TOKENS:
+                short[" ".join(x.split())].append((i, p))
+    drops = brute_lines(texts, 10)
+    stay = set()
+    for places in short.values():
+        if len({i for i, _ in places}) >= 10:
+            stay.add(min(places))
+            for i, p in places:
+                if (i, p) != min(places):
+                    drops[i].add(p)
+    want = {i: "\n".join(x for p, x in enumerate(t.split("\n")) if p not in drops[i] or (i, p) in stay) for i, t in texts.items()}
+    assert sum(len(d) for d in drops.values()) > 80
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, rows, SF).collect()}
+    assert got == {i: t for i, t in want.items() if t.strip() or t == texts[i]}
+
+
 def test_pipeline_stages_on_odd_rows(spark, edges, none):
     """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, stage by stage."""
     import corpus_pipeline
