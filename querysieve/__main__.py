@@ -85,13 +85,18 @@ def _merge(p):
     p.add_argument("input")
     p.add_argument("output")
     p.add_argument("--side", default="clean")
+    p.add_argument("--max-chunks", type=int, help="chunks from the first on, at most")
     p.add_argument("--overwrite", action="store_true")
 
 
 @command("merge-chunks", _merge)
 def merge_chunks(spark, a) -> None:
     """Chunks of a side as one dataset, in their order."""
-    io.write_parquet(io.read_chunks(spark, a.input, a.side), a.output, a.overwrite)
+    chunks = io.read_chunks(spark, a.input, a.side)
+    if a.max_chunks is not None:
+        first = chunks.select("chunk_id").distinct().orderBy("chunk_id").limit(a.max_chunks)
+        chunks = chunks.join(F.broadcast(first), "chunk_id")  # a number a chunk
+    io.write_parquet(chunks, a.output, a.overwrite)
     print(io.summary_json(tokens.stats(io.read_parquet(spark, a.output))))
 
 

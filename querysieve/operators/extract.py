@@ -86,13 +86,14 @@ def permalink(path: Column | str, site: str) -> Column:
     return F.concat(F.lit(site.rstrip("/")), F.col(path) if isinstance(path, str) else path)
 
 
-def crawl(links: DataFrame, start: str, rounds: int | None = None) -> DataFrame:
+def crawl(links: DataFrame, start: str, rounds: int | None = None, prefix: str = "") -> DataFrame:
     """url, depth: what is reached from start over (source, target) links; each round visits what is new.
 
-    It goes on until a round finds nothing, or for `rounds` rounds if that is given.
+    It goes on until a round finds nothing, or for `rounds` rounds if that is given. prefix: of the targets that are followed.
     """
     from querysieve.sources.io import settle
 
+    links = links.where(F.col("target").startswith(prefix))
     seen = settle(links.sparkSession.createDataFrame([(start, 0)], "url string, depth int").coalesce(1))
     frontier = seen
     parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))

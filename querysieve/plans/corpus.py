@@ -41,7 +41,6 @@ FORUM_QUESTIONS = """(1, ' How to? ', '<p>I tried</p><code>SELECT ?x WHERE {}</c
  (3, 'No code', '<p>nothing</p>', array('rdf'))"""
 FORUM_ANSWERS = """(10, 1, '<p>Use</p><code>ASK {?s ?p ?o}</code>'), (11, 1, '<p>No code</p>'), (12, 3, '<code>prefix x: &lt;u&gt;</code>')"""
 WIKI = """('Page', '* [https://w.wiki/abc Cats of the web]\\n* [https://w.wiki/x1 Dogs ]\\nplain'), ('Empty', 'none')"""
-ANSWERS = """('0', 'f1', 1, 'm', 'first answer'), ('0', 'f2', 1, 'm', ' second answer '), ('1', 'f1', 2, 'm', NULL), ('2', 'f1', 3, 'm', 'ignored'), ('9', 'f1', 4, 'm', 'nobody')"""
 GRID_ANSWERS = """('0_t015_1', 'b1', 1, 'm1', ' para one '), ('0_t10_0', 'b1', 2, 'm1', 'para two'), ('2_t045_2', 'b2', 1, 'm2', 'para three'), ('bad', 'b2', 2, 'm2', 'x'), ('1_t030_0', 'b2', 3, 'm2', NULL)"""
 LIST_ANSWERS = """('t.json_m1_t05_p1_run0_idx0', 'b', 1, 'm1', 'Sure: ["What is {query}?", "no hole", "Tell {query}"]'),
  ('t.json_m1_t05_p1_run1_idx1', 'b', 2, 'm1', '["Tell {query}", "Cut {query} her'),
@@ -53,8 +52,12 @@ LOG = """(100, 2.5D, CAST(NULL AS DOUBLE)), (200, CAST(NULL AS DOUBLE), 2.0D), (
 
 
 def responses(spark: SparkSession, rows: str) -> DataFrame:
+    """Rows of constants as nested_responses."""
+    return nested_responses(values(spark, rows, "custom_id, file, line, model, answer"))
+
+
+def nested_responses(flat: DataFrame) -> DataFrame:
     """Rows (custom_id, file, line, model, answer) in the nested form of a batch service; a null answer has no choices."""
-    flat = values(spark, rows, "custom_id, file, line, model, answer")
     choice = F.struct(F.struct(F.col("answer").alias("content")).alias("message"))
     choices = F.when(F.col("answer").isNotNull(), F.array(choice)).otherwise(F.array().cast("array<struct<message:struct<content:string>>>"))
     return flat.select("custom_id", "file", "line", F.struct(F.struct("model", choices.alias("choices")).alias("body")).alias("response"))

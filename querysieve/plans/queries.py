@@ -447,12 +447,19 @@ def request_grid_cross(spark, sf_dir):
     return made.select("custom_id", "body.model", "body.temperature", F.element_at("body.messages", 1)["content"].alias("content"))
 
 
-@query(f"""WITH p AS (SELECT * FROM (VALUES {c.PAIRS}) AS t(idx, query, context, target)), a AS (SELECT * FROM (VALUES {c.ANSWERS}) AS t(custom_id, file, line, model, answer)),
+@query(f"""WITH {_CONV}, a AS (SELECT idx::VARCHAR AS custom_id, 'f1' AS file, idx AS line, 'first ' || idx AS answer FROM p WHERE idx % 3 <> 1 UNION ALL SELECT idx::VARCHAR, 'f2', idx, CASE WHEN idx % 4 <> 0 THEN ' second ' || idx || ' ' END FROM p WHERE idx % 2 = 0),
  l AS (SELECT custom_id, answer FROM (SELECT *, row_number() OVER (PARTITION BY custom_id ORDER BY file DESC, line DESC) AS r FROM a) WHERE r = 1)
- SELECT idx, query, context, CASE WHEN coalesce(target, '') <> '' THEN target ELSE coalesce(trim(answer), '') END AS target,
+ SELECT idx::BIGINT AS idx, CASE WHEN coalesce(target, '') <> '' THEN target ELSE coalesce(trim(answer), '') END AS target,
  CASE WHEN coalesce(target, '') <> '' THEN '' WHEN custom_id IS NULL THEN 'missing' WHEN answer IS NULL THEN 'malformed' ELSE '' END AS error FROM p LEFT JOIN l ON p.idx::VARCHAR = l.custom_id""")
 def merge_results_last_wins(spark, sf_dir):
-    return labels.merge_last_wins(c.values(spark, c.PAIRS, "idx, query, context, target"), c.responses(spark, c.ANSWERS))
+    """Two files of answers to numbered turns, the second one with answers that are malformed."""
+    pairs = _turns(spark, sf_dir).select(F.col("idx").cast("long").alias("idx"), "query", "target")
+    number = F.col("idx").cast("string")
+    answers = [
+        pairs.where("idx % 3 <> 1").select(number.alias("custom_id"), F.lit("f1").alias("file"), F.col("idx").alias("line"), F.lit("m").alias("model"), F.concat(F.lit("first "), number).alias("answer")),
+        pairs.where("idx % 2 = 0").select(number.alias("custom_id"), F.lit("f2").alias("file"), F.col("idx").alias("line"), F.lit("m").alias("model"), F.when(F.col("idx") % 4 != 0, F.concat(F.lit(" second "), number, F.lit(" "))).alias("answer")),
+    ]
+    return labels.merge_last_wins(pairs, c.nested_responses(answers[0].unionByName(answers[1]))).select("idx", "target", "error")
 
 
 @query(f"""WITH p AS (SELECT * FROM (VALUES {c.PAIRS}) AS t(idx, query, context, target)), a AS (SELECT * FROM (VALUES {c.GRID_ANSWERS}) AS t(custom_id, file, line, model, answer) WHERE answer IS NOT NULL AND custom_id LIKE '%\\_t%' ESCAPE '\\'),
@@ -538,9 +545,11 @@ def forum_pairs(spark, sf_dir):
     return extract.forum_pairs(c.values(spark, c.FORUM_QUESTIONS, "question_id, title, body, tags"), c.values(spark, c.FORUM_ANSWERS, "answer_id, question_id, body"))
 
 
-@query("SELECT * FROM (VALUES (1, true), (2, false), (3, true)) AS t(question_id, wanted)")
+@query("""SELECT o_orderkey, (o_orderkey % 2 = 0 OR o_orderkey % 3 = 0) AND NOT (o_orderkey % 5 = 0) AS wanted FROM orders""")
 def tag_filter(spark, sf_dir):
-    return c.values(spark, c.FORUM_QUESTIONS, "question_id, title, body, tags").select("question_id", detect.wanted_tags("tags").alias("wanted"))
+    tag = lambda n, t: F.when(F.col("o_orderkey") % n == 0, F.lit(t))
+    tags = F.array_compact(F.array(tag(2, "sparql"), tag(3, "rdf"), tag(5, "neo4j"), F.lit("web")))
+    return c.table(spark, sf_dir, "orders").select("o_orderkey", detect.wanted_tags(tags).alias("wanted"))
 
 
 @query("SELECT * FROM (VALUES ('Page', 'Cats of the web', 'https://w.wiki/abc'), ('Page', 'Dogs', 'https://w.wiki/x1')) AS t(title, description, link)")
@@ -587,16 +596,21 @@ def last3_context(spark, sf_dir):
     return extract.recent_context(_elements(spark, sf_dir), (F.col("tag") == "p") & (F.length("text") < 60))
 
 
-@query("""SELECT * FROM (VALUES ('a', 0), ('b', 1), ('c', 1), ('d', 2), ('e', 3)) AS t(url, depth)""")
+@query("""WITH RECURSIVE n AS (SELECT max(doc_id) + 1 AS n FROM documents), e AS (SELECT '/d/' || doc_id AS source, unnest(['/d/' || (2 * doc_id + 1) % n, '/d/' || (doc_id + 7) % n, '/other/' || doc_id]) AS target FROM documents, n),
+ r AS (SELECT '/d/0' AS url, 0 AS depth UNION SELECT target, depth + 1 FROM r JOIN e ON source = url WHERE depth < 60 AND starts_with(target, '/d/')) SELECT url, min(depth)::INTEGER AS depth FROM r GROUP BY 1""")
 def crawl_frontier(spark, sf_dir):
-    links = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "a"), ("d", "e"), ("x", "y")], "source string, target string")
-    return extract.crawl(links, "a")
+    """Documents as pages that link to two others, and one beyond the site."""
+    docs = c.table(spark, sf_dir, "documents")
+    n = docs.agg(F.max("doc_id") + 1).first()[0]
+    page = lambda x: F.concat(F.lit("/d/"), x.cast("string"))
+    targets = F.array(page((2 * F.col("doc_id") + 1) % n), page((F.col("doc_id") + 7) % n), F.concat(F.lit("/other/"), F.col("doc_id").cast("string")))
+    return extract.crawl(docs.select(page(F.col("doc_id")).alias("source"), F.explode(targets).alias("target")), "/d/0", prefix="/d/")
 
 
-@query("SELECT * FROM (VALUES (1, 'a+b c'), (2, ''), (3, 'SELECT ?x')) AS t(id, query)")
+@query("SELECT page_id, page_id || ' a+b %c' AS query FROM pages")
 def decoded_fragments(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "https://x/#a+b%20c"), (2, "https://x/"), (3, "https://x/#SELECT%20%3Fx")], "id int, url string")
-    return rows.select("id", text.decoded_fragment("url").alias("query"))
+    rows = c.table(spark, sf_dir, "pages").select("page_id", F.concat(F.regexp_replace(F.coalesce("url", F.lit("")), "#.*", ""), F.lit("#"), F.col("page_id").cast("string"), F.lit("%20a+b%20%25c")).alias("url"))
+    return rows.select("page_id", text.decoded_fragment("url").alias("query"))
 
 
 @query("""SELECT doc_id, CASE WHEN n + q > 100 THEN array_to_string(w[1:greatest(0, 100 - q - 10)], ' ') ELSE text END AS context FROM (SELECT doc_id, text, regexp_extract_all(text, '[^ \\t\\r\\n]+') AS w, len(regexp_extract_all(text, '[^ \\t\\r\\n]+')) AS n, len(regexp_extract_all(source, '[^ \\t\\r\\n]+')) AS q FROM documents)""")
