@@ -5,8 +5,9 @@ least hash of the K-word runs in it, so a text and an item that share SPAN words
 that window, wherever it stands. Items' fingerprints form a table; a document's windows are looked up in it, and a
 hit is extended to the whole window by comparing its words, which leaves exact hits only. Overlapping hits join.
 
-The table is built from the benchmark in blocks of at most BLOCK bytes of text, so what a task holds is bounded;
-a benchmark of several blocks is looked up block after block, and the documents are written out in between.
+The table of a benchmark of at most BLOCK bytes of text goes to every task. The windows of a larger one are a table of
+their own: a bounded filter of its fingerprints tells which windows of the documents may be hits, and those are joined with it
+by 128 bits of their words' hashes. The documents are written out once, with row numbers, and get their hits by these.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, raw_bytes, slices
+from .common import cut, gram_hashes, hash_words, mix, raw_bytes, slices
 
 SPAN, K = 8, 4
-#: UTF-8 bytes of benchmark text in one block.
-BLOCK = 16 << 20
+#: UTF-8 bytes of benchmark text that every task may be sent; slots of the filter of a larger one's fingerprints.
+BLOCK, SLOTS = 16 << 20, 1 << 26
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -118,43 +119,96 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
     """
     spark = docs.sparkSession
     items = benchmark.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("t"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size * 5 // (4 * block)))
+    if items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0] > block:
+        return _joined(docs, items, text, span, k, added)
     fields = [c for c in docs.columns if c not in added]
     types = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in fields) + f", `{added[0]}` long, `{added[1]}` array<struct<start:int,end:int>>, `{added[2]}` array<string>"
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-
-    def pass_over(df: DataFrame, rows: list[tuple[str, bytes]], again: bool) -> DataFrame:
-        shared = spark.sparkContext.broadcast(rows)  # at most one block, or one item if that is longer
-
-        def run(batches):
-            index = Windows(shared.value, span, k)
-            for b in slices(batches, 1000):
-                rows = [index.search(raw) for raw in raw_bytes(b.column(text))]
-                hits, names = [[h for h in r[1]] for r in rows], [r[2] for r in rows]
-                if again:
-                    hits = [merged([*new, *((x["start"], x["end"]) for x in old)]) for new, old in zip(hits, b.column(added[1]).to_pylist())]
-                    names = [new | set(old) for new, old in zip(names, b.column(added[2]).to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(b.column(c) for c in fields),
-                        pa.array([r[0] for r in rows], pa.int64()),
-                        pa.array([[{"start": i, "end": j} for i, j in h] for h in hits], kind),
-                        pa.array([sorted(x) for x in names], pa.list_(pa.string())),
-                    ],
-                    [*fields, *added],
-                )
-
-        return df.mapInArrow(run, schema)
-
-    out = docs.select(*fields)
-    for n in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == n)
-        out = pass_over(out, [(r[0], bytes(r[1])) for r in part.select("item", F.col("t").cast("binary")).collect()], n > 0)
-        if n + 1 < blocks:
-            out = cut(out)
-    return out
+    shared = spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in items.select("item", F.col("t").cast("binary")).collect()])  # at most block bytes
+
+    def run(batches):
+        index = Windows(shared.value, span, k)
+        for b in slices(batches, 1000):
+            rows = [index.search(raw) for raw in raw_bytes(b.column(text))]
+            found = [pa.array([r[0] for r in rows], pa.int64()), _hits([r[1] for r in rows]), pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in fields), *found], [*fields, *added])
+
+    return docs.select(*fields).mapInArrow(run, schema)
+
+
+def _hits(spans: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"start": i, "end": j} for i, j in own] for own in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+
+
+def _prints(h: np.ndarray, span: int, k: int) -> np.ndarray:
+    """Fingerprints of the windows of a text by its words' hashes."""
+    runs = gram_hashes(h, k)
+    return np.lib.stride_tricks.sliding_window_view(runs, span - k + 1).min(axis=1) if len(h) >= span else np.empty(0, np.uint64)
+
+
+def _named(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the hash of each run of n words."""
+    return gram_hashes(h, n).view(np.int64), gram_hashes(mix(h + np.uint64(1)), n).view(np.int64)
+
+
+def _joined(docs: DataFrame, items: DataFrame, text: str, span: int, k: int, added: tuple[str, str, str]) -> DataFrame:
+    """As search, by a join with the windows of a large benchmark."""
+    spark = docs.sparkSession
+    names = ["item", "n", "a", "b", "print"]
+
+    def windows(batches):
+        for b in slices(batches, 1000):
+            out: list[list] = [[], [], [], [], []]
+            for name, raw in zip(b.column(0).to_pylist(), raw_bytes(b.column(1))):
+                h = hash_words(words(raw))
+                n = min(span, len(h))
+                if n:
+                    x, y = _named(h, n)
+                    print_ = _prints(h, span, k).view(np.int64) if n == span else x
+                    for column, value in zip(out, (pa.array([name] * len(x), pa.string()), np.full(len(x), n, np.int32), x, y, print_)):
+                        column.append(value)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(out[0]), *(pa.array(np.concatenate(c)) for c in out[1:])], names)
+
+    table = cut(items.mapInArrow(windows, "item string, n int, a long, b long, print long").distinct())
+    slot = F.pmod("print", F.lit(SLOTS))
+    bits = table.groupBy("n", F.shiftright(slot, 6).alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(print, {SLOTS}) & 63 as int)))").alias("bits")).toPandas()  # at most span * SLOTS / 64 rows
+    filters = {}
+    for n, own in bits.groupby("n"):
+        filters[int(n)] = np.zeros(SLOTS // 64, np.int64)
+        filters[int(n)][own["w"].to_numpy(np.int64)] = own["bits"].to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast(filters)
+    fields = [c for c in docs.columns if c not in added]
+    rows = cut(docs.select(F.struct(*fields).alias("r"), F.col(text).alias("x"), F.monotonically_increasing_id().alias("row")))
+
+    def looked_up(batches):
+        """Windows that the filter lets pass, and each row's number of words (n = 0)."""
+        for b in slices(batches, 1000):
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            for row, raw in zip(b.column(1).to_pylist(), raw_bytes(b.column(0))):
+                h = hash_words(words(raw))
+                for n, own in shared.value.items():
+                    x, y = _named(h, n)
+                    s = (_prints(h, span, k).view(np.int64) if n == span else x) % SLOTS
+                    at = np.flatnonzero(own[s >> 6] >> (s & 63) & 1)
+                    for column, value in zip(out, (np.full(len(at), row), np.full(len(at), n, np.int32), at.astype(np.int64), x[at], y[at])):
+                        column.append(value)
+                for column, value in zip(out, ([row], np.zeros(1, np.int32), [len(h)], [0], [0])):
+                    column.append(np.asarray(value))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["row", "n", "pos", "a", "b"])
+
+    found = cut(rows.select("x", "row").mapInArrow(looked_up, "row long, n int, pos long, a long, b long"))
+    named = table.groupBy("n", "a", "b").agg(F.collect_set("item").alias("items"))
+    hits = found.where("n > 0").join(named, ["n", "a", "b"]).groupBy("row").agg(F.collect_list(F.struct("pos", "n")).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+
+    def joined(batches):
+        for b in slices(batches, 1000):
+            yield pa.RecordBatch.from_arrays([b.column(0), _hits([merged([(x["pos"], x["pos"] + x["n"]) for x in own]) for own in b.column(1).to_pylist()]), b.column(2)], ["row", "hits", "items"])
+
+    hits = hits.mapInArrow(joined, "row long, hits array<struct<start:int,end:int>>, items array<string>")
+    both = rows.join(found.where("n = 0").select("row", F.col("pos").alias("n_words")), "row").join(hits, "row", "left")
+    none = F.array().cast("array<struct<start:int,end:int>>"), F.array().cast("array<string>")
+    return both.select(*[F.col("r")[c].alias(c) for c in fields], F.col("n_words").alias(added[0]), F.coalesce("hits", none[0]).alias(added[1]), F.coalesce("items", none[1]).alias(added[2]))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, least: int = 2) -> DataFrame:
