@@ -746,6 +746,27 @@ def test_extra_columns_may_clash(edges):
     assert shards.shard(odd).count() == len(EDGES)
 
 
+def test_results_do_not_depend_on_other_columns(spark, edges):
+    """Columns that are named like an operator's own, or like what it works with, change no result."""
+    names = ("id", "x", "train", "chunk", "key", "bucket", "kind", "a", "b", "n", "n_tokens", "score", "base_score", "row", "r", "items_", "print", "pos", "name", "s", "node", "sig", "component_id", "size", "_at", "_sub", "shard", "slot")
+    odd = edges.withColumns({c: F.lit(c) for c in names})
+    rows = lambda df, *columns: sorted(map(str, df.select(*columns).collect()))
+    scored = ("doc_id", "n_tokens", "score", "base_score")
+    assert rows(ctw.scores(odd, F.col("doc_id") != 5, depth=2), *scored) == rows(ctw.scores(edges, F.col("doc_id") != 5, depth=2), *scored)
+    bench = spark.createDataFrame([("i", "a b c d"), ("j", "word " * 9), (None, "one"), ("k", None)], "item_id string, text string")
+    for block in (1 << 20, 1):
+        found = decontaminate.search(odd, bench, block=block, added=("w", "h", "i"))
+        assert rows(found, "doc_id", "w", "h", "i") == rows(decontaminate.search(edges, bench, added=("w", "h", "i")), "doc_id", "w", "h", "i")
+        assert {tuple(r[c] for c in names) for r in found.collect()} == {names}
+    grouped = ("doc_id", "n_shingles", "component_id")
+    assert rows(jaccard.groups(odd), *grouped) == rows(jaccard.groups(edges), *grouped)
+    repeated = ("doc_id", "n_words", "n_repeated", "spans")
+    assert rows(suffixes.repeats(odd), *repeated) == rows(suffixes.repeats(edges), *repeated)
+    assert rows(shards.shard(odd.where("doc_id is not null")), "doc_id", "size", "shard") == rows(shards.shard(edges.where("doc_id is not null")), "doc_id", "size", "shard")
+    digests = ("doc_id", "n_tokens", "ids_sha256")
+    assert rows(pieces.digests(odd, queries.model_file()), *digests) == rows(pieces.digests(edges, queries.model_file()), *digests)
+
+
 def test_pipeline_drops_documents_with_one_planted_item(spark, docs):
     import corpus_pipeline
 
