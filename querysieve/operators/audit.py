@@ -70,20 +70,20 @@ def strict_languages(annotated: DataFrame) -> DataFrame:
 
 
 def keyword_report(annotated: DataFrame) -> DataFrame:
-    """Each keyword's documents and occurrences, among dirty and among keyword-only documents; zeros too."""
-    dirty = annotated.where("is_dirty").select((detect.trigger() == "keyword_only").alias("only"), "keyword_counts")
-    # each document also counts for the empty keyword, so one pass gives the totals too
-    uses = dirty.select("only", F.explode(F.map_concat("keyword_counts", F.create_map(F.lit(""), F.lit(1)))).alias("keyword", "n"))
-    counts = uses.groupBy("keyword").agg(
-        F.count("*").alias("docs"), F.sum("n").alias("uses"), F.count_if("only").alias("only_docs"), F.coalesce(F.sum(F.when(F.col("only"), F.col("n"))), F.lit(0)).alias("only_uses")
-    )
-    sizes = counts.where("keyword = ''").agg(F.coalesce(F.max("docs"), F.lit(0)).alias("n_dirty"), F.coalesce(F.max("only_docs"), F.lit(0)).alias("n_only"))
-    every = annotated.sparkSession.createDataFrame([(k,) for k in detect.KEYWORDS], "keyword string")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return every.join(counts, "keyword", "left").join(F.broadcast(sizes)).select(
+    """Each keyword's documents and occurrences, among dirty and among keyword-only documents; zeros too. One pass, one row a task."""
+    only = detect.trigger() == "keyword_only"
+    rows = annotated.select("keyword_counts", F.col("is_dirty").alias("dirty"), only.alias("only"))
+    sums = [F.count_if("dirty").alias("n_dirty"), F.count_if("only").alias("n_only")]
+    for i, k in enumerate(detect.KEYWORDS):
+        n = F.try_element_at("keyword_counts", F.lit(k)).cast("long")
+        for name, which in (("", F.col("dirty")), ("only_", F.col("only"))):
+            sums += [F.count_if(which & n.isNotNull()).alias(f"{name}docs_{i}"), F.coalesce(F.sum(F.when(which, n)), F.lit(0)).alias(f"{name}uses_{i}")]
+    fields = ("docs", "uses", "only_docs", "only_uses")
+    each = F.array(*[F.struct(F.lit(k).alias("keyword"), *[F.col(f"{f}_{i}").alias(f) for f in fields]) for i, k in enumerate(detect.KEYWORDS)])
+    return rows.agg(*sums).select("n_dirty", "n_only", F.explode(each).alias("k")).select("n_dirty", "n_only", "k.*").select(
         "keyword",
-        zero("docs").alias("dirty_doc_count"), pct(zero("docs"), F.col("n_dirty")).alias("dirty_doc_rate_pct"), zero("uses").alias("dirty_occurrences"),
-        zero("only_docs").alias("keyword_only_doc_count"), pct(zero("only_docs"), F.col("n_only")).alias("keyword_only_doc_rate_pct"), zero("only_uses").alias("keyword_only_occurrences"),
+        F.col("docs").alias("dirty_doc_count"), pct(F.col("docs"), F.col("n_dirty")).alias("dirty_doc_rate_pct"), F.col("uses").alias("dirty_occurrences"),
+        F.col("only_docs").alias("keyword_only_doc_count"), pct(F.col("only_docs"), F.col("n_only")).alias("keyword_only_doc_rate_pct"), F.col("only_uses").alias("keyword_only_occurrences"),
     ).orderBy(F.desc("dirty_doc_count"), "keyword")
 
 
