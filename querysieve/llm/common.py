@@ -105,7 +105,7 @@ def has_checkpoints(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not sc.master.startswith("local["):
+        if not shared and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
         sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "querysieve-checkpoints"))
 
