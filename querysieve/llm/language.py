@@ -7,8 +7,8 @@ same list of its own, and its distance to a profile is the sum over its n-grams
 Texts are lower-cased, each run of other characters than letters is one blank, and n-grams of 1 to 3 are counted
 over the whole text. Three 21-bit code points fit one 64-bit number, so any script is counted exactly.
 
-Profiles are learned from at most about per_language rows of each language (chosen by a hash of the row's text),
-a documented bound that keeps learning as cheap on a large corpus as on a small one.
+Profiles are learned from every row that has a language and a text. A task sums what it reads and passes its sums on
+when it holds HELD n-grams, so its memory is bounded whatever the scripts; of whole counts, only each task's first PROFILE go on.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import crc_bucket, slices
 
 ORDERS, PROFILE = 3, 400
-#: Rows of a language that profiles are learned from, in expectation.
-PER_LANGUAGE = 4000
+#: Different n-grams of all languages whose counts a task holds before it passes them on.
+HELD = 1 << 20
 UNKNOWN = "und"
 
 _letters: list[np.ndarray] = []
@@ -66,14 +66,14 @@ def ranked(codes: np.ndarray, counts: np.ndarray, most: int = PROFILE) -> np.nda
     return codes[np.lexsort((codes, -counts))][:most]
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> dict[str, list[int]]:
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, list[int]]:
     """language -> its ranked n-grams; PROFILE numbers for each. Rows without text or language teach nothing."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    n = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
-    if not n:
-        return {}
-    cut_at = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int(min(1.0, per_language / v) * (1 << 30)))) for k, v in n.items()])
-    drawn = labelled.where(F.pmod(F.xxhash64(F.lit("learn"), "text"), F.lit(1 << 30)) < cut_at)
+    names = [r[0] for r in labelled.select("lang").distinct().collect()]
+
+    def rows(sums):
+        for k, (codes, m) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(codes), pa.string()), pa.array(codes), pa.array(m)], ["lang", "code", "n"])
 
     def count(batches):
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -85,13 +85,30 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", per_language:
                 found += [sums[k]] if k in sums else []
                 codes, inverse = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
                 sums[k] = codes, np.bincount(inverse, np.concatenate([m for _, m in found]), len(codes)).astype(np.int64)
-        for k, (codes, m) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(codes), pa.string()), pa.array(codes), pa.array(m)], ["lang", "code", "n"])
-
-    counts = drawn.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+            if sum(len(codes) for codes, _ in sums.values()) >= HELD:
+                yield from rows(sums)
+                sums = {}
+        yield from rows(sums)
+
+    def first(batches):
+        """Of whole counts, a task's PROFILE most frequent codes of each language: the others can't be among all tasks' first."""
+        tops: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for b in slices(batches, 50_000):
+            of = b.column("lang").dictionary_encode()
+            for i, k in enumerate(of.dictionary.to_pylist()):
+                own = np.flatnonzero(of.indices.to_numpy() == i)
+                codes, m = (b.column(c).to_numpy()[own] for c in ("code", "n"))
+                if k in tops:
+                    codes, m = np.concatenate([tops[k][0], codes]), np.concatenate([tops[k][1], m])
+                order = np.lexsort((codes, -m))[:PROFILE]
+                tops[k] = codes[order], m[order]
+        yield from rows(tops)
+
+    schema = "lang string, code long, n long"
+    counts = labelled.mapInArrow(count, schema).groupBy("lang", "code").agg(F.sum("n").alias("n")).mapInArrow(first, schema)
     best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "code"))), 1, PROFILE)
     kept = counts.groupBy("lang", (F.col("code") % 64).alias("part")).agg(best.alias("best"))
-    found: dict[str, list] = {k: [] for k in n}
+    found: dict[str, list] = {k: [] for k in names}
     for r in kept.collect():  # 64 parts of at most PROFILE for each language
         found[r["lang"]] += [(x["m"], x["code"]) for x in r["best"]]
     return {k: [code for _, code in sorted(v)[:PROFILE]] for k, v in sorted(found.items())}
@@ -137,8 +154,7 @@ def training_rows(docs: DataFrame, key: str = "doc_id", folds: int = 4, held: in
     return F.coalesce(crc_bucket(key, folds) != held, F.lit(True))
 
 
-def held_out_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+def held_out_language(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learned from the other folds' labelled rows, predicted for all."""
     train = training_rows(docs)
-    profiles = learn(docs.where(train), per_language=per_language)
-    return predict(docs.select("doc_id", (~train).alias("held_out"), "text"), profiles).drop("text")
+    return predict(docs.select("doc_id", (~train).alias("held_out"), "text"), learn(docs.where(train))).drop("text")

@@ -279,6 +279,24 @@ def test_rank_order_by_hand():
     assert len(language.ranked(codes, counts, 3)) == 3
 
 
+def test_profiles_are_of_all_rows(spark, monkeypatch):
+    """More rows of a language than were once drawn, and sums that tasks pass on many times: every row counts."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(language, "HELD", 50)
+    rng = random.Random(17)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(12)) for _ in range(12_000)]
+    df = spark.createDataFrame([(i, t, "x", "s", 12) for i, t in enumerate(texts)], DOCS)
+    sums = Counter()
+    for t in texts:
+        codes, n = language.gram_counts(t)
+        sums.update(dict(zip(codes.tolist(), n.tolist())))
+    want = {"x": [c for c, _ in sorted(sums.items(), key=lambda x: (-x[1], x[0]))[: language.PROFILE]]}
+    assert language.learn(df) == want
+    kept = {r.doc_id for r in language.predict(df, want).collect() if r.score >= corpus_pipeline.LEAST_SCORE}
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, df, SF).collect()} == kept
+
+
 # ---- 5
 
 
@@ -320,6 +338,20 @@ def test_jaccard_groups(spark, docs):
     assert {i: r.n_shingles for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("left_out", ["none", "half", "all"])
+def test_frequent_shingles_change_no_group(spark, docs, monkeypatch, left_out):
+    """Whichever shingles are taken for frequent, and whatever they are said to count: the groups are those of brute force."""
+    df = docs.select("doc_id", "text")
+    sets = {r.doc_id: shingles(r.text) for r in df.collect()}
+    hashes = np.unique(np.concatenate([jaccard.shingle_set((r.text or "").encode()) for r in df.collect()]))
+    rng = np.random.default_rng(18)
+    some = hashes[rng.random(len(hashes)) < {"none": 0, "half": 0.5, "all": 1}[left_out]]
+    monkeypatch.setattr(jaccard, "frequent_shingles", lambda *a: (some, rng.integers(1, 99, len(some))))
+    want = closure(sets)
+    assert len(set(want.values())) < len(want)
+    assert {r.doc_id: r.component_id for r in jaccard.groups(df).collect()} == want
+
+
 def test_jaccard_of_a_large_group_in_blocks(spark, monkeypatch):
     """A group of near copies, many of them below the threshold to each other, compared block by block."""
     monkeypatch.setattr(jaccard, "BLOCK", 16)
