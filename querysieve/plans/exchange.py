@@ -43,9 +43,7 @@ def chunks_merged(spark, sf_dir):
     """Blocks that were written in chunks, as one dataset that knows its chunks."""
     path = folder(spark)
     blocks = tokens.pack(tokens.tokenize(c.table(spark, sf_dir, "documents"), tokens.WordTokenizer()), BLOCK).select("block_id", "input_ids")
-    chunk = F.floor(F.col("block_id") / 50)
-    named = io.settle(blocks.withColumns({"chunk_dir": F.concat(F.lit("chunk_"), F.lpad(chunk.cast("string"), 6, "0")), "side": F.lit("clean")}))
-    io.write_parquet(named, f"{path}/all", by=["chunk_dir", "side"])
+    io.write_chunks(blocks.withColumn("chunk_id", F.floor(F.col("block_id") / 50)), f"{path}/all", "clean")
     return io.read_chunks(spark, f"{path}/all", "side=clean", pattern="chunk_dir=chunk_*").select("block_id", "input_ids", "chunk_id")
 
 

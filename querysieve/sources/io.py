@@ -91,9 +91,24 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, root: str, side: str, pattern: str = "chunk_*") -> DataFrame:
-    """Blocks of all chunks of a side with the chunk they came from, which orders them."""
-    chunk = F.regexp_extract(F.col("_metadata.file_path"), r"chunk_(\d+)", 1).cast("long")
-    return spark.read.option("recursiveFileLookup", True).parquet(f"{root}/{pattern}/{side}").select("*", chunk.alias("chunk_id"))
+    """Blocks of all chunks of a side with the chunk they came from, which orders them.
+
+    A folder is one chunk, named by its number, or holds several (write_chunks), whose rows say which.
+    """
+    out = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/{pattern}/{side}")
+    if "chunk_id" in out.columns:
+        return out
+    return out.select("*", F.regexp_extract(F.col("_metadata.file_path"), r"chunk_(\d+)", 1).cast("long").alias("chunk_id"))
+
+
+def write_chunks(df: DataFrame, path: str, side: str, chunk: str = "chunk_id", most: int = 500) -> None:
+    """Chunks for read_chunks: a folder is named by the first of up to `most` consecutive chunks and written by one task.
+
+    Folders and files then grow by the rows, not by the chunks times the tasks.
+    """
+    first = F.floor(F.col(chunk) / most) * most
+    named = df.withColumns({"chunk_id": F.col(chunk), "_folder": F.concat(F.lit("chunk_"), F.lpad(first.cast("string"), F.greatest(F.lit(6), F.length(first.cast("string"))), F.lit("0"))), "side": F.lit(side)})
+    write_parquet(named.repartition("_folder").withColumnRenamed("_folder", "chunk_dir"), path, by=["chunk_dir", "side"])
 
 
 def read_stream(spark: SparkSession, path: str, schema: str = RAW, files: int = 1) -> DataFrame:

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from querysieve import __main__ as cli
 from querysieve.operators import balance
@@ -34,6 +35,15 @@ def test_writers_and_catalog(spark, tmp_path):
     assert not io.is_done(spark, path)
 
 
+def test_chunks_share_folders_and_files(spark, tmp_path):
+    rows = spark.range(1000).select(F.col("id").alias("block_id"), F.floor(F.col("id") / 2).alias("chunk_id")).repartition(4)
+    io.write_chunks(rows, str(tmp_path / "all"), "clean", most=100)
+    assert sorted(p.name for p in (tmp_path / "all").glob("chunk_dir=*")) == [f"chunk_dir=chunk_{i * 100:06d}" for i in range(5)]
+    assert len(list((tmp_path / "all").rglob("*.parquet"))) == 5  # not one for each chunk and task
+    got = io.read_chunks(spark, str(tmp_path / "all"), "side=clean", pattern="chunk_dir=chunk_*").collect()
+    assert sorted((r.block_id, r.chunk_id) for r in got) == [(i, i // 2) for i in range(1000)]
+
+
 def test_stream_restarts_with_the_same_result(spark, tmp_path, sf_dir):
     from querysieve.functions import detect
     from querysieve.operators import tokens
