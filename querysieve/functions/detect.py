@@ -71,6 +71,12 @@ def _col(text: Column | str) -> Column:
     return F.col(text) if isinstance(text, str) else text
 
 
+def once(value: Column) -> Column:
+    """value, worked out once for a row: a filter on it is not pushed below, where the optimizer would write it out again
+    for every use. Columns that nobody reads are still left out. Not for grouping keys or inside of aggregates."""
+    return F.when(F.rand(0) + 1 > 0, value)  # the optimizer knows the range of rand itself
+
+
 def keyword_hits(text: Column | str, upper: Column | None = None) -> Column:
     """Every keyword that stands as a whole word, in order; upper case. Null text: null. upper: the text in upper case."""
     upper = F.upper(_col(text)) if upper is None else upper
@@ -119,8 +125,8 @@ def annotate(docs: DataFrame, text: str = "text", tokens: Column | None = None)
     tokens: an ARRAY column of the tokenizer, for num_tokens; it is not evaluated unless asked for. Null text is clean.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("_up", F.upper(body))
-    out = out.withColumns({"_hits": keyword_hits(body, F.col("_up")), "ql_type": loose_type(body, F.col("_up")), "strict_query_types": strict_types(body, F.col("_up"))}).drop("_up")
+    out = docs.withColumn("_up", once(F.upper(body)))
+    out = out.withColumns({"_hits": once(keyword_hits(body, F.col("_up"))), "ql_type": once(loose_type(body, F.col("_up"))), "strict_query_types": once(strict_types(body, F.col("_up")))}).drop("_up")
     out = out.withColumn("filters_triggered", F.array_compact(F.array(F.when(F.size("_hits") > 0, F.lit("keyword")), F.when(F.col("ql_type") != "", F.lit("regex")))))
     out = out.withColumns({"keyword_counts": counts_of(F.col("_hits")), "matched_substring": loose_match(body, F.col("ql_type")), "is_dirty": F.size("filters_triggered") > 0})
     if tokens is not None:
