@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cache, cached_property
+from itertools import chain
 from typing import Protocol
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from querysieve.functions.detect import once
 from querysieve.sources.io import settle
 
 from .order import id_bucket, running_total
@@ -18,6 +25,15 @@ from .order import id_bucket, running_total
 PAD, EOS, UNKNOWN = 0, 1, 2
 
 
+def _int_lists(rows: list) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *[np.asarray(r, np.int32) for r in rows]])))
+
+
+def _texts(texts: pa.Array) -> list[str]:
+    return pc.fill_null(texts, "").to_pylist()
+
+
 class Tokenizer(Protocol):
     """What a tokenizer gives: the ids of a text column, and the text of an id column."""
 
@@ -111,34 +127,98 @@ class FileTokenizer:
 
             tool = sentencepiece.SentencePieceProcessor(model_file=self.path)
             return (lambda ts: tool.encode(ts, num_threads=1)), (lambda xs: [tool.decode(x) for x in xs])
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import tokenizers
 
         tool = tokenizers.Tokenizer.from_file(self.path)
-        return (lambda ts: [e.ids for e in tool.encode_batch(ts, add_special_tokens=False)]), tool.decode_batch
+        made = json.loads(tool.to_str())
+        encode = lambda ts: [e.ids for e in tool.encode_batch_fast(ts, add_special_tokens=False)]
+        return (_by_words(tool, made, encode) if _splits(made) else encode), (_by_bytes(tool, made) if (made["decoder"] or {}).get("type") == "ByteLevel" else tool.decode_batch)
+
+    @classmethod
+    @cache
+    def _tool(cls, path: str, vocabulary: int) -> "FileTokenizer":
+        """The one of a worker, loaded once."""
+        return cls(path, vocabulary)
 
     def ids(self, text: Column) -> Column:
-        tool = FileTokenizer(self.path, self.vocabulary)  # as it is before it has loaded anything
+        path, vocabulary = self.path, self.vocabulary
 
-        @F.pandas_udf("array<int>")
-        def encode(batches: "pd.Series") -> "pd.Series":
-            return pd.Series(tool._load[0](batches.fillna("").tolist()))
+        @F.arrow_udf("array<int>")
+        def encode(texts: pa.Array) -> pa.Array:
+            return _int_lists(FileTokenizer._tool(path, vocabulary)._load[0](_texts(texts)))
 
         return encode(text)
 
     def text(self, ids: Column) -> Column:
-        tool = FileTokenizer(self.path, self.vocabulary)
+        path, vocabulary = self.path, self.vocabulary
 
-        @F.pandas_udf("string")
-        def decode(batches: "pd.Series") -> "pd.Series":
-            return pd.Series(tool._load[1]([list(map(int, x)) for x in batches]))
+        @F.arrow_udf("string")
+        def decode(lists: pa.Array) -> pa.Array:
+            return pa.array(FileTokenizer._tool(path, vocabulary)._load[1]([x or [] for x in lists.to_pylist()]), pa.string())
 
         return decode(ids)
 
 
+def _splits(made: dict) -> bool:
+    """Whether a tokenizer is byte-level BPE whose pattern never joins a character to white space after it, and has no other steps."""
+    pre, model = made["pre_tokenizer"] or {}, made["model"]
+    plain = not any(made[k] for k in ("normalizer", "truncation", "padding"))
+    return plain and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and model.get("type") == "BPE" and not model.get("dropout")
+
+
+#: White space by some table or other, besides blanks, tabs and ends of lines: where it stands, only the library tells what is one run.
+_RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
+#: Parts that a worker keeps the ids of, about: twice so many of some 200 bytes.
+_MOST = 1 << 18
+_WORD = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
+
+
+def _by_words(tool, made: dict, encode):
+    """encode by white space and the word after it: pieces end before white space, so each such part has ids of its own. Equal to the library."""
+    added = [x["content"] for x in made["added_tokens"]]
+    known, before = {}, {}  # ids of parts as bytes: those met lately, and those met before them
+
+    def packed(texts: list[str]) -> list[bytes]:
+        return [np.array(ids, np.int32).tobytes() for ids in encode(texts)]
+
+    def parts(texts: list[str]) -> list[np.ndarray]:
+        nonlocal known, before
+        whole = [i for i, t in enumerate(texts) if _RARE.search(t) or any(x in t for x in added)]
+        out = dict(zip(whole, packed([texts[i] for i in whole])))
+        split = [[] if i in out else _WORD.findall(t) for i, t in enumerate(texts)]
+        if len(known) > _MOST:
+            known, before = {}, known
+        new = set(chain.from_iterable(split)).difference(known)
+        known.update({w: before[w] for w in new if w in before})
+        new = list(new.difference(before))
+        known.update(zip(new, packed(new)))
+        return [np.frombuffer(out[i] if i in out else b"".join(map(known.__getitem__, words)), np.int32) for i, words in enumerate(split)]
+
+    return parts
+
+
+def _by_bytes(tool, made: dict):
+    """decode by the bytes of each id; the library decodes what has special ids, or bytes that are no UTF-8."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+    added = {x["id"] for x in made["added_tokens"]}
+    table = {i: bytes(byte[c] for c in w) for w, i in tool.get_vocab().items() if i not in added and all(c in byte for c in w)}
+
+    def one(ids: list[int]) -> str:
+        try:
+            return b"".join(map(table.__getitem__, ids)).decode()
+        except (KeyError, UnicodeDecodeError):
+            return tool.decode(ids)
+
+    return lambda lists: list(map(one, lists))
+
+
 def tokenize(docs: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", text: str = "text", add_eos: bool = False) -> DataFrame:
     """key, input_ids, attention_mask. add_eos: each document ends with EOS (the batch path), or not (the stream)."""
     ids = tokenizer.ids(F.col(text))
     ids = F.concat(ids, F.array(F.lit(EOS))) if add_eos else ids
+    ids = once(ids)
     return docs.select(key, ids.alias("input_ids")).withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
 
 
