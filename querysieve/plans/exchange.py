@@ -151,7 +151,7 @@ def training_series(spark, sf_dir):
 def _streamed(spark: SparkSession, rows: DataFrame, change, mode: str) -> DataFrame:
     """What a stream over rows, in several files, ends with."""
     path = folder(spark)
-    rows.repartition(3).write.parquet(f"{path}/in")
+    (rows if rows.rdd.getNumPartitions() > 3 else rows.repartition(3)).write.parquet(f"{path}/in")  # of many ranges, each is a file as it is
     stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
     out = change(stream).writeStream.outputMode(mode).option("checkpointLocation", f"{path}/at")
     put = lambda df, n: df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")
