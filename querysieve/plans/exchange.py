@@ -204,9 +204,9 @@ def stream_built_blocks(spark, sf_dir):
 def stream_counters_of_the_first(spark, sf_dir):
     """A builder that is told to see no more than so many documents."""
     path = folder(spark)
-    c.corpus(spark, sf_dir).where("doc_id >= 0").repartitionByRange(2, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{path}/in")
+    c.corpus(spark, sf_dir).where("doc_id >= 0").repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{path}/in")
     made = builder.Builder(f"{path}/out", balance.targets(10**6 * BLOCK, 0.2, BLOCK), size=BLOCK, sample_size=3, most=90)
-    made.run(io.read_stream(spark, f"{path}/in", files=100))
+    made.run(io.read_stream(spark, f"{path}/in", files=10**6))  # one batch: several would take files in the order of their writing
     state = made.state(spark)
     names = ("n_total", "n_dirty", "n_clean", "keyword_only", "regex_only")
     return spark.createDataFrame([tuple(state[x] for x in names)], ", ".join(f"{x} long" for x in names))
